@@ -1 +1,13 @@
+"""Registered queries over the given tables."""
 
+from __future__ import annotations
+
+
+def all_cases():
+    from sentrylake.workloads import net
+    out = []
+    for module in (net,):
+        out.extend(module.CASES)
+    names = [c.name for c in out]
+    assert len(names) == len(set(names)), "duplicate query names"
+    return out
