@@ -91,3 +91,69 @@ class NetConfig(_Profile):
     dns_spoof_race_window_s: float = 2.0
     max_evidence_lines: int = 10
     min_severity: str = "info"
+
+
+# Default thresholds and catalogues of the Windows rules.
+@dataclass
+class WinConfig(_Profile):
+    brute_force_window_s: float = 300.0
+    brute_force_attempts_threshold: int = 15
+    successful_logon_correlation_window_s: float = 3600.0
+    external_ip_only: bool = True
+    backdoor_privilege_window_s: float = 3600.0
+    sensitive_groups: list = _lst("Administrators", "Remote Desktop Users", "Domain Admins",
+                                  "Enterprise Admins", "Backup Operators")
+    suspicious_persistence_dirs: list = _lst(
+        "c:\\temp", "c:\\programdata", "c:\\users\\public", "\\appdata\\local\\temp",
+        "\\appdata\\roaming", "c:\\windows\\tasks", "c:\\perflogs")
+    legitimate_service_dirs: list = _lst("c:\\windows\\system32", "c:\\program files", "c:\\program files (x86)")
+    startup_folder_markers: list = _lst("\\start menu\\programs\\startup\\")
+    run_key_markers: list = _lst("\\software\\microsoft\\windows\\currentversion\\run",
+                                 "\\software\\microsoft\\windows\\currentversion\\runonce")
+    download_dir_markers: list = _lst("\\downloads\\")
+    archive_extensions: list = _lst(".zip", ".rar", ".7z", ".cab")
+    executable_extensions: list = _lst(".exe", ".com", ".scr", ".cpl", ".bat", ".cmd", ".vbs", ".vbe",
+                                       ".js", ".jse", ".wsf", ".ps1", ".hta", ".msi")
+    lnk_extension: str = ".lnk"
+    lnk_to_execution_window_s: float = 120.0
+    archive_to_execution_window_s: float = 600.0
+    removable_drive_letters: list = field(default_factory=lambda: list("DEFGHIJKLMNOPQRSTUVWXYZ"))
+    discovery_commands: dict = field(default_factory=lambda: {
+        "files": ["dir ", "get-childitem", "type ", "get-content"],
+        "users": ["whoami", "net user", "net localgroup", "query user", "get-localuser", "get-localgroup"],
+        "system": ["tasklist", "systeminfo", "wmic product get", "get-service", "wmic computersystem"],
+        "network": ["ipconfig", "netstat", "netsh advfirewall"],
+        "antivirus": ["securitycenter2", "get-mppreference"],
+    })
+    discovery_window_s: float = 300.0
+    discovery_min_distinct_commands: int = 3
+    discovery_min_categories: int = 2
+    sensitive_data_paths: list = _lst(
+        "\\appdata\\roaming\\signal", "wallet.dat", "\\.ssh\\", "\\appdata\\local\\google\\chrome\\user data",
+        "\\microsoft sql server\\", "\\appdata\\roaming\\telegram", "\\appdata\\roaming\\discord")
+    archive_staging_commands: list = _lst("compress-archive", "7za.exe", "7z.exe", "rar.exe", "winrar")
+    credential_keyword_commands: list = _lst("findstr password", "findstr /i password", "select-string password")
+    stealer_distinct_category_threshold: int = 3
+    stealer_window_s: float = 60.0
+    tool_transfer_patterns: list = _lst("certutil.exe", "-urlcache", "curl.exe ", "invoke-webrequest", " iwr ",
+                                        "downloadfile(", "downloadstring(", "bitsadmin")
+    known_browser_images: list = _lst("\\msedge.exe", "\\chrome.exe", "\\firefox.exe", "\\iexplore.exe")
+    known_benign_network_images: list = _lst(
+        "\\svchost.exe", "\\msedge.exe", "\\chrome.exe", "\\firefox.exe", "\\onedrive.exe", "\\searchapp.exe",
+        "\\backgroundtaskhost.exe")
+    suspicious_network_process_dirs: list = _lst("\\appdata\\local\\temp", "\\appdata\\roaming", "c:\\programdata",
+                                                 "c:\\temp", "c:\\users\\public")
+    transfer_to_network_window_s: float = 30.0
+    powershell_strong_markers: list = _lst(
+        "amsiutils", "amsiinitfailed", "amsiscanbuffer", "invoke-mimikatz", "sekurlsa::", "lsadump::",
+        "kerberos::golden", "invoke-kerberoast", "invoke-bloodhound", "sharphound", "invoke-shellcode",
+        "invoke-reflectivepeinjection", "out-minidump", "get-gpppassword", "powersploit", "invoke-smbexec",
+        "invoke-wmiexec", "invoke-thehash", "invoke-rubeus", "invoke-powerdump", "get-keystrokes",
+        "invoke-dcsync", "invoke-tokenmanipulation")
+    powershell_weak_markers: list = _lst(
+        "invoke-expression", "iex(", "iex (", "frombase64string", "downloadstring", "downloadfile",
+        "net.webclient", "virtualalloc", "-bxor", "reflection.assembly]::load", "-windowstyle hidden",
+        "-w hidden", "-noprofile", "-nop ", "bypass", "start-bitstransfer", "[char[]]", "gzipstream",
+        "-encodedcommand")
+    powershell_weak_marker_threshold: int = 3
+    max_evidence_events: int = 25

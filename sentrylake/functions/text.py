@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-part public suffixes.
@@ -14,6 +14,13 @@ MULTI_SUFFIX = [
 ]
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator. The optimizer cannot copy them into later filters
+    and projections, so an expensive text expression runs once per row."""
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select(*df.columns, "_once.*")
+
+
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits per character; 0 for empty text."""
     n = F.length(s).cast("double")
@@ -83,11 +90,10 @@ def has_suffix(domain: Column, suffixes) -> Column:
 
 
 def hits(text: Column, words) -> Column:
-    """The words contained in the lower-cased text, in list order."""
-    low = F.lower(text)
-    return F.coalesce(
-        F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, F.lower(w))),
-        F.array().cast("array<string>"))
+    """The words contained in the lower-cased text, in list order. The text is bound once."""
+    listed = F.array(*[F.lit(w.lower()) for w in words])
+    found = F.transform(F.array(F.lower(text)), lambda t: F.filter(listed, lambda w: F.contains(t, w)))
+    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
 
 
 def first_hit(text: Column, words) -> Column:

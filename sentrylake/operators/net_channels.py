@@ -97,9 +97,8 @@ def c2_bad_port(ev, cfg):
 @rule("net", "NSM-EXFIL-001", "Data carried in DNS names", "Exfiltration", ["T1071.004", "T1048.003"])
 def exfil_dns(ev, cfg):
     q = F.col("dns_query")
-    rows = ev.where(present(q)).withColumn("domain", tx.registered_domain(q))
+    rows = tx.compute_once(ev.where(present(q)), domain=tx.registered_domain(q), sub=tx.subdomain_part(q))
     rows = rows.where(F.col("domain").isNotNull() & (F.col("domain") != "") & ~tx.has_suffix(F.col("domain"), cfg.domain_allowlist))
-    rows = rows.withColumn("sub", tx.subdomain_part(q))
     sub = F.when(F.col("sub") != "", F.col("sub"))
     flat = F.replace(sub, F.lit("."), F.lit(""))
     labels = F.split(sub, r"\.")

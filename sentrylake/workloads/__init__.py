@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_cases():
-    from sentrylake.workloads import net
+    from sentrylake.workloads import net, windows
     out = []
-    for module in (net,):
+    for module in (net, windows):
         out.extend(module.CASES)
     names = [c.name for c in out]
     assert len(names) == len(set(names)), "duplicate query names"

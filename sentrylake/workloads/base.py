@@ -42,7 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def from_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a stand-in view over the given tables."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    # A stored event table has plain columns; without this the derivation would be copied into
+    # every expression that reads it.
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
 
 
 def duck_sql(text: str) -> str:
