@@ -157,3 +157,36 @@ class WinConfig(_Profile):
         "-encodedcommand")
     powershell_weak_marker_threshold: int = 3
     max_evidence_events: int = 25
+
+
+# Default thresholds and lists of the packet rules.
+@dataclass
+class PacketConfig(_Profile):
+    scan_connect_window_floor: int = 1024
+    vertical_scan_min_ports: int = 15
+    vertical_scan_window_seconds: int = 60
+    horizontal_scan_min_hosts: int = 10
+    horizontal_scan_window_seconds: int = 60
+    udp_scan_min_unreachables: int = 8
+    udp_scan_window_seconds: int = 60
+    arp_conflict_window_seconds: int = 120
+    arp_flood_min_targets: int = 20
+    arp_flood_window_seconds: int = 30
+    icmp_tunnel_payload_len_floor: int = 64
+    icmp_tunnel_min_packets: int = 20
+    icmp_tunnel_window_seconds: int = 120
+    dns_tunnel_qname_len_floor: int = 40
+    dns_tunnel_min_queries: int = 15
+    dns_tunnel_window_seconds: int = 120
+    dns_tunnel_allowlist: list = _lst(
+        "in-addr.arpa", "ip6.arpa", "akamai.net", "akamaiedge.net", "akamaized.net", "cloudfront.net",
+        "trafficmanager.net", "azureedge.net", "windowsupdate.com", "googleusercontent.com", "gvt1.com", "gvt2.com",
+        "amazonaws.com", "fastly.net", "edgekey.net", "edgesuite.net", "sophosxl.net", "mcafee.com", "spamhaus.org",
+        "local", "_tcp.local", "_udp.local")
+    bruteforce_min_failures: int = 5
+    bruteforce_window_seconds: int = 120
+    spray_min_targets: int = 5
+    spray_max_per_target: int = 3
+    spray_window_seconds: int = 300
+    scanner_user_agents: list = _lst("sqlmap", "nmap", "wfuzz", "nikto", "nessus", "acunetix", "havij", "gobuster", "dirbuster")
+    acl_default_action: str = "deny"

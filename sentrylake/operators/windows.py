@@ -279,3 +279,17 @@ def consecutive_batches(rows: DataFrame, keys: list[str], window_us: int,
               .sortWithinPartitions(*keys, "_chunk", "_ts"))
     out = tagged.mapInPandas(_assign_anchor(keys, wide), f"{kcols}, _ts bigint, anchor bigint")
     return out.select(*keys, F.col("_ts").alias(ts), "anchor")
+
+
+def previous_row(rows: DataFrame, keys: list[str], columns: list[str], ts: str = "ts_us", order_id: str = "event_id",
+                 width: int = 3600 * SECOND, out: str = "prev") -> DataFrame:
+    """The given columns of the row just before, in (ts, id) order, split into time buckets."""
+    packed = F.struct(ts, order_id, *columns)
+    tagged = rows.withColumn("_b", bucket_of(F.col(ts), width)).withColumn("_s", packed)
+    last = tagged.groupBy(*keys, "_b").agg(F.max(F.struct(ts, order_id, "_s")).alias("_m"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    carry = (last.withColumn("_s", F.lag("_m._s").over(order)).where(F.col("_s").isNotNull())
+             .select(*keys, "_b", "_s", F.col(f"_s.{ts}").alias(ts), F.lit(True).alias("_carry")))
+    both = tagged.withColumn("_carry", F.lit(False)).unionByName(carry, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_b").orderBy(ts, F.desc("_carry"), order_id)
+    return both.withColumn(out, F.lag("_s").over(part)).where(~F.col("_carry")).drop("_b", "_s", "_carry")

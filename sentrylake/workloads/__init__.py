@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_cases():
-    from sentrylake.workloads import net, windows
+    from sentrylake.workloads import net, packets, windows
     out = []
-    for module in (net, windows):
+    for module in (net, windows, packets):
         out.extend(module.CASES)
     names = [c.name for c in out]
     assert len(names) == len(set(names)), "duplicate query names"
