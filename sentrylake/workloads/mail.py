@@ -65,6 +65,16 @@ def group(prefix):
     return lambda spark, sf: mr.findings(joined(spark, sf)).where(F.col("rule_id").startswith(f"PH-{prefix}"))
 
 
+def url_case(spark, sf):
+    m, u, _ = tables(spark, sf)
+    return mr.url_findings(m, ul.analyse(u))
+
+
+def att_case(spark, sf):
+    m, _, a = tables(spark, sf)
+    return mr.attachment_findings(m, a)
+
+
 def verdict(spark, sf):
     return mr.verdicts(joined(spark, sf))
 
@@ -123,30 +133,30 @@ F4 = "message_id:i rule_id:s severity:s score:i"
 HOSTS = "regexp_replace(regexp_replace(url, '^https?://', ''), '[/?#].*$', '')"
 
 CASES = [
-    Case("mail_header_rules", group("HDR"), F4, HEAD),
-    Case("mail_auth_rules", group("AUTH"), F4, AUTH),
-    Case("mail_url_rules", group("URL"), F4),
-    Case("mail_attachment_rules", group("ATT"), F4, W + f""", f AS (SELECT message_id, filename, length(trim(body_text)) + length(trim(body_html)) AS n FROM ms WHERE filename IS NOT NULL),
+    Case("mail_header_rules", lambda s, d: mr.header_findings(tables(s, d)[0]), F4, HEAD),
+    Case("mail_auth_rules", lambda s, d: mr.auth_findings(tables(s, d)[0]), F4, AUTH),
+    Case("mail_url_rules", url_case, F4),
+    Case("mail_attachment_rules", att_case, F4, W + f""", f AS (SELECT message_id, filename, length(trim(body_text)) + length(trim(body_html)) AS n FROM ms WHERE filename IS NOT NULL),
 r AS (SELECT message_id, unnest([CASE filename WHEN 'invoice.pdf.exe' THEN {{'r': 'PH-ATT-001', 's': 'critical', 'p': 40}} WHEN 'setup.js' THEN {{'r': 'PH-ATT-002', 's': 'critical', 'p': 38}} WHEN 'photo.png' THEN {{'r': 'PH-ATT-002', 's': 'critical', 'p': 38}}
   WHEN 'report.docm' THEN {{'r': 'PH-ATT-003', 's': 'high', 'p': 22}} WHEN 'doc.pdf' THEN {{'r': 'PH-ATT-004', 's': 'high', 'p': 24}} WHEN 'data.zip' THEN {{'r': 'PH-ATT-006', 's': 'medium', 'p': 14}} END,
   CASE WHEN filename = 'photo.png' THEN {{'r': 'PH-ATT-005', 's': 'critical', 'p': 35}} END, CASE WHEN n < 120 THEN {{'r': 'PH-ATT-007', 's': 'high', 'p': 20}} END]) AS x FROM f)
 SELECT message_id, x.r AS rule_id, x.s AS severity, x.p AS score FROM r WHERE x IS NOT NULL""".replace("{{", "{").replace("}}", "}")),
     Case("mail_social_rules", group("SOC"), F4),
-    Case("mail_language_score", lambda s, d: mr.features(tables(s, d)[0]), "message_id:i language_score:i urgency:i threat:i credential:i bec:i financial:i", LANG),
+    Case("mail_language_score", lambda s, d: mr.language_features(tables(s, d)[0]), "message_id:i language_score:i urgency:i threat:i credential:i bec:i financial:i", LANG),
     Case("mail_verdict", verdict, "message_id:i score:i verdict:s types:l"),
     Case("mail_iocs", iocs, "kind:s value:s"),
     Case("received_path", lambda s, d: mr.received_hops(tables(s, d)[0]), "message_id:i pos:i from_host:s by_host:s from_ip:s with_protocol:s delay_seconds:d", W + """
 SELECT message_id, pos, 'a.example' AS from_host, 'b.example' AS by_host, 'ESMTP' AS with_protocol, CASE pos WHEN 0 THEN '10.0.0.1' ELSE '203.0.113.' || (message_id % 250) END AS from_ip, CASE WHEN pos = 0 AND hop_count = 2 THEN 20.0 END AS delay_seconds
 FROM (SELECT message_id, hop_count, unnest(range(hop_count)) AS pos FROM ms)"""),
     Case("originating_ip", lambda s, d: mr.originating_ip(tables(s, d)[0]), "message_id:i originating_ip:s", W + " SELECT message_id, CASE hop_count WHEN 0 THEN '' WHEN 1 THEN '10.0.0.1' ELSE '203.0.113.' || (message_id % 250) END AS originating_ip FROM ms"),
-    Case("lookalike", lambda s, d: br.lookalikes(mr.features(tables(s, d)[0]), "from_domain"), "domain:s brand:s technique:s", W + """, d AS (SELECT DISTINCT split_part(from_address, '@', 2) AS domain FROM ms)
+    Case("lookalike", lambda s, d: br.lookalikes(mr.header_features(tables(s, d)[0]), "from_domain"), "domain:s brand:s technique:s", W + """, d AS (SELECT DISTINCT split_part(from_address, '@', 2) AS domain FROM ms)
 SELECT domain, CASE domain WHEN 'paypa1.com' THEN 'paypal' WHEN 'micros0ft-login.net' THEN 'microsoft' WHEN 'netflix.com.evil.xyz' THEN 'netflix' WHEN 'arnazon.com' THEN 'amazon' WHEN 'dhl-team.top' THEN 'dhl' WHEN 'gogle.com' THEN 'google' ELSE 'chase' END AS brand,
   CASE WHEN domain IN ('paypa1.com', 'arnazon.com') THEN 'exact-skeleton' WHEN domain = 'gogle.com' THEN 'typo' WHEN domain = 'netflix.com.evil.xyz' THEN 'brand-subdomain' ELSE 'brand-in-label' END AS technique FROM d
 WHERE domain IN ('paypa1.com', 'micros0ft-login.net', 'netflix.com.evil.xyz', 'arnazon.com', 'dhl-team.top', 'gogle.com', 'secure-chase.club')"""),
     Case("url_extract", lambda s, d: tables(s, d)[1].where(F.col("source") == "html_href"), "message_id:i url:s domain:s display_text:s", W + """, u AS (SELECT message_id, unnest(regexp_extract_all(body_html, '(?s)<a [^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 1)) AS u, unnest(regexp_extract_all(body_html, '(?s)<a [^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 2)) AS shown FROM ms)
 SELECT message_id, replace(u, '&amp;', '&') AS url, CASE WHEN contains(u, 'safelinks') THEN 'evil.xyz' WHEN contains(u, '@') THEN 'evil.example' ELSE regexp_extract(u, '://([^/?#]+)', 1) END AS domain, shown AS display_text FROM u WHERE u LIKE 'http%'"""),
     Case("url_unwrap", lambda s, d: tables(s, d)[1].where(F.size("redirect_chain") > 0), "message_id:i final_url:s redirect_chain:l", W + """
-SELECT message_id, 'https://evil.xyz/login' AS final_url, ['https://safelinks.protection.outlook.com/?url=https%3A%2F%2Fwww.google.com%2Furl%3Fq%3Dhttps%253A%252F%252Fevil.xyz%252Flogin&d=1', 'https://www.google.com/url?q=https%3A%2F%2Fevil.xyz%2Flogin'] AS redirect_chain
+SELECT message_id, 'https://evil.xyz/login' AS final_url, ['https://safelinks.protection.outlook.com/?url=https%3A%2F%2Fwww.google.com%2Furl%3Fq%3Dhttps%253A%252F%252Fevil.xyz%252Flogin&d=1', 'https://www.google.com/url?q=https://evil.xyz/login'] AS redirect_chain
 FROM ms WHERE contains(body_html, 'safelinks')"""),
     Case("page_hosts", lambda s, d: ul.analyse(from_sql(s, d, "SELECT page_id AS message_id, url FROM {pages}").select(
             "message_id", "url", F.lit("text").alias("source"), F.lit("").alias("display_text"), F.lit(False).alias("is_tracking_pixel"), F.array().cast("array<string>").alias("redirect_chain"),
