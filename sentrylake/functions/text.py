@@ -18,7 +18,7 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator. The optimizer cannot copy them into later filters
     and projections, so an expensive text expression runs once per row."""
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.explode(F.array(packed)).alias("_once")).select(*df.columns, "_once.*")
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select(*[F.col(f"`{c}`") for c in df.columns], "_once.*")
 
 
 def entropy(s: Column) -> Column:
