@@ -53,7 +53,8 @@ def tables(spark, sf):
         F.array().cast("array<string>")).alias("embedded_urls"))
     msgs = m.drop("auth", "hop_count", "filename")
     emb = att.groupBy("message_id").agg(F.flatten(F.collect_list("embedded_urls")).alias("embedded_urls"))
-    return msgs, ul.extract(msgs.select("message_id", "body_text", "body_html").join(emb, "message_id", "left")), att
+    # The link table is read by several rules, so it is kept once it has been extracted.
+    return msgs, ul.extract(msgs.select("message_id", "body_text", "body_html").join(emb, "message_id", "left")).persist(), att
 
 
 def joined(spark, sf):
