@@ -9,6 +9,7 @@ from sentrylake.functions.net import (HIGH_RISK_PORTS, LATERAL_PORTS, in_network
                                       service_name)
 from sentrylake.functions.text import any_hit
 from sentrylake.operators.rulebook import band, bounds, points, rule, sorted_list
+from sentrylake.session import staged
 from sentrylake.operators.windows import (SECOND, bucket_of, densest_run, distinct_run_rows,
                                           most_distinct_run, run_rows)
 
@@ -35,10 +36,10 @@ def _scan(ev, cfg, keys, value, window_s, internal_min, external_min, listed, li
     window = window_s * SECOND
     inside = in_networks(F.col("src_ip"), cfg.home_nets)
     best = most_distinct_run(rows, keys, value, window, min(internal_min, external_min))
-    best = best.where(F.col("run_k") >= F.when(inside, internal_min).otherwise(external_min))
+    best = staged(best.where(F.col("run_k") >= F.when(inside, internal_min).otherwise(external_min)))
     hit = distinct_run_rows(rows, best, keys, value, window)
-    per = hit.groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("action").isin(BLOCKED)).alias("b"), *bounds())
+    per = staged(hit.groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("action").isin(BLOCKED)).alias("b"), *bounds()))
     out = per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(count_name), F.sum("n").alias("attempts"), F.sum("b").alias("blocked"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
@@ -128,9 +129,9 @@ def cred_spray(ev, cfg):
     fails = auth(ev).where((F.col("action") == "failure") & present(F.col("src_ip")) & present(F.col("user")))
     fails = fails.select("event_id", "src_ip", "user", "ts_us")
     window = cfg.spray_window_s * SECOND
-    best = most_distinct_run(fails, ["src_ip"], "user", window, cfg.spray_min_users)
-    per = distinct_run_rows(fails, best, ["src_ip"], "user", window).groupBy("src_ip", "user").agg(
-        F.count(F.lit(1)).alias("n"), *bounds())
+    best = staged(most_distinct_run(fails, ["src_ip"], "user", window, cfg.spray_min_users))
+    per = staged(distinct_run_rows(fails, best, ["src_ip"], "user", window).groupBy("src_ip", "user").agg(
+        F.count(F.lit(1)).alias("n"), *bounds()))
     out = per.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("distinct_users"), F.sum("n").alias("total_attempts"),
         F.max("n").alias("max_per_user"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
@@ -211,10 +212,11 @@ def lateral_move(ev, cfg):
         ((F.col("kind") == "ids_alert")
          & any_hit(F.col("signature"), ["exploit", "lateral", "brute", "psexec", "smb"])).alias("exploit"))
     window = cfg.lateral_window_s * SECOND
-    best = most_distinct_run(rows, ["src_ip"], "dst_ip", window, cfg.lateral_min_targets)
+    best = staged(most_distinct_run(rows, ["src_ip"], "dst_ip", window, cfg.lateral_min_targets))
     per = distinct_run_rows(rows, best, ["src_ip"], "dst_ip", window).groupBy("src_ip", "dst_ip").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "allow").alias("allowed"),
         F.count_if("exploit").alias("exploit"), F.collect_set("dst_port").alias("ports"), *bounds())
+    per = staged(per)
     # The port set has at most seven members, so flattening it stays small.
     out = per.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("target_count"), F.sum("n").alias("attempts"), F.sum("allowed").alias("allowed"),
@@ -272,7 +274,7 @@ def vpn_pivots(ev: DataFrame, cfg) -> DataFrame:
                 .where(F.col("ts_us").between(F.col("login_us"), F.col("login_us") + week))
                 .groupBy("login_id", "user", "external_ip", "login_us", *cell)
                 .agg(F.count(F.lit(1)).alias("n"), *bounds()))
-    parts = met.where(whole).select(*resolved.columns).unionByName(resolved)
+    parts = staged(met.where(whole).select(*resolved.columns).unionByName(resolved))
     key = ["login_id", "user", "external_ip", "assigned_ip", "login_us"]
     per = parts.groupBy(*key, "dst_ip").agg(
         F.sum("n").alias("n"), F.count_if(F.col("sig") != "").alias("alerts"),

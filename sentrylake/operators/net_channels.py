@@ -9,6 +9,7 @@ from sentrylake.functions import text as tx
 from sentrylake.functions.net import SUSPICIOUS_PORTS, in_networks, present, service_name
 from sentrylake.operators.net_access import BLOCKED, not_listed
 from sentrylake.operators.rulebook import band, bounds, points, rule, sorted_list
+from sentrylake.session import staged
 from sentrylake.operators.windows import (SECOND, bucket_of, densest_run, exact_median, previous_instant,
                                           run_rows)
 
@@ -30,10 +31,10 @@ def gap_statistics(instants: DataFrame, keys: list[str]) -> DataFrame:
     """Per key over distinct instants: gap count, jitter (stdev/mean), median, MAD/median and the
     share of gaps within 20 % of the median. Gaps are integer microseconds, medians are exact."""
     gaps = previous_instant(instants, keys).where(F.col("prev_us").isNotNull())
-    gaps = gaps.select(*keys, (F.col("ts_us") - F.col("prev_us")).alias("gap"))
+    gaps = staged(gaps.select(*keys, (F.col("ts_us") - F.col("prev_us")).alias("gap")))
     basic = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("gaps"), (F.stddev_pop(F.col("gap") / SECOND) / F.avg(F.col("gap") / SECOND)).alias("jitter"))
-    med = exact_median(gaps, keys, "gap", 60 * SECOND, "med2")
+    med = staged(exact_median(gaps, keys, "gap", 60 * SECOND, "med2"))
     dev = gaps.join(med, keys).withColumn("dev", F.abs(2 * F.col("gap") - F.col("med2")))
     near = dev.groupBy(*keys).agg(F.avg((F.col("dev") <= 0.2 * F.col("med2")).cast("double")).alias("near"))
     mad = exact_median(dev.select(*keys, "dev"), keys, "dev", 60 * SECOND, "mad2")
@@ -57,6 +58,7 @@ def c2_beacon(ev, cfg):
         F.stddev_pop(F.when(F.col("f.bytes_out") > 0, F.col("f.bytes_out"))).alias("size_sd"),
         F.avg(F.when(F.col("f.bytes_out") > 0, F.col("f.bytes_out"))).alias("size_avg"),
         *bounds()).where(F.col("connections") >= cfg.beacon_min_events)
+    enough = staged(enough)
     stats = gap_statistics(uniq.select(*key, "ts_us").join(enough.select(*key), key, "left_semi"), key)
     regular = (F.col("jitter") <= cfg.beacon_max_jitter) | (F.col("mad_ratio") <= cfg.beacon_max_mad_ratio)
     hit = stats.where((F.col("gaps") >= 3) & (F.col("near") >= 0.70) & regular
@@ -130,7 +132,8 @@ def exfil_dns(ev, cfg):
         (F.col("odd_qtypes") >= 3, 1), (many & (F.col("nx") / F.col("queries") >= cfg.dns_nxdomain_ratio), 2),
         (many & (1.0 - F.col("resp") / F.col("queries") >= 0.8), 1),
         (F.col("host_count") >= cfg.dns_min_hosts_for_campaign, 1), (F.col("mr") >= 8, 1), (F.col("md") >= 0.25, 1))
-    out = out.withColumn("score", score).where(F.col("score") >= 5)
+    out = staged(out.withColumn("score", score).where(F.col("score") >= 5))
+    rows = rows.join(out.select("domain"), "domain", "left_semi")
     hosts = sorted_list(rows.where(present(F.col("src_ip"))), ["domain"], "src_ip", 20, "internal_hosts")
     return out.join(hosts, "domain", "left").select(
         F.col("domain").alias("entity"), "queries", "unique_subdomains", "max_qname_len",
@@ -332,6 +335,7 @@ def dns_race(ev, cfg):
         & ~F.col("nx.dns_answer").eqNullSafe(F.col("dns_answer")))
     racing = pairs.groupBy("dns_query").agg(
         F.count(F.lit(1)).alias("conflicts"), F.min("ts_us").alias("first_us"), F.max("nx.ts_us").alias("last_us"))
+    racing = staged(racing)
     told = rows.where(present(F.col("dns_answer"))).join(racing.select("dns_query"), "dns_query", "left_semi")
     n = told.groupBy("dns_query").agg(F.countDistinct("dns_answer").alias("answer_count")).where(F.col("answer_count") >= 2)
     return (racing.join(n, "dns_query")

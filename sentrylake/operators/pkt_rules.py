@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import packet as pk
 from sentrylake.functions import text as tx
 from sentrylake.operators.rulebook import bounds, points, rule, sorted_list
+from sentrylake.session import staged
 from sentrylake.operators.windows import SECOND, densest_run, largest_mixed_run, previous_row, run_rows
 from sentrylake.operators.win_rules import graded
 
@@ -24,7 +25,7 @@ def _run_summary(rows, keys, value, window_s, minimum, n, count_name, list_name,
     """Largest run per key, then its distinct values of one column."""
     window = window_s * SECOND
     best = densest_run(rows, keys, window, minimum)
-    per = run_rows(rows, best, keys, window).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *bounds(), *extra)
+    per = staged(run_rows(rows, best, keys, window).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *bounds(), *extra))
     sums = [F.sum(c).alias(c) for c in per.columns if c not in (*keys, value, "n", "first_us", "last_us")]
     out = per.groupBy(*keys).agg(
         F.count(value).alias(count_name), F.sum("n").alias("packets"), *sums,

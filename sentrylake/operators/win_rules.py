@@ -11,6 +11,7 @@ from sentrylake.functions import win as wf
 from sentrylake.functions.net import private_or_unparseable
 from sentrylake.operators.intervals import first_in_interval
 from sentrylake.operators.rulebook import rule, sorted_list
+from sentrylake.session import staged
 from sentrylake.operators.windows import SECOND, consecutive_batches
 
 SCRIPT_HOSTS = ["powershell.exe", "pwsh.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe"]
@@ -37,7 +38,7 @@ def _failed_batches(ev: DataFrame, cfg) -> DataFrame:
     enough = rows.groupBy(*key).count().where(F.col("count") >= cfg.brute_force_attempts_threshold).drop("count")
     rows = rows.join(enough, key, "left_semi")
     window = int(cfg.brute_force_window_s * SECOND)
-    tagged = rows.join(consecutive_batches(rows, key, window, "t_us"), key + ["t_us"])
+    tagged = staged(rows.join(consecutive_batches(rows, key, window, "t_us"), key + ["t_us"]))
     per = tagged.groupBy(*key, "anchor").agg(F.count(F.lit(1)).alias("attempts"), F.max("t_us").alias("last_us"))
     return tagged, per.where(F.col("attempts") >= cfg.brute_force_attempts_threshold)
 
@@ -274,7 +275,7 @@ def _first_batch(rows: DataFrame, keys: list[str], window_us: int, checks: dict,
         F.countDistinct("cat").alias("n_cat"), F.countDistinct("cmd").alias("n_cmd"),
         F.array_sort(F.collect_set("cat")).alias("categories"), F.array_sort(F.collect_set("cmd")).alias("commands"),
         F.max("last_us").alias("last_us"))
-    out = out.where(keep)
+    out = staged(out.where(keep))
     first = out.groupBy(*keys).agg(F.min("anchor").alias("anchor"))
     return out.join(first, keys + ["anchor"])
 

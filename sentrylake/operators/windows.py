@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylake.session import staged
+
 SECOND = 1_000_000
 
 
@@ -251,7 +253,7 @@ def consecutive_batches(rows: DataFrame, keys: list[str], window_us: int,
     wide = window_us + 1
     chunk_us = wide * chunk_windows
     inst = rows.select(*keys, F.col(ts).alias("_ts")).distinct()
-    inst = inst.withColumn("_chunk", bucket_of(F.col("_ts"), chunk_us))
+    inst = staged(inst.withColumn("_chunk", bucket_of(F.col("_ts"), chunk_us)))
     types = {f.name: f.dataType.simpleString() for f in inst.schema}
     kcols = ", ".join(f"{k} {types[k]}" for k in keys)
     ordered = inst.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_ts")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "sentrylake") -> SparkSession:
@@ -26,6 +27,29 @@ def local_session(cores: int = 8, app: str = "sentrylake") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches; only a local session falls back to a folder of its own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    made = tempfile.mkdtemp(prefix="sentrylake-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several later steps read and hand back the table. It is computed
+    once, survives lost executors, and its size is known to the planner from then on."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; only a bare test session gets its own."""
     sc = spark.sparkContext

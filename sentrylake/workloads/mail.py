@@ -150,7 +150,7 @@ SELECT message_id, x.r AS rule_id, x.s AS severity, x.p AS score FROM r WHERE x
 SELECT message_id, pos, 'a.example' AS from_host, 'b.example' AS by_host, 'ESMTP' AS with_protocol, CASE pos WHEN 0 THEN '10.0.0.1' ELSE '203.0.113.' || (message_id % 250) END AS from_ip, CASE WHEN pos = 0 AND hop_count = 2 THEN 20.0 END AS delay_seconds
 FROM (SELECT message_id, hop_count, unnest(range(hop_count)) AS pos FROM ms)"""),
     Case("originating_ip", lambda s, d: mr.originating_ip(tables(s, d)[0]), "message_id:i originating_ip:s", W + " SELECT message_id, CASE hop_count WHEN 0 THEN '' WHEN 1 THEN '10.0.0.1' ELSE '203.0.113.' || (message_id % 250) END AS originating_ip FROM ms"),
-    Case("lookalike", lambda s, d: br.lookalikes(mr.header_features(tables(s, d)[0]), "from_domain"), "domain:s brand:s technique:s", W + """, d AS (SELECT DISTINCT split_part(from_address, '@', 2) AS domain FROM ms)
+    Case("lookalike", lambda s, d: br.lookalikes(mr.sender_features(tables(s, d)[0]), "from_domain"), "domain:s brand:s technique:s", W + """, d AS (SELECT DISTINCT split_part(from_address, '@', 2) AS domain FROM ms)
 SELECT domain, CASE domain WHEN 'paypa1.com' THEN 'paypal' WHEN 'micros0ft-login.net' THEN 'microsoft' WHEN 'netflix.com.evil.xyz' THEN 'netflix' WHEN 'arnazon.com' THEN 'amazon' WHEN 'dhl-team.top' THEN 'dhl' WHEN 'gogle.com' THEN 'google' ELSE 'chase' END AS brand,
   CASE WHEN domain IN ('paypa1.com', 'arnazon.com') THEN 'exact-skeleton' WHEN domain = 'gogle.com' THEN 'typo' WHEN domain = 'netflix.com.evil.xyz' THEN 'brand-subdomain' ELSE 'brand-in-label' END AS technique FROM d
 WHERE domain IN ('paypa1.com', 'micros0ft-login.net', 'netflix.com.evil.xyz', 'arnazon.com', 'dhl-team.top', 'gogle.com', 'secure-chase.club')"""),
