@@ -41,7 +41,9 @@ def rule(kit: str, rule_id: str, title: str, category: str, mitre=()):
 
 
 def list_rules(spark: SparkSession, kit: str | None = None) -> DataFrame:
-    rows = [(r.kit, r.name, r.rule_id, r.title, r.category, list(r.mitre))
+    from sentrylake.operators import mail_rules, net_access, net_channels, pkt_rules, win_rules  # noqa: F401
+    mail = [("mail", i.lower(), i, t, "Email", []) for i, t in mail_rules.CATALOGUE.items() if kit in (None, "mail")]
+    rows = mail + [(r.kit, r.name, r.rule_id, r.title, r.category, list(r.mitre))
             for k, rules in REGISTRY.items() for r in rules if kit in (None, k)]
     return spark.createDataFrame(
         rows, "kit string, name string, rule_id string, title string, category string, mitre array<string>")

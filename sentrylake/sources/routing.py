@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrylake.functions.text import compute_once
 from sentrylake.sources.netlogs import PARSERS
 
 HEAD = 65536
@@ -22,11 +23,14 @@ def route(files: DataFrame) -> DataFrame:
     head = F.lower(F.substring(body, 1, 4096))
     lines = F.slice(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != ""), 1, 200)
     f = f.withColumn("lines", F.when(F.length("text") == HEAD, F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines))
-    score = {g: F.size(F.filter("lines", lambda x, fn=fn: fn(x)["ts_us"].isNotNull())) / F.greatest(F.size("lines"), F.lit(1)) for g, fn in PARSERS.items()}
-    best = F.greatest(*score.values())
+    def readable(fn):
+        return F.filter("lines", lambda x: fn(x)["ts_us"].isNotNull())
+    # One number per grammar, computed once per file.
+    f = compute_once(f, **{f"_{g}": F.size(readable(fn)) / F.greatest(F.size("lines"), F.lit(1)) for g, fn in PARSERS.items()})
+    best = F.greatest(*[f"_{g}" for g in PARSERS])
     grammar = F.lit(None).cast("string")
     for g in reversed(list(PARSERS)):
-        grammar = F.when((score[g] == best) & (best >= 0.5), g).otherwise(grammar)
+        grammar = F.when((F.col(f"_{g}") == best) & (best >= 0.5), g).otherwise(grammar)
     printable = F.length(F.regexp_replace("text", r"[^\x20-\x7e\t\r\n]", "")) / F.greatest(F.length("text"), F.lit(1)) > 0.95
     mail_lines = F.size(F.regexp_extract_all(F.substring("text", 1, 16384), F.lit(f"({_MAIL_HEADER})"), F.lit(1)))
     header_first = body.rlike(r"^[A-Za-z][A-Za-z0-9-]*\s*:")

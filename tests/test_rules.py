@@ -72,7 +72,7 @@ def test_run_is_isolated_and_empty_is_clean(spark):
     finally:
         rb.REGISTRY["net"].remove(broken)
     assert [(r.rule_id, r.severity) for r in rows] == [("NSM-ERR-001", "info")]
-    assert rb.list_rules(spark, "net").count() == 26 and rb.list_rules(spark, "win").count() == 24 and rb.list_rules(spark, "pkt").count() == 16
+    assert rb.list_rules(spark, "net").count() == 26 and rb.list_rules(spark, "win").count() == 24 and rb.list_rules(spark, "pkt").count() == 16 and rb.list_rules(spark).count() == 111
 
 
 def test_findings_and_evidence(spark):
