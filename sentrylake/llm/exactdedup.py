@@ -131,8 +131,9 @@ def exact_copies(df: DataFrame, id_col: str, text: str, max_filter_bits: int = 1
     rows = staged(flagged(rows, *repeat_filter(rows, max_filter_bits)))
     alone = rows.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest")
     again = rows.where("maybe")
-    groups = again.groupBy("digest").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))).alias("best"),
-                                         F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are plain and the planner can split a large group's rows.
+    groups = staged(again.groupBy("digest").agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))).alias("best"),
+                                                F.count(F.lit(1)).alias("group_size")))
     settled = again.join(groups, "digest").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest")
     return alone.unionByName(settled).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
