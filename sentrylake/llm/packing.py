@@ -8,7 +8,10 @@ scores best is cut to fill what is left.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,36 +23,51 @@ from pyspark.sql import types as T
 
 from sentrylake.llm.common import utf8
 
-#: Chunks that one worker remembers the ids of.
-REMEMBERED = 200_000
+#: Chunks that one task remembers the ids of, and bytes of text that it cuts into chunks at a time.
+REMEMBERED, BLOCK = 400_000, 1 << 20
+#: A chunk is what stands between spaces and line ends; a word before ASCII punctuation (but no apostrophe) is one of its
+#: own, because no piece of the tokenizer crosses from an ASCII letter to such a mark.
+_CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~ \n])|[^ \n]+")
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers, by a tokenizer whose pieces never
-    cross a space or a line end. The ids of a chunk between those are remembered; the memory is emptied when full."""
+    """Token ids of a text as little-endian unsigned 32-bit numbers, by a tokenizer that lower-cases and whose
+    pieces never cross a space or a line end. The ids of a chunk are remembered; the memory is emptied when full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        # Spark gives a task one core; the library would start a thread for each core of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [x.translate(_AS_SPACE).split(b" ") for x in texts]
-        known, new = self.known, set()
-        for c in chunks:
-            new.update(c)
-        new = [c for c in new if c not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({c for one in chunks for c in one})
-        for e, c in zip(self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), new):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
-
-
-_AS_SPACE = bytes(32 if b in b" \n" else b for b in range(256))
-
-
-def encoder(path: str) -> Callable[[], Callable[[list[bytes]], list[bytes]]]:
+    def _block(self, text: bytes) -> bytes:
+        # Special tokens are recognised before lower-casing, so a text that may hold one keeps its case.
+        chunks = _CHUNK.findall(text if b"<|" in text else text.lower())
+        known = self.known
+        new = [c for c in set(chunks) if c not in known]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(set(chunks))
+            for e, c in zip(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), new):
+                known[c] = array("I", e.ids).tobytes()
+        return b"".join(map(known.__getitem__, chunks))
+
+    def encode(self, text: bytes) -> bytes:
+        if len(text) <= BLOCK:
+            return self._block(text)
+        parts, at = [], 0
+        while at < len(text):
+            end = next((m.end() for m in (_BREAK.search(text, at + BLOCK),) if m), len(text))
+            parts.append(self._block(text[at:end]))
+            at = end
+        return b"".join(parts)
+
+
+_BREAK = re.compile(rb"[ \n]")
+
+
+def encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
     """What a task calls to get its own encoder for a tokenizer file."""
     return lambda: Encoder(path).encode
 
@@ -125,7 +143,7 @@ class Packer:
                 self.waiting.pop()
 
 
-def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[[list[bytes]], list[bytes]]], end_id: int,
+def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[[bytes], bytes]], end_id: int,
            max_tokens: int = 4096, max_segments: int = 256, max_loss: int = 4096, loss_from: str | None = None, window: int = 512) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit
     numbers), doc_tokens, loss_tokens, sequence_id, offset.
@@ -161,8 +179,8 @@ def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, free, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), to_ids(utf8(batch, "text"))):
-                ids += end
+            for doc, free, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch, "text")):
+                ids = to_ids(text) + end
                 free = min(max(free or 0, 0), len(ids) // 4)
                 note(packer.add((doc, ids, free), len(ids) // 4, len(ids) // 4 - free))
                 if len(out) >= 8192:
