@@ -43,3 +43,18 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes; null counts as empty."""
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def bounded(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with at most so many rows in an Arrow batch that goes to Python from now on in this session. The default of
+    10,000 is made for numbers; with texts it takes hundreds of megabytes in each worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
+def inner_utf8(batch: pa.RecordBatch, struct: str, field: str) -> list[bytes]:
+    """A text field of a struct column as UTF-8 bytes; null counts as empty."""
+    column = batch.column(batch.schema.get_field_index(struct)).field(field)
+    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sentrylake.llm.common import LOWER, remainder, utf8
+from sentrylake.llm.common import LOWER, bounded, remainder, utf8
 from sentrylake.session import staged
 
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Depth whose contexts are gathered into one task each; the shorter ones are few and are finished on the driver.
 TOP = 2
 
@@ -65,12 +66,12 @@ def gram_keys(lines: list[bytes], depth: int) -> np.ndarray:
     return keys[real]
 
 
-def blocks(texts: list[bytes]):
-    """Lines of the texts in blocks of about BLOCK bytes; a longer line is a block of its own."""
+def blocks(rows):
+    """Lists of (line, *row) for rows (text, ...), in blocks of about BLOCK bytes; a longer line is a block of its own."""
     at, size = [], 0
-    for t in texts:
-        at.append(line(t))
-        size += len(at[-1])
+    for row in rows:
+        at.append((line(row[0]), *row))
+        size += len(at[-1][0])
         if size >= BLOCK:
             yield at
             at, size = [], 0
@@ -175,16 +176,16 @@ class Model:
 
 
 def _texts(df: DataFrame, text: str, wanted) -> DataFrame:
-    return df.where(wanted).select(F.col(text).alias("text"))
+    return bounded(df).where(wanted).select(F.col(text).alias("text"))
 
 
 def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
     """(gram, n) over the column `text`."""
     def run(batches):
-        for batch in batches:
-            for lines in blocks(utf8(batch, "text")):
-                grams, n = np.unique(gram_keys(lines, depth), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
+        for block in blocks((t,) for batch in batches for t in utf8(batch, "text")):
+            grams, n = np.unique(gram_keys([x for x, _ in block], depth), return_counts=True)
+            for at in range(0, len(grams), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at:at + (1 << 16)].view(np.int64)), pa.array(n[at:at + (1 << 16)])], ["gram", "n"])
 
     return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -192,12 +193,16 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over the column `text`; the empty word counts the ends."""
     def run(batches):
+        seen: dict[bytes, int] = {b"": 0}
         for batch in batches:
-            seen: dict[bytes, int] = {b"": 0}
             for text in utf8(batch, "text"):
                 for w in tokens(text):
                     seen[w] = seen.get(w, 0) + 1
                 seen[b""] += 1
+            if len(seen) > 1 << 17:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen = {b"": 0}
+        if len(seen) > 1 or seen[b""]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
@@ -275,31 +280,27 @@ def score(df: DataFrame, id_col: str, text: str, held_out=None, depth: int = 5,
 
     def run(batches):
         levels, counts = shared.value
-        model, id_type = Model(levels), None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            ids, helds, texts = batch.column(0).to_pylist(), batch.column(1), utf8(batch, "text")
-            at = 0
-            for lines in blocks(texts):
-                part = texts[at:at + len(lines)]
-                logs, n_tokens, known, base, rare = model.line_logs(lines), [], [], [], []
-                for t in part:
-                    own: dict[bytes, int] = {b"": 1}
-                    for w in tokens(t):
-                        own[w] = own.get(w, 0) + 1
-                    found = {w: counts.get(w, 0) for w in own}
-                    n_tokens.append(sum(own.values()))
-                    known.append(sum(n for w, n in own.items() if found[w]))
-                    base.append(float(np.dot(list(own.values()), np.log10(np.array(list(found.values())) + 1.0))))
-                    rare.append([{"word": w, "n": n} for w, n in own.items() if not found[w]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:at + len(lines)], id_type), helds.slice(at, len(lines)), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(logs),
-                     pa.array(-logs / np.log10(2) / np.array([len(x) for x in lines])), pa.array(rare, rare_type)],
-                    ["id", "held_out", "n_tokens", "known", "base", "score", "code_length", "rare"])
-                at += len(lines)
+        model = Model(levels)
+        for block in blocks((t, i, h) for batch in batches for t, i, h in zip(utf8(batch, "text"), batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            lines, texts, ids, helds = zip(*block)
+            logs, n_tokens, known, base, rare = model.line_logs(lines), [], [], [], []
+            for t in texts:
+                own: dict[bytes, int] = {b"": 1}
+                for w in tokens(t):
+                    own[w] = own.get(w, 0) + 1
+                found = {w: counts.get(w, 0) for w in own}
+                n_tokens.append(sum(own.values()))
+                known.append(sum(n for w, n in own.items() if found[w]))
+                base.append(float(np.dot(list(own.values()), np.log10(np.array(list(found.values())) + 1.0))))
+                rare.append([{"word": w, "n": n} for w, n in own.items() if not found[w]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, id_type), pa.array(helds, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(logs),
+                 pa.array(-logs / np.log10(2) / np.array([len(x) for x in lines])), pa.array(rare, rare_type)],
+                ["id", "held_out", "n_tokens", "known", "base", "score", "code_length", "rare"])
 
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    id_type = to_arrow_type(rows.schema["id"].dataType)
     rows = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
                                 "code_length double, rare array<struct<word: binary, n: bigint>>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))

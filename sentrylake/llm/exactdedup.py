@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrylake.llm.common import SPACES, utf8
+from sentrylake.llm.common import SPACES, bounded, inner_utf8, utf8
 from sentrylake.session import staged
 
 SEGMENT_BITS = 1 << 16
@@ -78,17 +78,18 @@ def _twice(digests: DataFrame, n_bits: int) -> np.ndarray:
     return out
 
 
-def digested(df: DataFrame, text: str) -> DataFrame:
+def digested(df: DataFrame, text: str, inside: str | None = None) -> DataFrame:
     """The columns of df but the text, with digest (SHA-256 of the text without white space) and
-    points (code points of the original text)."""
-    keep = [c for c in df.columns if c != text]
+    points (code points of the original text). inside: the struct column that has the text and stays."""
+    df = bounded(df)
+    keep = [c for c in df.columns if inside or c != text]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("points", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            texts = utf8(batch, text)
+            texts = inner_utf8(batch, inside, text) if inside else utf8(batch, text)
             points = [len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in texts]
-            kept = [c for c, n in zip(batch.columns, batch.schema.names) if n != text]
+            kept = [c for c, n in zip(batch.columns, batch.schema.names) if n in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([normal_digest(x) for x in texts], pa.binary()), pa.array(points, pa.int64())], [*keep, "digest", "points"])
 
     return df.mapInArrow(run, schema)
@@ -143,8 +144,8 @@ def drop_copies(df: DataFrame, id_col: str, text: str, max_filter_bits: int = 1
     are never shuffled; of the others each task sends one row per digest at most, because a row
     number of 1 is pushed below the shuffle."""
     texts = digested(df.select(F.col(f"`{text}`").alias("text")), "text")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    rows = flagged(digested(rows, "text"), *repeat_filter(texts, max_filter_bits))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+    rows = flagged(digested(rows, text, "doc"), *repeat_filter(texts, max_filter_bits))
     best = Window.partitionBy("digest").orderBy(F.desc("points"), F.asc_nulls_last(F.col("doc").getField(id_col)))
     again = rows.where("maybe").withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
     return rows.where(~F.col("maybe")).select("doc.*").unionByName(again.select("doc.*"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrylake.llm.common import utf8
+from sentrylake.llm.common import bounded, inner_utf8, utf8
 
 FEATURES = ["log_bytes", "upper", "digits", "symbols", "exclaims", "stops_per_word", "spaces", "word_bytes", "distinct", "doubled", "lines_per_word", "odd_ends",
             "short_words", "capitalised", "high_bytes", "commonest", "entropy", "longest_word"]
@@ -153,7 +153,7 @@ def fit(df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str,
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(label_id).isNotNull() & learn).select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_label").limit(max_labels)
     # At most max_labels rows of two numbers.
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = bounded(df).select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
 
     def run(batches):
         for batch in batches:
@@ -166,17 +166,18 @@ def fit(df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str,
     return Additive(x, got.column("label").to_numpy())
 
 
-def scored(df: DataFrame, text: str, model: Additive, threshold: float = 0.3) -> DataFrame:
-    """The columns of df without `text`, with score (0 to 1) and predicted (1 if score >= threshold, else 0).
+def scored(df: DataFrame, text: str, model: Additive, threshold: float = 0.3, inside: str | None = None) -> DataFrame:
+    """The columns of df without `text` (with the struct column `inside`, if that has the text), with score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
     Null text counts as empty. An empty table gives an empty table. The new columns are
     called `score` and `predicted`; the input must not have columns of that name."""
-    kept = [c for c in df.columns if c != text]
+    df = bounded(df)
+    kept = [c for c in df.columns if inside or c != text]
 
     def run(batches):
         for batch in batches:
-            p = model.score(_matrix(utf8(batch, text)))
-            yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names) if n != text], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
+            p = model.score(_matrix(inner_utf8(batch, inside, text) if inside else utf8(batch, text)))
+            yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names) if n in kept], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              [*kept, "score", "predicted"])
 
     return df.mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
@@ -185,5 +186,5 @@ def scored(df: DataFrame, text: str, model: Additive, threshold: float = 0.3) ->
 def keep_good(df: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, learn: Column, threshold: float = 0.3) -> DataFrame:
     """df without the rows that the classifier rejects, with its columns, whatever their names."""
     model = fit(df, id_col, text, labels, label_id, label, learn)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
-    return scored(rows, "text", model, threshold).where("predicted = 1").select("doc.*")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+    return scored(rows, text, model, threshold, "doc").where("predicted = 1").select("doc.*")

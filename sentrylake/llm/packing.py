@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrylake.llm.common import utf8
+from sentrylake.llm.common import bounded, utf8
 
 #: Chunks that one task remembers the ids of, and bytes of text that it cuts into chunks at a time.
-REMEMBERED, BLOCK = 400_000, 1 << 20
+REMEMBERED, BLOCK = 300_000, 1 << 20
 #: A chunk is what stands between spaces and line ends; a word before ASCII punctuation (but no apostrophe) is one of its
 #: own, because no piece of the tokenizer crosses from an ASCII letter to such a mark.
 _CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~ \n])|[^ \n]+")
@@ -158,7 +158,7 @@ def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[
     powers of two, which need no padding. sequence_id is the task number times 2 ** 32 plus the sequence of the task."""
     if min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("limits must be positive")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), (F.col(loss_from).cast("bigint") if loss_from else F.lit(None).cast("bigint")).alias("loss_from"))
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.col(text).alias("text"), (F.col(loss_from).cast("bigint") if loss_from else F.lit(None).cast("bigint")).alias("loss_from"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *[T.StructField(n, T.LongType()) for n in (
         "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")]])
     end = int(end_id).to_bytes(4, "little")

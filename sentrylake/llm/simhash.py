@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import LOWER, utf8
+from sentrylake.llm.common import LOWER, bounded, utf8
 from sentrylake.llm.graph import components
 from sentrylake.session import staged
 
@@ -59,7 +59,7 @@ def simhash(text: bytes, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str, text: str, width: int = 3) -> DataFrame:
     """id and fingerprint (a signed long with the 64 bits) of every row."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import utf8
+from sentrylake.llm.common import bounded, utf8
 
 GRAM, WINDOW = 16, 64
 _BASE = np.uint64(0x100000001B3)
@@ -83,7 +83,7 @@ def fingerprints(df: DataFrame, id_col: str, text: str, gram: int = GRAM, window
 
     Null text counts as empty and has empty arrays. Repeated rows and null ids are carried; an empty table gives an
     empty table; other columns may have any name."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -157,5 +157,5 @@ def edited_likeness(df: DataFrame, id_col: str, text: str, gram: int = GRAM, win
             yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema)
 
     schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in names[2:5]], *[(n, pa.float64()) for n in names[5:]]])
-    rows = with_next(df, id_col, text).mapInArrow(run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = with_next(bounded(df), id_col, text).mapInArrow(run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return rows.withColumnRenamed("id", id_col)
