@@ -247,7 +247,7 @@ def exec_ps_suspicious(ev, cfg):
     rows = rows.withColumn("strong_markers", F.array_sort(tx.hits(F.col("command_text"), cfg.powershell_strong_markers)))
     rows = rows.withColumn("weak_markers", F.array_sort(tx.hits(F.col("command_text"), cfg.powershell_weak_markers)))
     rows = rows.where((F.size("strong_markers") > 0) | (F.size("weak_markers") >= cfg.powershell_weak_marker_threshold))
-    out = rows.groupBy("case_key", "computer", "strong_markers", "weak_markers", F.substring("command_line", 1, 200).alias("command_line")).agg(
+    out = rows.groupBy("case_key", "computer", "strong_markers", "weak_markers", "command_line").agg(
         F.min("event_id").alias("event_id"), F.min_by("t_us", "event_id").alias("first_us"))
     strong = F.size("strong_markers") > 0
     return graded(out.drop("computer"), F.when(strong, "critical").otherwise("medium"), F.when(strong, "high").otherwise("low"))

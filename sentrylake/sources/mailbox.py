@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = ("source_path string, part int, from_display string, from_address string, reply_to string, return_path string, subject string, msgid string, recipients int, is_bcc boolean, "
+SCHEMA = ("source_path string, part bigint, from_display string, from_address string, reply_to string, return_path string, subject string, msgid string, recipients int, is_bcc boolean, "
           "headers array<struct<name:string,value:string>>, body_text string, body_html string, attachments array<struct<filename:string,content_type:string,content:binary>>")
 
 
@@ -68,14 +68,14 @@ def read_mail(spark: SparkSession, paths) -> DataFrame:
     """Message files one by one; a mailbox is split at its 'From ' lines by the text reader, so a
     large mailbox is never held whole."""
     files = spark.read.format("binaryFile").load(paths)
-    single = files.where(~F.lower("path").endswith(".mbox")).select("path", F.lit(0).alias("part"), "content")
+    single = files.where(~F.lower("path").endswith(".mbox")).select("path", F.lit(0).cast("bigint").alias("part"), "content")
     return single.mapInPandas(_decode, SCHEMA)
 
 
 def read_mailbox(spark: SparkSession, paths) -> DataFrame:
     raw = spark.read.option("lineSep", "\nFrom ").text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"^(?:From )?[^\n]*\n", "").alias("body"))
-    return raw.where(F.trim("body") != "").select("path", F.hash("n").alias("part"), F.col("body").cast("binary").alias("content")).mapInPandas(_decode, SCHEMA)
+    return raw.where(F.trim("body") != "").select("path", F.col("n").alias("part"), F.col("body").cast("binary").alias("content")).mapInPandas(_decode, SCHEMA)
 
 
 def message_tables(mail: DataFrame) -> tuple[DataFrame, DataFrame]:

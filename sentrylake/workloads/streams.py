@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from sentrylake.session import shared_folder
 from sentrylake.streaming import rules as sr
 from sentrylake.workloads.base import Case
 
@@ -20,12 +21,7 @@ def source(spark, sf):
 
 
 def drained(spark, frame, mode="append"):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    if "://" in base:
-        import uuid
-        work = f"{base}/stream-{uuid.uuid4().hex}"
-    else:
-        work = tempfile.mkdtemp(prefix="stream-", dir=base)
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return sr.drain(frame, f"{work}/state", f"{work}/rows", mode)
 
 

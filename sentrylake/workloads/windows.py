@@ -120,8 +120,8 @@ SELECT event_id, case_key, cl AS command_line, decoded, t AS first_us FROM x WHE
     simple("exec_ps_suspicious", wr.exec_ps_suspicious, "event_id:i case_key:s strong_markers:l weak_markers:l command_line:s severity:s first_us:i", f""",
 y AS (SELECT *, list_sort(list_filter({CFG.powershell_strong_markers}, lambda w: contains(lower(ct), w))) AS st, list_sort(list_filter({CFG.powershell_weak_markers}, lambda w: contains(lower(ct), w))) AS wk
   FROM x WHERE cmd)
-SELECT event_id, case_key, st AS strong_markers, wk AS weak_markers, left(cl, 200) AS command_line, CASE WHEN len(st) > 0 THEN 'critical' ELSE 'medium' END AS severity, t AS first_us
-FROM y WHERE len(st) > 0 OR len(wk) >= 3 QUALIFY row_number() OVER (PARTITION BY case_key, st, wk, left(cl, 200) ORDER BY event_id) = 1"""),
+SELECT event_id, case_key, st AS strong_markers, wk AS weak_markers, cl AS command_line, CASE WHEN len(st) > 0 THEN 'critical' ELSE 'medium' END AS severity, t AS first_us
+FROM y WHERE len(st) > 0 OR len(wk) >= 3 QUALIFY row_number() OVER (PARTITION BY case_key, st, wk, cl ORDER BY event_id) = 1"""),
     simple("log_cleared", wr.log_cleared, "event_id:i case_key:s log:s cleared_by:s first_us:i", """
 SELECT event_id, case_key, CASE WHEN code = 1102 THEN 'Security' ELSE 'System' END AS log, CASE WHEN SubjectDomainName IS NOT NULL THEN SubjectDomainName || chr(92) ELSE '' END || su AS cleared_by, t AS first_us
 FROM x WHERE code = 1102 OR (code = 104 AND provider <> 'Other')"""),
