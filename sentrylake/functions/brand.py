@@ -61,8 +61,12 @@ ABUSED_TLDS = ["zip", "mov", "top", "xyz", "club", "click", "link", "work", "gq"
                "monster", "cyou", "quest", "surf", "icu", "sbs", "cfd", "bond", "lol", "loan", "download", "review", "country",
                "stream", "date", "racing", "science", "party", "faith", "accountant"]
 # Characters that look alike, ambiguous brand labels, decoy words.
-CASE_ALIKE = ("IOSBZG", "l05826")
-ALIKE = ("013456789$@!|" + "аеорсхуіѕԁԛѡνοαρτικϲ", "oleasgtbgsail" + "aeopcxyisdqwvoaptikc")
+CASE_ALIKE = {"I": "l", "O": "0", "S": "5", "B": "8", "Z": "2", "G": "6"}
+ALIKE = {
+    "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "l",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ѡ": "w", "ν": "v", "ο": "o",
+    "α": "a", "ρ": "p", "τ": "t", "ι": "i", "κ": "k", "ϲ": "c",
+}
 PAIRS_ALIKE = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("nn", "m")]
 AMBIGUOUS = ["live", "target", "chase", "stripe", "meta", "apple", "shell", "orange", "square", "discover", "mint", "monitor"]
 DECOYS = ["secure", "login", "signin", "account", "accounts", "verify", "verification", "support", "service", "services",
@@ -72,7 +76,8 @@ DECOYS = ["secure", "login", "signin", "account", "accounts", "verify", "verific
 
 def skeleton(c: Column) -> Column:
     """Visual skeleton: characters and pairs that look alike become equal."""
-    c = F.translate(F.lower(F.translate(c, *CASE_ALIKE)), *ALIKE)
+    for table, fold in ((CASE_ALIKE, F.lower), (ALIKE, lambda x: x)):
+        c = fold(F.translate(c, "".join(table), "".join(table.values())))
     for a, b in PAIRS_ALIKE:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, "[-_.]", "")

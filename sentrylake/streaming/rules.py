@@ -3,9 +3,9 @@ column ts; late rows beyond the watermark are dropped by Spark and counted in it
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +30,41 @@ def sliding_counts(events: DataFrame, keys: list[str], window: str, slide: str,
 
 
 def exact_windows(events: DataFrame, key: str, window_us: int, minimum: int, late: str = "10 minutes") -> DataFrame:
-    """Exact trailing counts per key: state keeps only the instants inside the window and the rows
-    still allowed to be late. Emits every instant whose window reaches the minimum."""
+    """Exact trailing counts per key: (key, run_end, run_n) for every instant whose window reaches the minimum.
+
+    A count is emitted at once and again whenever a later row lifts it, so the rows of an instant are revisions
+    of which the greatest counts: settled() keeps it. The result doesn't depend on how rows fall into batches.
+    State holds (instant, rows) of the window and of what may still be late, and goes when the watermark has
+    passed a key. Rows later than that are dropped and counted in the progress of the query."""
     def update(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else []
-        fresh = []
-        for pdf in batches:
-            fresh.extend(int(x) for x in pdf["ts_us"])
-        times = sorted(held + fresh)
-        out, lo, new = [], 0, set(fresh)
-        for i, t in enumerate(times):
-            while times[lo] < t - window_us:
-                lo += 1
-            last_of_tie = i + 1 == len(times) or times[i + 1] != t
-            if t in new and last_of_tie and i - lo + 1 >= minimum:
-                out.append((k[0], t, i - lo + 1))
-        mark = state.getCurrentWatermarkMs() * 1000
-        kept = [t for t in times if t >= mark - window_us]
-        state.update((json.dumps(kept),))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "run_end", "run_n"])
-    marked = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", "ts_us")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times, counts = (np.array(x, dtype=np.int64) for x in (state.get if state.exists else ([], [])))
+        fresh = np.concatenate([pdf["ts_us"].to_numpy(np.int64) for pdf in batches])
+        before = np.concatenate([[0], np.cumsum(counts)])
+        every, at = np.unique(np.concatenate([times, fresh]), return_inverse=True)
+        rows = np.bincount(at, weights=np.concatenate([counts, np.ones(len(fresh), np.int64)])).astype(np.int64)
+        running = np.concatenate([[0], np.cumsum(rows)])
+        count = running[1:] - running[np.searchsorted(every, every - window_us)]
+        old = before[np.searchsorted(times, every, "right")] - before[np.searchsorted(times, every - window_us)]
+        lifted = (count >= minimum) & (count > np.where(np.isin(every, times), old, 0))
+        kept = every >= state.getCurrentWatermarkMs() * 1000 - window_us
+        if kept.any():
+            state.update((every[kept].tolist(), rows[kept].tolist()))
+            state.setTimeoutTimestamp(max(int(every[-1] + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        if lifted.any():
+            yield pd.DataFrame({"key": k[0], "run_end": every[lifted], "run_n": count[lifted].astype(np.int32)})
+    marked = events.where(F.col("ts").isNotNull()).withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", "ts_us")
     return marked.groupBy("key").applyInPandasWithState(
-        update, "key string, run_end bigint, run_n int", "held string", "append", GroupStateTimeout.NoTimeout)
+        update, "key string, run_end bigint, run_n int", "times array<bigint>, rows array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled(revisions: DataFrame) -> DataFrame:
+    """The last revision of every instant that exact_windows has emitted."""
+    return revisions.groupBy("key", "run_end").agg(F.max("run_n").alias("run_n"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], length: str, late: str = "10 minutes") -> DataFrame:
@@ -76,9 +88,14 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "10 minutes") ->
 
 
 def append_findings(path: str):
-    """foreachBatch sink: a batch replaces its own folder, so a repeated batch adds nothing twice."""
+    """foreachBatch sink that stores a finding once: a batch replaces its own folder, so a repeated batch adds
+    nothing twice, and leaves out what earlier batches have stored."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(["finding_id"]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        new = batch.dropDuplicates(["finding_id"])
+        if epoch > 0:
+            stored = batch.sparkSession.read.schema("finding_id string, epoch bigint").parquet(path).where(F.col("epoch") < epoch)
+            new = new.join(stored.select("finding_id"), "finding_id", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return write
 
 
