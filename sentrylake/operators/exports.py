@@ -84,7 +84,7 @@ COMPANIONS = [
 def ids_rules(findings: DataFrame, start_sid: int = 1000001) -> DataFrame:
     """Sensor rule lines per finding family, one per key, numbered from start_sid: sid, rule."""
     rid, m = F.col("rule_id"), F.col("metrics")
-    msg = F.substring(_esc(F.col("title")), 1, 110)
+    msg = _esc(F.col("title"))
     prio = F.when(F.col("severity_rank") >= 3, 1).when(F.col("severity_rank") == 2, 2).when(F.col("severity_rank") == 1, 3).otherwise(4).cast("string")
     port = F.coalesce(m["port"], m["dst_port"])
 

@@ -266,7 +266,10 @@ def vpn_pivots(ev: DataFrame, cfg) -> DataFrame:
     acts = acts.join(logins.select("assigned_ip").distinct(), "assigned_ip", "left_semi")
     cell = ["assigned_ip", "h", "dst_ip", "dst_port", "sig"]
     hourly = acts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *bounds())
-    met = logins.join(hourly, "assigned_ip").where(
+    # Hours and seven days divide evenly, so an hour's row lies in one week; a login meets its own week and the next.
+    hourly = hourly.withColumn("week", F.floor(F.col("h") / (week // hour)))
+    reach = logins.withColumn("week", F.explode(F.array(*[F.floor(F.col("login_us") / week) + i for i in (0, 1)])))
+    met = reach.join(hourly, ["assigned_ip", "week"]).where(
         (F.col("last_us") >= F.col("login_us")) & (F.col("first_us") <= F.col("login_us") + week))
     whole = (F.col("first_us") >= F.col("login_us")) & (F.col("last_us") <= F.col("login_us") + week)
     edge = met.where(~whole).select("login_id", "user", "external_ip", "login_us", *cell)

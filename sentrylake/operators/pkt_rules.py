@@ -171,8 +171,8 @@ def pkt_log4j(p, cfg):
     rows = tx.compute_once(p.where(gate), hit=hit).where(F.col("hit").isNotNull())
     out = rows.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("requests"), F.min_by("hit", "event_id").alias("h"), *bounds())
     plain = pk.jndi_plain(F.col("h.value"))
-    return graded(out.select("src_ip", "dst_ip", "requests", F.col("h.field").alias("field"), F.substring("h.value", 1, 300).alias("payload"),
-                             F.when(plain != F.col("h.value"), F.substring(plain, 1, 300)).alias("deobfuscated"), "first_us", "last_us"), "critical", "high")
+    return graded(out.select("src_ip", "dst_ip", "requests", F.col("h.field").alias("field"), F.col("h.value").alias("payload"),
+                             F.when(plain != F.col("h.value"), plain).alias("deobfuscated"), "first_us", "last_us"), "critical", "high")
 
 
 @rule("pkt", "TLS-PORT-01", "TLS on an unexpected port", "Command & Control", ["T1571"])

@@ -214,4 +214,4 @@ def keyword_hits(p: DataFrame, keywords: list[str]) -> DataFrame:
     texts = F.array_compact(F.array(*[F.when(pk.field(f) != "", F.struct(F.lit(f).alias("field"), pk.field(f).alias("value"))) for f in KEYWORD_FIELDS]))
     flat = p.select("frame_number", "src_ip", "dst_ip", F.explode(texts).alias("t")).select("frame_number", "src_ip", "dst_ip", "t.*")
     found = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower("value"), F.lower(k)))
-    return flat.select("frame_number", "src_ip", "dst_ip", "field", F.explode(found).alias("keyword"), F.substring("value", 1, 200).alias("context"))
+    return flat.select("frame_number", "src_ip", "dst_ip", "field", F.explode(found).alias("keyword"), F.col("value").alias("context"))

@@ -235,8 +235,8 @@ def exec_encoded_ps(ev, cfg):
     rows = rows.where((F.col("decoded") != "") & shell)
     out = rows.groupBy("case_key", "computer", "decoded").agg(
         F.min("event_id").alias("event_id"), F.min_by(F.struct("command_line", "t_us"), "event_id").alias("f"))
-    return graded(out.select("event_id", "case_key", F.substring("f.command_line", 1, 500).alias("command_line"),
-                             F.substring("decoded", 1, 2000).alias("decoded"), F.col("f.t_us").alias("first_us")), "high", "medium")
+    return graded(out.select("event_id", "case_key", F.col("f.command_line").alias("command_line"),
+                             "decoded", F.col("f.t_us").alias("first_us")), "high", "medium")
 
 
 @rule("win", "EVTX-EXEC-PSSUSPICIOUS-01", "Offensive PowerShell", "Execution", ["T1059.001"])

@@ -36,7 +36,7 @@ def to_events(p: DataFrame) -> DataFrame:
     ports = k.isin("arp", "icmp") == F.lit(False)
     answer = F.coalesce(F.nullif(f("dns.a"), F.lit("")), f("dns.answer"))
     extra = (F.when((k == "icmp") & (f("data.data") != ""), F.create_map(F.lit("payload"), f("data.data")))
-             .when(k == "http", F.create_map(F.lit("body"), F.substring(F.coalesce(f("http.file_data"), F.lit("")), 1, 1024))).otherwise(F.create_map().cast("map<string,string>")))
+             .when(k == "http", F.create_map(F.lit("body"), F.coalesce(f("http.file_data"), F.lit("")))).otherwise(F.create_map().cast("map<string,string>")))
     grat = (n("arp.opcode") == 2) & ((f("arp.src.proto_ipv4") == f("arp.dst.proto_ipv4")) | (F.lower("dst_mac") == "ff:ff:ff:ff:ff:ff"))
     return net_events(rows.select(
         "event_id", "ts_us", "kind", F.lit("unknown").alias("action"), F.lit("pcap").alias("source_type"), "src_mac", "dst_mac",

@@ -83,8 +83,8 @@ CASES = [
          w("auth") + " SELECT src_ip, count(*) AS n FROM ev WHERE action = 'failure' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
     Case("net_summary_signatures", summary("signatures"), "signature:s n:i", top10("signature IS NOT NULL", "signature")),
     Case("net_summary_uploads", summary("upload_pairs"), "src_ip:s dst_ip:s n:i", top10("bytes_out > 0", "src_ip, dst_ip", "sum(bytes_out)")),
-    Case("net_summary_external", summary("external_sources"), "address:s", w("flow") + " SELECT DISTINCT src_ip AS address FROM ev WHERE src_ip NOT LIKE '10.%' ORDER BY 1 LIMIT 50"),
-    Case("net_summary_internal", summary("internal_hosts"), "address:s", w("flow") + " SELECT DISTINCT dst_ip AS address FROM ev WHERE dst_ip LIKE '10.%' ORDER BY 1 LIMIT 50"),
+    Case("net_summary_external", summary("external_sources"), "address:s", w("flow") + " SELECT DISTINCT src_ip AS address FROM ev WHERE src_ip NOT LIKE '10.%' ORDER BY 1"),
+    Case("net_summary_internal", summary("internal_hosts"), "address:s", w("flow") + " SELECT DISTINCT dst_ip AS address FROM ev WHERE dst_ip LIKE '10.%' ORDER BY 1"),
     Case("learned_resolvers", lambda s, sf: co.learned_resolvers(netviews.events(s, sf, "dns").withColumn("src_ip", F.regexp_replace("src_ip", r"^10\.1\..*", "10.1.0.1")), CFG.known_resolvers), "src_ip:s",
          w("dns") + """, a AS (SELECT CASE WHEN src_ip LIKE '10.%' THEN '10.1.0.1' ELSE src_ip END AS ip FROM ev WHERE dns_is_response)
 SELECT ip AS src_ip FROM a GROUP BY 1 HAVING count(*) >= 3 AND count(*) / (SELECT count(*) FROM a) >= 0.3 UNION SELECT unnest(['8.8.8.8', '8.8.4.4', '1.1.1.1'])"""),
@@ -93,7 +93,7 @@ SELECT ip AS src_ip FROM a GROUP BY 1 HAVING count(*) >= 3 AND count(*) / (SELEC
     Case("finding_evidence", evidence_rows, "src_ip:s evidence:l", w("flow") + """, r AS (SELECT src_ip, 'l|' || event_id AS l, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) AS rn FROM ev WHERE dst_port = 4444)
 SELECT src_ip, list(l ORDER BY rn) AS evidence FROM r WHERE rn <= 3 GROUP BY 1"""),
     Case("incidents", incident_rows, "finding_count:i severity:s stages:l entity_count:i first_us:i last_us:i", w("misc") + f""",
-ps AS (SELECT src_ip, list_sort(list(DISTINCT dst_ip))[1:10] AS hosts, {TIMES} FROM ev WHERE kind = 'icmp' AND (icmp_type IS NULL OR icmp_type = 8) GROUP BY 1 HAVING count(DISTINCT dst_ip) >= 3),
+ps AS (SELECT src_ip, list_sort(list(DISTINCT dst_ip))[1:40] AS hosts, {TIMES} FROM ev WHERE kind = 'icmp' AND (icmp_type IS NULL OR icmp_type = 8) GROUP BY 1 HAVING count(DISTINCT dst_ip) >= 3),
 ac AS (SELECT arp_sender_ip AS ip, {TIMES} FROM ev WHERE kind = 'arp' GROUP BY 1 HAVING count(DISTINCT arp_sender_mac) >= 2),
 ic AS (SELECT src_ip, dst_ip, max(icmp_payload_len) AS mp, count(*) AS n, count(*) FILTER (WHERE icmp_payload_len > 64) AS big, {TIMES} FROM ev WHERE kind = 'icmp' GROUP BY 1, 2 HAVING max(icmp_payload_len) > 0),
 id AS (SELECT *, CASE WHEN mp > 64 THEN 3 ELSE 0 END + CASE WHEN mp > 256 THEN 2 ELSE 0 END + CASE WHEN n >= 4 THEN 1 ELSE 0 END + CASE WHEN dst_ip NOT LIKE '10.%' THEN 2 ELSE 0 END AS sc FROM ic WHERE big >= 3 OR n >= 4),

@@ -32,7 +32,7 @@ SELECT doc_id AS message_id, {pick('doc_id % 5', ['PayPal Support', 'IT Helpdesk
   CASE WHEN doc_id % 23 = 0 THEN '' ELSE 'u' || CAST(doc_id % 11 AS STRING) || '@' || {pick(f'doc_id % {len(DOMAINS)}', DOMAINS)} END AS from_address,
   CASE WHEN doc_id % 3 = 0 THEN 'r@' || {pick('doc_id % 4', ['gmail.com', 'shop.example', 'x.shop.example', 'yopmail.com'])} ELSE '' END AS reply_to,
   CASE WHEN doc_id % 4 = 1 THEN 'b@shop.example' ELSE '' END AS return_path, {pick('doc_id % 8', SUBJECTS)} AS subject,
-  {pick('doc_id % 7', NOTES)} || CASE WHEN doc_id % 6 = 0 THEN '' ELSE ' ' || text END AS body_text,
+  {pick('doc_id % 7', NOTES)} || ' ' || coalesce(text, '') AS body_text,
   CASE WHEN doc_id % 3 <> 0 THEN '<p>Hi</p>' || {pick('doc_id % 8', LINKS)} ELSE '' END || coalesce(html, '') AS body_html,
   CASE WHEN doc_id % 9 = 0 THEN '' ELSE '<' || CAST(doc_id AS STRING) || '@m>' END AS msgid, CAST(doc_id % 30 AS INT) AS recipients, doc_id % 10 = 0 AS is_bcc,
   CASE WHEN doc_id % 6 = 5 THEN NULL ELSE {pick('doc_id % 6', AUTHS)} END AS auth, CAST(doc_id % 3 AS INT) AS hop_count,
@@ -103,7 +103,7 @@ OWNED = "|".join(d.replace(".", "[.]") for ds in br.BRANDS.values() for d in ds)
 ALIKE = ["paypa1.com", "micros0ft-login.net", "netflix.com.evil.xyz", "arnazon.com", "dhl-team.top", "gogle.com", "secure-chase.club"]
 HEAD = W + f""",
 a AS (SELECT *, split_part(from_address, '@', 2) AS fd, split_part(reply_to, '@', 2) AS rd, split_part(return_path, '@', 2) AS pd, lower(from_display) AS ld,
-  lower(subject || chr(10) || left(body_text, 4000)) AS st FROM ms),
+  lower(subject || chr(10) || body_text) AS st FROM ms),
 b AS (SELECT *, CASE fd WHEN 'netflix.com.evil.xyz' THEN 'evil.xyz' ELSE fd END AS fr, CASE rd WHEN 'x.shop.example' THEN 'shop.example' ELSE rd END AS rr, regexp_matches(fd, '(^|[.])({OWNED})$') AS own,
   regexp_matches(ld, '(^|[^a-z0-9])({WORDS})($|[^a-z0-9])') AS db, regexp_matches(st, '(^|[^a-z0-9])({WORDS})($|[^a-z0-9])') AS tb FROM a),
 h AS (SELECT *, db AND NOT own AS h2, fd IN {lst(ALIKE)} AS h9, ld = 'it helpdesk' AS au FROM b),
@@ -123,7 +123,7 @@ AUTH = W + """, r AS (SELECT message_id, unnest(CASE doc WHEN 0 THEN [{'r': 'PH-
   WHEN 3 THEN [{'r': 'PH-AUTH-003', 's': 'critical', 'p': 32}] WHEN 4 THEN [{'r': 'PH-AUTH-001', 's': 'low', 'p': 5}, {'r': 'PH-AUTH-002', 's': 'high', 'p': 16}]
   ELSE [{'r': 'PH-AUTH-005', 's': 'medium', 'p': 8}] END) AS x FROM (SELECT message_id, message_id % 6 AS doc FROM ms)) SELECT message_id, x.r AS rule_id, x.s AS severity, x.p AS score FROM r"""
 LANG = W + f""",
-t AS (SELECT *, body_text || chr(10) || left(body_html, 20000) AS body, lower(subject || chr(10) || body_text || chr(10) || left(body_html, 20000)) AS tx FROM ms),
+t AS (SELECT *, body_text || chr(10) || body_html AS body, lower(subject || chr(10) || body_text || chr(10) || body_html) AS tx FROM ms),
 l AS (SELECT message_id, {n_of('tx', mr.URGENCY)} AS u, {n_of('tx', mr.THREAT)} AS th, {n_of('tx', mr.CREDENTIAL)} AS c, {n_of('tx', mr.FINANCIAL)} AS f, {n_of('tx', mr.BEC)} AS b, {n_of('lower(body)', mr.GREETINGS)} AS g,
   {n_of('tx', mr.ACTIONS)} AS a, len(list_filter({arr([w for w in mr.MISSPELLINGS if w != 'dhI'])}, lambda w: regexp_matches(tx, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])'))) AS ms,
   length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) >= 8 AND length(regexp_replace(subject, '[^A-Z]', '', 'g')) / length(regexp_replace(subject, '[^A-Za-z]', '', 'g')) > 0.6 AS caps,
