@@ -14,6 +14,7 @@ from sentrylake.operators import correlate as co
 from sentrylake.operators import mail_rules as mr
 from sentrylake.operators import net_access, net_channels, pkt_rules, pkt_stats, win_rules  # noqa: F401 - registers rules
 from sentrylake.operators.rulebook import run_rules
+from sentrylake.session import staged
 from sentrylake.sources.packets import to_events
 
 # Flow rules that also run on captures.
@@ -55,7 +56,7 @@ def capture(packets: DataFrame, cfg: PacketConfig | None = None, net: NetConfig
 
 def mail(messages: DataFrame, attachments: DataFrame) -> dict[str, DataFrame]:
     embedded = attachments.groupBy("message_id").agg(F.flatten(F.collect_list("embedded_urls")).alias("embedded_urls"))
-    urls = ul.extract(messages.select("message_id", "body_text", "body_html").join(embedded, "message_id", "left")).persist()
+    urls = staged(ul.extract(messages.select("message_id", "body_text", "body_html").join(embedded, "message_id", "left")))
     flagged = ul.analyse(urls)
     joined = mr.assemble(messages, flagged, attachments)
     verdict = mr.verdicts(joined)

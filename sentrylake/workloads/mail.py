@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import brand as br
 from sentrylake.functions import url as ul
 from sentrylake.operators import mail_rules as mr
+from sentrylake.session import staged
 from sentrylake.workloads.base import DUCK, SPARK, Case, from_sql
 
 DOMAINS = ["paypal.com", "paypa1.com", "micros0ft-login.net", "gmail.com", "mailinator.com", "shop.example", "netflix.com.evil.xyz", "acme.co.uk", "arnazon.com",
@@ -53,13 +54,12 @@ def tables(spark, sf):
         F.array().cast("array<string>")).alias("embedded_urls"))
     msgs = m.drop("auth", "hop_count", "filename")
     emb = att.groupBy("message_id").agg(F.flatten(F.collect_list("embedded_urls")).alias("embedded_urls"))
-    # The link table is read by several rules, so it is kept once it has been extracted.
-    return msgs, ul.extract(msgs.select("message_id", "body_text", "body_html").join(emb, "message_id", "left")).persist(), att
+    return msgs, ul.extract(msgs.select("message_id", "body_text", "body_html").join(emb, "message_id", "left")), att
 
 
 def joined(spark, sf):
     m, u, a = tables(spark, sf)
-    return mr.assemble(m, ul.analyse(u), a)
+    return mr.assemble(m, ul.analyse(staged(u)), a)
 
 
 def group(prefix):
@@ -68,7 +68,7 @@ def group(prefix):
 
 def url_case(spark, sf):
     m, u, _ = tables(spark, sf)
-    return mr.url_findings(m, ul.analyse(u))
+    return mr.url_findings(m, ul.analyse(staged(u)))
 
 
 def att_case(spark, sf):
@@ -82,6 +82,7 @@ def verdict(spark, sf):
 
 def iocs(spark, sf):
     m, u, a = tables(spark, sf)
+    u = staged(u)
     return mr.indicators(m, u, a, mr.verdicts(mr.assemble(m, ul.analyse(u), a)))
 
 
