@@ -173,18 +173,33 @@ def test_context_tree_is_exact():
         return np.logaddexp(own, below) + math.log(0.5)
 
     grams, n = np.unique(ctw.gram_keys(lines, depth), return_counts=True)
-    levels = [None] * (depth + 1)
+    levels = {}
     for d, key, n0, n1, pw, w in ctw.subtrees(grams, n.astype(float), depth, 0):
         for k, a, b, p in zip(key.tolist(), n0, n1, pw):
             context = bytes((k >> 8) >> 8 * (d - 1 - i) & 255 for i in range(d))
             assert [a, b] == counts[context, k & 255] and p == pytest.approx(log_pw(context, k & 255), rel=1e-9)
         levels[d] = key, (n1 + 0.5) / (n0 + n1 + 1), w
-    model = ctw.Model(levels)
     # A distribution: the probabilities of all bytes after any context sum to 1.
     for context in (b"ab", b"zz", b"\0\0", b"b\n"):
         every = np.array([(context[1] << 16) | (context[0] << 8) | s for s in range(256)], dtype=np.uint64)
-        assert (10 ** model.byte_logs(every)).sum() == pytest.approx(1.0)
-    assert model.line_logs(lines) == pytest.approx([sum(model.byte_logs(ctw.gram_keys([x], depth))) for x in lines])
+        assert (10 ** ctw.byte_logs(levels, depth, every)).sum() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("bound", [0, 500, 1 << 21])
+def test_context_tree_at_any_bound(spark, docs, bound):
+    """The scores are those of one tree over all training texts, whatever share of the grams is broadcast."""
+    depth = 4
+    learnt = [ctw.line(t.encode()) for d, t in docs.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    grams, n = np.unique(ctw.gram_keys(learnt, depth), return_counts=True)
+    levels = {d: (key, (n1 + 0.5) / (n0 + n1 + 1), w) for d, key, n0, n1, _, w in ctw.subtrees(grams, n.astype(float), depth, 0)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in ctw.score(df, "doc_id", "text", depth=depth, frequent_grams=bound, frequent=bound).collect()}
+    assert len(got) == len(docs)
+    for d, t in docs.items():
+        x = ctw.line(t.encode())
+        want = ctw.byte_logs(levels, depth, ctw.gram_keys([x], depth)).sum()
+        assert got[d].score == pytest.approx(want, rel=1e-6)
+        assert got[d].code_length == pytest.approx(-want / math.log10(2) / len(x), rel=1e-6)
 
 
 def test_simhash(spark, docs):
