@@ -23,7 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sentrylake.llm.common import LOWER, bounded, remainder, utf8
 from sentrylake.session import staged
 
-BLOCK = 1 << 22
+#: Bytes of lines that are worked on at once: to count grams, and to score, where the lists of rare words and grams come on top.
+COUNT_BLOCK, SCORE_BLOCK = 1 << 22, 1 << 20
 #: Depth whose contexts are gathered into one task each; the shorter ones are few and are finished on the driver.
 TOP = 2
 
@@ -69,13 +70,13 @@ def gram_keys(lines: list[bytes], depth: int) -> np.ndarray:
     return keys[real]
 
 
-def blocks(rows):
-    """Lists of (line, *row) for rows (text, ...), in blocks of about BLOCK bytes; a longer line is a block of its own."""
+def blocks(rows, most: int):
+    """Lists of (line, *row) for rows (text, ...), in blocks of about `most` bytes; a longer line ends its block."""
     at, size = [], 0
     for row in rows:
         at.append((line(row[0]), *row))
         size += len(at[-1][0])
-        if size >= BLOCK:
+        if size >= most:
             yield at
             at, size = [], 0
     if at:
@@ -164,7 +165,7 @@ def _arrays(batches, *names: str) -> list[np.ndarray]:
 def gram_counts(rows: DataFrame, depth: int) -> DataFrame:
     """(gram, n, seen) over the columns text and learn: how often a gram occurs in the rows to learn from, and in all."""
     def run(batches):
-        for block in blocks((t, x) for batch in batches for t, x in zip(utf8(batch, "text"), batch.column(1).to_pylist())):
+        for block in blocks(((t, x) for batch in batches for t, x in zip(utf8(batch, "text"), batch.column(1).to_pylist())), COUNT_BLOCK):
             for learn in (True, False):
                 lines = [line for line, _, x in block if x == learn]
                 if not lines:
@@ -313,7 +314,7 @@ def score(df: DataFrame, id_col: str, text: str, held_out=None, depth: int = 5,
 
     def run(batches):
         known_grams, logs, counts = shared.value
-        for block in blocks((t, i, h) for batch in batches for t, i, h in zip(utf8(batch, "text"), batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for block in blocks(((t, i, h) for batch in batches for t, i, h in zip(utf8(batch, "text"), batch.column(0).to_pylist(), batch.column(1).to_pylist())), SCORE_BLOCK):
             lines, texts, ids, helds = zip(*block)
             (sums, rare_grams), n_tokens, known, base, rare = line_sums(lines, depth, known_grams, logs), [], [], [], []
             for t in texts:
