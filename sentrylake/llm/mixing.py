@@ -51,9 +51,9 @@ def quotas(leaves: DataFrame, levels: list[str], parts: dict[str, float], budget
 
 
 def mix(df: DataFrame, id_col: str, tokens: Column, levels: dict[str, Column], parts: dict[str, float], share: float,
-        max_epochs: int = 4, default: float = 1.0, seed: str = "mix") -> DataFrame:
+        max_epochs: int = 4, default: float = 1.0, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """The selected rows: id, the levels, epoch, start (tokens of the leaf's stream before the row),
-    tokens and take_tokens (fewer than tokens only for a leaf's last row).
+    tokens and take_tokens (fewer than tokens only for a leaf's last row), then the columns of carry.
 
     parts maps 'domain', 'domain/language' or 'domain/language/source' to a weight; what is not named
     weighs `default`, and a weight of 0 takes nothing from there. The budget is `share` of all tokens.
@@ -67,16 +67,16 @@ def mix(df: DataFrame, id_col: str, tokens: Column, levels: dict[str, Column], p
     The leaf table holds a row per (domain, language, source). A leaf with a third of all rows is cut
     by the shuffle hash into 4,096 slices, and slices past the quota are dropped before any sort."""
     names = list(levels)
-    rows = staged(df.select(F.col(id_col).alias("_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
+    rows = staged(df.select(F.col(id_col).alias("_id"), *carry, *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
                             F.coalesce(tokens.cast("bigint"), F.lit(0)).alias("tokens")))
     leaves = staged(rows.groupBy(*names).agg(F.sum("tokens").alias("available")))
     wanted = quotas(leaves, names, parts, F.sum("available") * F.lit(float(share)), default, max_epochs).where("quota > 0")
     wanted = wanted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil((F.col("quota") - 1) / F.col("available")).cast("int"))))
     wanted = wanted.where(F.col("epoch") * F.col("available") < F.col("quota")).withColumn("_left", F.col("quota") - F.col("epoch") * F.col("available"))
     copies = rows.join(wanted, names).withColumn("_hex", F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    placed = running_before(copies, [*names, "epoch"], "_hex", ["tokens"], "tokens", "_at").where("_at < _left")
+    placed = running_before(copies, [*names, "epoch"], "_hex", ["tokens", *carry], "tokens", "_at").where("_at < _left")
     return placed.select(F.col("_id").alias(id_col), *names, "epoch", (F.col("_at") + F.col("epoch") * F.col("available")).alias("start"), "tokens",
-                         F.least(F.col("tokens"), F.col("_left") - F.col("_at")).alias("take_tokens"))
+                         F.least(F.col("tokens"), F.col("_left") - F.col("_at")).alias("take_tokens"), *carry)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -28,9 +28,9 @@ def domain():
     return F.coalesce(table[F.coalesce(F.col("source"), F.lit(""))], F.lit("other"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     levels = {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.mix(docs, "doc_id", F.regexp_count("text", F.lit(WORD)), levels, PARTS, SHARE, MAX_EPOCHS, DEFAULT_PART)
+    return mixing.mix(docs, "doc_id", F.regexp_count("text", F.lit(WORD)), levels, PARTS, SHARE, MAX_EPOCHS, DEFAULT_PART, carry=carry)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
