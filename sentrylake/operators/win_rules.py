@@ -374,23 +374,30 @@ def process_nodes(ev: DataFrame) -> DataFrame:
     return ev.where("is_process_create").select("event_id", "case_key", "image", key.alias("key"), parent.alias("parent"))
 
 
-def ancestry(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Ancestors of every process, nearest first, at most max_depth and cycle-safe.
+def ancestry(nodes: DataFrame) -> DataFrame:
+    """Ancestors of every process, nearest first, to the root and cycle-safe.
 
-    One hash join per level against the key table; rows whose chain ended drop out of the joins.
+    One hash join per level against the key table, until no chain grows. Each level is a written table, and rows whose
+    chain ended drop out of the joins.
     """
     by_key = nodes.groupBy("case_key", "key").agg(F.max_by(F.struct("parent", "image"), "event_id").alias("n")).select(
         "case_key", F.col("key").alias("up"), F.col("n.parent").alias("next"), F.col("n.image").alias("up_image"))
     chain = nodes.select("event_id", "case_key", F.col("parent").alias("up"), F.array().cast("array<string>").alias("path"),
                          F.array().cast("array<string>").alias("images"))
     done = None
-    for _ in range(max_depth):
+    while True:
         step = chain.join(by_key, ["case_key", "up"], "left")
         grow = F.col("up_image").isNotNull() & ~F.array_contains("path", F.col("up"))
-        chain = step.select("event_id", "case_key", F.when(grow, F.col("next")).alias("up"),
-                            F.when(grow, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"),
-                            F.when(grow, F.concat("images", F.array("up_image"))).otherwise(F.col("images")).alias("images"))
-    return chain.select("event_id", "case_key", F.size("path").alias("depth"), "path", "images",
+        step = staged(step.select("event_id", "case_key", F.when(grow, F.col("next")).alias("up"),
+                                  F.when(grow, F.concat("path", F.array("up"))).otherwise(F.col("path")).alias("path"),
+                                  F.when(grow, F.concat("images", F.array("up_image"))).otherwise(F.col("images")).alias("images"),
+                                  F.coalesce(grow, F.lit(False)).alias("grew")))
+        ended = step.where("NOT grew").drop("grew")
+        done = ended if done is None else done.unionByName(ended)
+        chain = step.where("grew").drop("grew")
+        if chain.isEmpty():
+            break
+    return done.select("event_id", "case_key", F.size("path").alias("depth"), "path", "images",
                         F.try_element_at("path", F.lit(-1)).alias("root"))
 
 
