@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylake.llm import ctw, exactdedup, gam, mixing, packing, pii, sharding, simhash, urlfilter, winnow
+from sentrylake.llm import audit, ctw, exactdedup, gam, maxsketch, mixing, packing, pii, sharding, simhash, tensorhash, urlfilter, winnow
 from sentrylake.llm.common import WORD, remainder
 
 # Production parameters.
@@ -90,8 +90,23 @@ def op10_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.scored(rows, "text", model)
 
 
+def op11_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose two-word shingle sets reach a Jaccard similarity of 0.8."""
+    return tensorhash.near_sets(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return maxsketch.search(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    return audit.audit(_read(spark, sf_dir, "documents"), "doc_id", "text", "source", _read(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_rendezvous_sharding, op3_url_filters, op4_winnowing, op5_vector_packing, op6_exact_dedup, op7_context_tree, op8_simhash,
-                                   op9_contextual_pii, op10_additive_quality)}
+                                   op9_contextual_pii, op10_additive_quality, op11_tensored_minhash, op12_max_sketch_search, op13_filter_audit)}
 
 
 def _weight_sql(column: str) -> str:
@@ -158,4 +173,61 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM rows WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id NULLS LAST)"""
 
 
-ORACLE = {"op1_mixing": _mixing_sql(), "op2_rendezvous_sharding": _sharding_sql(), "op3_url_filters": _urls_sql(), "op6_exact_dedup": _exact_sql()}
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _near_sets_sql() -> str:
+    """Two sets at 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either, in any common order."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER_SQL.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+nodes AS MATERIALIZED (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS x FROM nodes),
+rare AS (SELECT node, n, x, row_number() OVER (PARTITION BY node ORDER BY c, x) AS r FROM shingles JOIN (SELECT x, count(*) AS c FROM shingles GROUP BY x) USING (x)),
+first AS MATERIALIZED (SELECT * FROM rare WHERE r <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM first a JOIN first b ON a.x = b.x AND a.node != b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN nodes m ON m.node = a JOIN nodes o ON o.node = b WHERE 180 * len(list_intersect(m.s, o.s)) >= 80 * (m.n + o.n)),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM sets LEFT JOIN nodes ON sets.s = nodes.s LEFT JOIN lowest USING (node)"""
+
+
+def _search_sql() -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    found = f"regexp_extract_all({_LOWER_SQL.format('text')}, '{pattern}')"
+    return f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, {found} AS t FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS total FROM docs WHERE len(t) > 0),
+terms AS (SELECT doc_id, row, term, count(*)::BIGINT AS tf, n::BIGINT AS n FROM (SELECT doc_id, row, len(t) AS n, unnest(t) AS term FROM docs) GROUP BY ALL),
+items AS (SELECT item, item_id, term, count(*)::BIGINT AS times FROM (SELECT row_number() OVER () AS item, item_id, unnest({found}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM terms, sizes WHERE term IN (SELECT term FROM items) GROUP BY term, n_docs),
+scored AS (SELECT item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN terms USING (term), sizes GROUP BY item, item_id, row, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
+def _audit_sql() -> str:
+    masks = "CASE f WHEN 'A' THEN 16 WHEN 'B' THEN 8 WHEN 'C' THEN 4 WHEN 'D' THEN 2 ELSE 1 END"
+    return f"""
+WITH rows AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) OR (doc_id IS NULL AND min(doc_id) OVER (PARTITION BY t) IS NOT NULL) AS again FROM rows),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+cells AS (SELECT part, (CASE WHEN len(w) < 50 THEN 16 ELSE 0 END) | (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 8 ELSE 0 END)
+  | (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END) | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 2 ELSE 0 END)
+  | (CASE WHEN coalesce(again, false) THEN 1 ELSE 0 END) AS code, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM words LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step::INTEGER AS step, {masks} AS bit, list_sum(list_transform(range(1, step), lambda i: {masks.replace("CASE f", "CASE filter_order[i]")}))::INTEGER AS ahead
+  FROM (SELECT filter_order, step, filter_order[step] AS f FROM orders, range(1, 6) s(step))),
+counted AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN code & (coalesce(ahead, 0) | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN code & coalesce(ahead, 0) = 0 AND code & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN code & coalesce(ahead, 0) > 0 AND code & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN code = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN code & coalesce(ahead, 0) = 0 AND code & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN code & coalesce(ahead, 0) = 0 AND code & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT * EXCLUDE bit, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM counted"""
+
+
+ORACLE = {"op1_mixing": _mixing_sql(), "op2_rendezvous_sharding": _sharding_sql(), "op3_url_filters": _urls_sql(), "op6_exact_dedup": _exact_sql(),
+          "op11_tensored_minhash": _near_sets_sql(), "op12_max_sketch_search": _search_sql(), "op13_filter_audit": _audit_sql()}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-from sentrylake.llm import ctw, exactdedup, gam, mixing, packing, pii, queries, sharding, simhash, urlfilter, winnow  # noqa: E402
+from sentrylake.llm import audit, ctw, exactdedup, gam, maxsketch, mixing, packing, pii, queries, sharding, simhash, tensorhash, urlfilter, winnow  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, id string, score string, kind string, shard string, row string, key string"
 LONG = "wörd " * 60_000
@@ -35,6 +35,8 @@ def outputs(df):
         "winnow": winnow.fingerprints(df, "doc_id", "text"), "edited": winnow.edited_likeness(df, "doc_id", "text"), "exact": exactdedup.exact_copies(df, "doc_id", "text"),
         "drop": exactdedup.drop_copies(df, "doc_id", "text"), "ctw": ctw.score(df, "doc_id", "text"), "near": simhash.near_groups(df, "doc_id", "text"),
         "one": simhash.one_of_each(df, "doc_id", "text"), "pii": pii.personal_data(df, "doc_id", "text"),
+        "sets": tensorhash.near_sets(df, "doc_id", "text"), "search": maxsketch.search(df, "doc_id", "text", df, "id", "text"),
+        "audit": audit.audit(df, "doc_id", "text", "source", labels, "doc_id", "quality", "quality"),
         "good": gam.scored(df.select("doc_id", "text"), "text", model), "keep": gam.keep_good(df, "doc_id", "text", labels, "doc_id", "quality", F.lit(True)),
     }
 
@@ -46,7 +48,7 @@ def test_empty(none):
 
 def test_odd_rows(docs):
     got = {k: v.collect() for k, v in outputs(docs).items()}
-    for name in ("shard", "winnow", "edited", "exact", "ctw", "near", "pii", "good"):
+    for name in ("shard", "winnow", "edited", "exact", "ctw", "near", "pii", "good", "sets"):
         assert Counter(r.doc_id for r in got[name]) == Counter(d for d, *_ in ROWS), name
     assert got["drop"][0].__fields__ == got["keep"][0].__fields__ == got["one"][0].__fields__ == docs.columns
     # Five texts are "abcd" without white space; the one with most code points stays. Three are empty.
