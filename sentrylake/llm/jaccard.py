@@ -23,7 +23,7 @@ from sentrylake.session import staged
 
 #: Counters of a set's table; lists of more than CROWD nodes are met in blocks of half as many.
 COUNTERS, CROWD = 256, 1024
-#: Ids up to this number (16 bytes each) are broadcast to choose the sets that a round compares.
+#: Tables of ids up to this number of rows (some 64 bytes each) are broadcast, larger ones are joined by a shuffle.
 FEW = 1 << 17
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,16 +101,16 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
     found = staged(rows.mapInArrow(run, "node binary, hashes binary"))
     # Tasks may have met copies of one text; only such sets move to leave one of each.
     again = staged(found.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node"))
-    n = again.count()
-    if not n:
+    if again.isEmpty():
         return found
-    again = F.broadcast(again) if n <= FEW else again
+    again = _few(again)
     return found.join(again, "node", "left_anti").unionByName(found.join(again, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
-    """(a, b, ca, cb): for each node b of a group up to `most` nodes a before it, of other components, that the tables
-    allow to be as similar as part / whole and that `no` doesn't name. rows: key, i, j, block, node, n, table, c, no."""
+    """(a, b, ca, cb, score): for nodes b of a group, nodes a before it, of other components, that the tables allow
+    to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best,
+    otherwise the first `most`. rows: key, i, j, block, node, n, table, c, no."""
     def ask(key, block, node, n, tables, c, no):
         """One or several whole groups, sorted by group and node."""
         size = len(n)
@@ -121,58 +121,68 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
         if raw[:, 0].any():
             counts = counts.astype(np.int64) << raw[:, :1].astype(np.int64)
         inside = key[:, 1] == key[:, 2]
-        found, out = np.zeros(size, np.int64), []
+        found, best, out = np.zeros(size, np.int64), np.zeros(size), {}
         alive, d = np.flatnonzero(before > 0), 1
         while len(alive):
             other = alive - d
             low, high = np.minimum(n[alive], n[other]), np.maximum(n[alive], n[other])
             may = (whole * low >= part * high) & (c[alive] != c[other]) & (inside[alive] | (block[alive] != block[other]))
             for at in np.array_split(alive[may], max(1, may.sum() // 4096)):
-                shared = np.minimum(counts[at], counts[at - d]).sum(axis=1, dtype=np.int64)
-                for b in at[(part + whole) * shared >= part * (n[at] + n[at - d])].tolist():
+                shared, both = np.minimum(counts[at], counts[at - d]).sum(axis=1, dtype=np.int64), n[at] + n[at - d]
+                passed, score = (part + whole) * shared >= part * both, shared / both
+                if most == 1:
+                    passed &= score > best[at]
+                for b, x in zip(at[passed].tolist(), score[passed].tolist()):
                     if node[b - d] not in no[b] and node[b] not in no[b - d]:
-                        found[b] += 1
-                        out.append((b - d, b))
+                        if most == 1:
+                            best[b], out[b] = x, (b - d, b, x)
+                        else:
+                            out[b, found[b]] = b - d, b, x
+                            found[b] += 1
             d += 1
             alive = alive[(before[alive] >= d) & (found[alive] < most)]
-        return out
+        return list(out.values())
 
     def run(batches):
-        kept = []
-        def emit(rows_, last):
-            merged = pa.Table.from_batches(rows_).combine_chunks()
+        kept, held = [], 0
+
+        def emit(last):
+            merged = pa.Table.from_batches(kept).combine_chunks()
             key = np.stack([merged.column(x).to_numpy().astype(np.int64) for x in ("key", "i", "j")], axis=1)
             cut = merged.num_rows
-            if not last:
+            if not last:  # the last group may go on in the next batch
                 ends = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1))
                 cut = int(ends[-1]) + 1 if len(ends) else 0
-            rest = merged.slice(cut).to_batches()
             now, answer = merged.slice(0, cut), None
             if cut:
                 node, c = now.column("node").to_pylist(), now.column("c").to_pylist()
                 numbers = {x: i for i, x in enumerate(dict.fromkeys(c))}
                 pairs = ask(key[:cut], now.column("block").to_numpy(), node, now.column("n").to_numpy(), now.column("table").to_pylist(), np.array([numbers[x] for x in c]), [x or () for x in now.column("no").to_pylist()])
                 if pairs:
-                    a, b = zip(*pairs)
-                    answer = pa.RecordBatch.from_arrays([pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], ["a", "b", "ca", "cb"])
-            return answer, rest
+                    a, b, score = zip(*pairs)
+                    answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score)], ["a", "b", "ca", "cb", "score"])
+            return answer, merged.slice(cut).to_batches()
 
-        held = 0
         for batch in batches:
             kept.append(batch)
             held += batch.num_rows
             if held >= 8192:
-                answer, kept = emit(kept, False)
+                answer, kept = emit(False)
                 held = sum(b.num_rows for b in kept)
                 if answer:
                     yield answer
         if held:
-            answer, _ = emit(kept, True)
+            answer, _ = emit(True)
             if answer:
                 yield answer
 
     grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary")
+    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most FEW rows; a larger one is joined as it comes."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -186,85 +196,104 @@ def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
                 good.append((part + whole) * same >= part * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(good, pa.bool_())], ["a", "b", "ca", "cb", "good"])
 
-    ids = staged(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
-    if ids.count() <= FEW:
-        sets = sets.join(F.broadcast(ids), "node", "left_semi")
-    y = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    both = y.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a binary, b binary, ca binary, cb binary, good boolean").dropDuplicates(["a", "b"])
+    own = sets.join(_few(pairs.select(F.col("a").alias("node"))), "node", "left_semi").select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    asking = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).join(_few(pairs), "b")
+    return asking.join(own, "a").select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a binary, b binary, ca binary, cb binary, good boolean")
+
 
+def _merged(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b). Up to FEW links (32 bytes each) are united in one task, more in rounds of joins."""
+    if links.count() > FEW // 8:
+        return components(links)
+
+    def run(batches):
+        root: dict[bytes, bytes] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        if root:
+            nodes = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], ["node", "component"])
 
-def _met(open_: DataFrame, first: bool) -> DataFrame:
-    """open_ (key, node, c, n, table, no) dealt into groups (key, i, j). A list of up to CROWD nodes is one group. Longer
-    ones are cut into blocks by a hash: at first a block meets itself; then every two blocks meet, but
+    return staged(links.select("a", "b").coalesce(1).mapInArrow(run, "node binary, component binary"))
+
+
+def _met(rows: DataFrame, crowded: DataFrame | None, first: bool) -> DataFrame:
+    """rows (key, node, c) dealt into groups (key, i, j). A list of up to CROWD nodes is one group. Longer ones (crowded:
+    key, size) are cut into blocks by a hash: at first a block meets itself; then every two blocks meet, but
     those that hold only nodes of the list's main component."""
-    sizes = open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("main"))
-    crowded = staged(sizes.where(F.col("size") > CROWD).select("key", "size", F.col("main.k").alias("mains"), F.col("main.c").alias("main")))
+    if crowded is None:
+        return rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
     half, mark = CROWD // 2, F.xxhash64("node")
-    plain = open_.join(crowded, "key", "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
-    if crowded.isEmpty():
-        return plain
-    dense = open_.join(crowded, "key")
+    plain = rows.join(_few(crowded.select("key")), "key", "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
+    dense = rows.join(_few(crowded), "key")
     if first:
         dense = dense.withColumn("block", F.pmod(mark, F.ceil(F.col("size") / half)).cast("int"))
         dense = dense.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
     else:
+        mains = dense.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"))
+        dense = dense.join(_few(staged(mains.select("key", F.col("m.k").alias("mains"), F.col("m.c").alias("main")))), "key")
         front = F.ceil(F.col("mains") / half).cast("int")
         back = F.ceil((F.col("size") - F.col("mains")) / half).cast("int")
-        dense = dense.withColumn("block", F.when(F.col("c") == F.col("main"), F.pmod(mark, front)).otherwise(front + F.pmod(mark, back)).cast("int"))
-        met = F.when(F.col("c") == F.col("main"), F.sequence(front, front + back - 1)).otherwise(F.sequence(F.lit(0), front + back - 1))
+        inner = F.col("c") == F.col("main")
+        dense = dense.withColumn("block", F.when(inner, F.pmod(mark, front)).otherwise(front + F.pmod(mark, back)).cast("int"))
+        met = F.when(inner, F.sequence(front, front + back - 1)).otherwise(F.sequence(F.lit(0), front + back - 1))
         dense = dense.withColumn("with", F.explode(met)).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     return plain.unionByName(dense.select(*plain.columns))
 
 
-def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width: int, part: int, whole: int, early: str = "true") -> DataFrame:
-    """(node, component) of the nodes that chains of similar pairs reach: each pair of nodes that share a list is
-    in one component or was compared.
-
-    lists: key, node, and what `early` needs, a condition that chooses the lists of the first round. nodes: node, n, table, digest.
-    A round lets each node ask one other of each list (then 4, 16, ...), keeps its smallest answer, compares
-    the whole sets of these pairs and joins components. It ends when no node asks. Pairs that fail are
-    remembered at their nodes and not asked again, so the rounds come to an end."""
-    nodes = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "table", "digest")
-    nodes = staged(nodes)
-    sets = staged(_sets(df, text, width, nodes.select("digest")))
-    labels = failed = None
+def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width: int, part: int, whole: int) -> DataFrame:
+    """(node, component) of the nodes that lists hold, by the pairs of one list as similar as part / whole: each such
+    pair is in one component or was compared.
+
+    lists: key, early, node; early marks the lists of the first round. nodes: node, n, table, digest. In a round each node
+    asks the one other of its lists that may be closest (later 4, 16, ...), whole sets are compared for what was
+    asked, and components join. Lists within one component are left out from then on. Pairs that fail are
+    remembered at their nodes and not asked again, so rounds end; the last one has nobody left to ask."""
+    nodes = staged(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "table", "digest"))
+    sets = _sets(df, text, width, nodes.select("digest"))
+    labels = nodes.select("node", F.col("node").alias("component"))
+    crowded = staged(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD))
+    crowded = None if crowded.isEmpty() else crowded
+    left, failed = lists.select("key", "early", "node"), None
     turn, most = 0, 1
     while True:
-        named = nodes.select("node", "n", "table")
-        named = named.withColumn("c", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        if failed is None:
-            named = named.withColumn("no", F.lit(None).cast("array<binary>"))
+        named = left.join(_few(labels.select("node", F.col("component").alias("c"))), "node")
+        if turn == 0:
+            rows = named.where("early")
         else:
-            named = named.join(failed.groupBy("node").agg(F.collect_set("other").alias("no")), "node", "left")  # as many as a node was refused
-        named = staged(named)
-        rows = lists.where(early) if turn == 0 else lists
-        rows = rows.select("key", "node").join(named.select("node", "c"), "node")
-        open_ = rows.join(rows.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("key"), "key", "left_semi").select("key", "node")
-        open_ = staged(open_.join(named, "node"))
-        asked = _asked(_met(open_, turn == 0), most, part, whole)
+            several = named.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("key")
+            left = rows = staged(named.join(several, "key", "left_semi"))
+            left = left.drop("c")
+        facts = nodes.select("node", "n", "table")
+        if failed is None:
+            facts = facts.withColumn("no", F.lit(None).cast("array<binary>"))
+        else:  # as many as a node was refused
+            facts = facts.join(_few(staged(failed.groupBy("node").agg(F.collect_set("other").alias("no")))), "node", "left")
+        asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole)
         if most == 1:
-            asked = asked.groupBy("b").agg(F.min(F.struct("a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb")
-        pairs = staged(asked.dropDuplicates(["a", "b"]))
+            asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb")
+        else:
+            asked = asked.drop("score").dropDuplicates(["a", "b"])
+        pairs = staged(asked)
         if pairs.isEmpty():
             if turn:
                 break
-            turn = 1
-            continue
-        result = staged(_compared(pairs, sets, part, whole))
-        good = result.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        if not good.isEmpty():
-            joined = components(good)
-            if labels is None:
-                labels = joined
-            else:
-                moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-                labels = moved.unionByName(joined.join(labels, "node", "left_anti"))
-            labels = staged(labels)
-        refused = result.where("NOT good").select(F.col("b").alias("node"), F.col("a").alias("other"))
-        if not refused.isEmpty():
-            failed = refused if failed is None else failed.unionByName(refused)
-            if turn > 1:
-                most *= 4
+        else:
+            result = staged(_compared(pairs, sets, part, whole))
+            good = result.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            if not good.isEmpty():
+                joined = _merged(good).select(F.col("node").alias("component"), F.col("component").alias("to"))
+                labels = staged(labels.join(_few(joined), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            refused = result.where("NOT good").select(F.col("b").alias("node"), F.col("a").alias("other"))
+            if not refused.isEmpty():
+                failed = refused if failed is None else failed.unionByName(refused)
         turn += 1
-    return nodes.select("node", F.col("node").alias("component")).where("false") if labels is None else labels
+        most = 1 if turn < 3 else most * 4
+    return labels

@@ -1,139 +1,73 @@
 """One document of each group of near copies, by the exact Jaccard similarity of their word shingles.
 
-A bit distance that finds a similarity of 0.8 leaves no byte of a 64-bit SimHash surely equal, so candidates come
-from min-hashes of the same shingles: texts that share one of BANDS bands of ROWS minima are in one list. Every
-pair of a list is compared on its whole shingle sets, unless links already connect it.
+SimHash groups (operator 8: byte-position index, count filter, three bits) come first: nodes of one group ask each
+other. A similarity of 0.8 changes some ten bits of 64, so no byte of a fingerprint is surely equal and SimHash
+alone can't find all such pairs; lists from tensored min-hash tables bring the others together. Every link of
+either kind is confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import LOWER, bounded, running_before, utf8
-from sentrylake.llm.graph import components
+from sentrylake.llm import jaccard, simhash, tensorhash
+from sentrylake.llm.exactdedup import flagged, repeat_filter
 from sentrylake.session import staged
 
-#: A pair at Jaccard 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 24 = 0.00007.
-BANDS, ROWS = 24, 5
-_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-_SEEDS[1] |= np.uint64(1)
-
-
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the shingles of `width` words, ascending. Fewer words are one shingle;
-    no words give none."""
-    words = text.translate(LOWER).split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i:i + width]), 42) for i in range(max(1, len(words) - width + 1) if words else 0)), np.uint64))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """A signed number for each band of minima; no shingles give no band."""
-    if not len(hashes):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        low = np.minimum(low, ((hashes[at:at + 1024] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=1))
-    cut = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(cut)]
-
-
-def _nodes(rows: DataFrame, width: int) -> DataFrame:
-    """(id, node, n, keys) of rows (id, text): node is the digest of the shingle set, n its size."""
-    def run(batches):
-        for batch in batches:
-            sets = [shingles(x, width) for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "node", "n", "keys"])
-
-    return bounded(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node string, n bigint, keys array<bigint>")
-
-
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of rows with a text, a row per node."""
-    def run(batches):
-        for batch in batches:
-            sets = [shingles(x, width).tobytes() for x in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(s) for s in sets], pa.string()), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    return bounded(rows).select("text").mapInArrow(run, "node string, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as that."""
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
-
-
-def _places(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, at, size): each node's place, from 0, in its lists of more than one node."""
-    lists = staged(nodes.select(F.explode("keys").alias("key"), "node", "n").distinct())
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return staged(running_before(lists.join(sizes, "key").withColumn("_one", F.lit(1)), ["key"], "node", [], "_one", "at").drop("_one"))
-
-
-def grouped(nodes: DataFrame, texts, width: int, similarity: float) -> DataFrame:
-    """(node, component) of the nodes that links reach. nodes: node, n, keys; texts(nodes) gives their text.
-
-    Round by round each row of a list meets those `low` to `high` places after it, in a circle, by a join on
-    the place; so one long list is spread. Rows of a list's first component don't ask: the others
-    ask them. Lists that links have made one component are done, and a round's distances grow
-    fourfold, so every pair of a list is in one component or was compared."""
-    places = _places(nodes)
-    sets = staged(_sets(texts(places.select("node").distinct()), width))
-    labels, links, low, high = None, None, 1, 2
-    while True:
-        named = places.withColumn("c", F.col("node")) if labels is None else places.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        named = staged(named)
-        parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts"))
-        open_ = staged(named.where(F.col("size") > low).join(parts.where("parts > 1"), "key"))
-        if open_.isEmpty():
-            break
-        ask = open_.where("c != main").select("key", "node", "n", "c", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size")) - 1)).alias("d"), "at", "size")
-        ask = ask.select("key", ((F.col("at") + F.col("d")) % F.col("size")).alias("at"), F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
-        met = ask.join(open_.select("key", "at", "node", "n", "c"), ["key", "at"]).where(
-            (F.col("c") != F.col("xc")) & (F.least("n", "xn") >= similarity * F.greatest("n", "xn") - 1e-9))
-        found = staged(_verified(met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), sets, similarity))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        low, high = high, high * 4
-    return nodes.select("node", F.col("node").alias("component")).where("false") if labels is None else labels
-
-
-def one_of_similar(df: DataFrame, id_col: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row of each group of rows that chains of pairs with a Jaccard similarity of at least `similarity`
-    reach: the one with the smallest id (null last), then the smallest hash of its text. Texts with equal
-    shingles are one node. Null texts count as empty, and texts without words are one group. Repeated
-    rows (same id and text) leave one. An empty table gives an empty table. Other columns may have any name."""
-    mark = F.xxhash64(F.col(f"`{text}`"))
-    keyed = df.select(F.struct(F.col(f"`{id_col}`").alias("i"), mark.alias("m")).alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = staged(_nodes(keyed, width))
-    counted = rows.groupBy("node", "id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    first = staged(counted.groupBy("node").agg(F.min(F.struct(F.col("id.i").isNull().alias("z"), "id", "k")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    def texts(nodes):
-        ids = first.join(nodes, "node", "left_semi").select(F.col("first.id.i").alias("_i"), F.col("first.id.m").alias("_m"))
-        return keyed.join(ids, F.col("id.i").eqNullSafe(F.col("_i")) & F.col("id.m").eqNullSafe(F.col("_m")), "left_semi")
+def _marks(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set (a bit is 1 if set in over half the hashes), then its half keys."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes() + tensorhash.halves(hashes)
+
+
+def _number(name: str, start: int) -> Column:
+    """Eight bytes of a binary column as a long."""
+    high, low = (F.conv(F.hex(F.substring(name, at, 4)), 16, 10).cast("bigint") for at in (start, start + 4))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
-    found = grouped(first.select("node", "n", "keys"), texts, width, similarity)
-    lasting = first.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    lasting = staged(lasting.select(F.col("first.id.i").alias("_i"), F.col("first.id.m").alias("_m"), (F.col("first.k") > 1).alias("_again")))
 
-    def of(keys):
-        return df.join(keys, F.col(f"`{id_col}`").eqNullSafe(keys["_i"]) & (mark == keys["_m"]), "left_semi")
+def grouped(nodes: DataFrame, df: DataFrame, text: str, width: int, part: int, whole: int) -> DataFrame:
+    """(node, component) of the nodes that similar pairs reach. nodes: distinct node, n, table, marks, digest."""
+    prints = staged(nodes.where("length(marks) > 0").select("node", _number("marks", 1).alias("fingerprint")))
+    named = prints.join(simhash.grouped(prints), "fingerprint").select(F.col("component").alias("key"), "node")
+    several = staged(named.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"))
+    close = staged(named.join(several, "key", "left_semi").select("key", F.lit(True).alias("early"), "node"))
+    tables = tensorhash.lists(nodes.withColumn("marks", F.expr("substring(marks, 9)"))).withColumn("early", F.lit(False))
+    return jaccard.linked(close.unionByName(tables), nodes, df, text, width, part, whole)
 
-    return of(lasting.where("NOT _again")).unionByName(of(lasting.where("_again")).dropDuplicates())
+
+def one_of_similar(df: DataFrame, id_col: str, text: str, width: int = 5, part: int = 4, whole: int = 5) -> DataFrame:
+    """df with one row of each group of rows that chains of pairs with a Jaccard similarity of part / whole or more
+    reach: the one with the smallest id (null last), then the smallest hash of its text. Texts with equal
+    shingles are one node. Null texts count as empty, and texts without words are one group. Repeated
+    rows (same id and text) leave one. An empty table gives an empty table. Other columns may have any name.
+
+    Texts are not shuffled: a filter of bounded size holds the rows that go, and only what it points at is
+    looked up. A fuller filter lets more rows move; it never changes the result."""
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    keyed = df.select(F.struct(F.col(f"`{id_col}`").alias("i"), mark.alias("m")).alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = staged(jaccard.nodes_of(keyed, "id", "text", width, _marks))
+    best = F.min(F.struct(F.col("id.i").isNull().alias("z"), "id")).alias("first")
+    nodes = staged(rows.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("n", "table", "marks", "digest")]))
+    found = grouped(nodes.drop("first"), df, text, width, part, whole)
+    named = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = staged(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id.i").alias("_i"), F.col("first.id.m").alias("_m")))
+
+    def same(left: DataFrame, i: Column, m: Column, how: str) -> DataFrame:
+        return left.join(kept, i.eqNullSafe(F.col("_i")) & (m == F.col("_m")), how)
+
+    def digest(i: Column, m: Column) -> Column:
+        return F.unhex(F.sha2(F.concat_ws("|", F.hex(m), i.cast("string")), 256))
+
+    ids = rows.select(F.col("id.i").alias("i"), F.col("id.m").alias("m"))
+    gone = same(ids, F.col("i"), F.col("m"), "left_anti")
+    again = ids.groupBy("i", "m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("i", "m")
+    open_ = staged(gone.unionByName(again).distinct().select(digest(F.col("i"), F.col("m")).alias("digest")))
+    whole_rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+    i, m = F.col("doc").getField(id_col), F.xxhash64(F.col("doc").getField(text))
+    dealt = flagged(whole_rows.withColumn("digest", digest(i, m)), *repeat_filter(open_.unionAll(open_), 1 << 30))
+    asked = same(dealt.where("maybe").select("doc"), i, m, "left_semi").select("doc.*").dropDuplicates()
+    return dealt.where("NOT maybe").select("doc.*").unionByName(asked)

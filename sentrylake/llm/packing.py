@@ -23,35 +23,58 @@ from pyspark.sql import types as T
 
 from sentrylake.llm.common import bounded, utf8
 
-#: Chunks that one task remembers the ids of, and bytes of text that it cuts into chunks at a time.
-REMEMBERED, BLOCK = 300_000, 1 << 20
-#: A chunk is what stands between spaces and line ends; a word before ASCII punctuation (but no apostrophe) is one of its
-#: own, because no piece of the tokenizer crosses from an ASCII letter to such a mark.
-_CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~ \n])|[^ \n]+")
+#: Tokens of a text whose ids a worker remembers, the bytes they may have, and bytes of text that it takes at a time.
+REMEMBERED, REMEMBERED_BYTES, BLOCK = 400_000, 1 << 24, 1 << 20
+#: A chunk of a token: a word before ASCII punctuation (but no apostrophe) is one of its own, because no piece of the
+#: tokenizer crosses from an ASCII letter to such a mark.
+_CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~])|.+", re.DOTALL)
 
 
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by a tokenizer that lower-cases and whose
-    pieces never cross a space or a line end. The ids of a chunk are remembered; the memory is emptied when full."""
+    pieces never cross a space or a line end.
 
-    def __init__(self, path: str):
+    Ids are remembered for what stands between spaces and line ends. The memory has two halves: when the young
+    one is full it becomes the old one, and what is met again moves to the young, so only what is rarely
+    met is forgotten."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         # Spark gives a task one core; the library would start a thread for each core of the machine.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.half = Tokenizer.from_file(path), max(1, remembered // 2)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.learned = 0  # bytes of the tokens learned since the young half was empty
 
     def _block(self, text: bytes) -> bytes:
         # Special tokens are recognised before lower-casing, so a text that may hold one keeps its case.
-        chunks = _CHUNK.findall(text if b"<|" in text else text.lower())
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
+        tokens = (text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" ")
+        young = self.young
+        try:
+            return b"".join(map(young.__getitem__, tokens))
+        except KeyError:
+            pass
+        new = set(tokens).difference(young)
+        if len(young) + len(new) > self.half or self.learned > REMEMBERED_BYTES // 2:
+            self.old, self.young, self.learned = young, {}, 0
+            young = self.young
+            new = set(tokens)
+        old = self.old
+        for t in new & old.keys():
+            young[t] = old[t]
+        new -= young.keys()
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for e, c in zip(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False), new):
-                known[c] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+            self._learn(new)
+        return b"".join(map(young.__getitem__, tokens))
+
+    def _learn(self, tokens: set[bytes]) -> None:
+        cut = {t: _CHUNK.findall(t) for t in tokens}
+        chunks = list({c for cs in cut.values() for c in cs})
+        ids = {c: array("I", e.ids).tobytes() for e, c in zip(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), chunks)}
+        self.learned += sum(map(len, tokens))
+        for t, cs in cut.items():
+            self.young[t] = b"".join(map(ids.__getitem__, cs))
 
     def encode(self, text: bytes) -> bytes:
         if len(text) <= BLOCK:
@@ -68,8 +91,16 @@ _BREAK = re.compile(rb"[ \n]")
 
 
 def encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
-    """What a task calls to get its own encoder for a tokenizer file."""
-    return lambda: Encoder(path).encode
+    """What a task calls to get the encoder of its worker process for a tokenizer file. Spark keeps a worker for
+    several tasks, but brings this module anew with each; what they share hangs on the tokenizer library."""
+    def own():
+        import tokenizers
+        kept = vars(tokenizers).setdefault("_encoders", {})
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path].encode
+
+    return own
 
 
 class Packer:

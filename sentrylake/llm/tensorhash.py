@@ -49,7 +49,7 @@ def lists(nodes: DataFrame) -> DataFrame:
 
 def grouped(nodes: DataFrame, df: DataFrame, text: str, width: int, part: int, whole: int) -> DataFrame:
     """(node, component) of the nodes that similar pairs reach. nodes: distinct node, n, table, marks, digest."""
-    return jaccard.linked(lists(nodes), nodes, df, text, width, part, whole, "early")
+    return jaccard.linked(lists(nodes), nodes, df, text, width, part, whole)
 
 
 def distinct_nodes(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ import pytest
 import xxhash
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import test_neardup as similar  # noqa: E402
+
 from sentrylake.llm import ctw, packing, queries, winnow  # noqa: E402
 
 SF = os.environ.get("LLM_TEST_SF", "/root/testdata/sf0.001")
@@ -273,9 +276,8 @@ def test_pipeline(spark, con, tmp_path):
                 groups[re.sub(r"[\x20\x09-\x0D]", "", r.text)].append((-len(r.text), r.doc_id))
             assert sorted(r.doc_id for r in after.collect()) == sorted(min(g)[1] for g in groups.values())
         if name == "simhash near-dedup":
-            from sentrylake.llm.simhash import near_groups
-            found = near_groups(before, "doc_id", "text").collect()
-            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in found})
+            want, _ = similar.kept({r.doc_id: r.text for r in before.collect()})
+            assert sorted(r.doc_id for r in after.collect()) == want
         if name == "source mixing":
             chosen = queries.mixed(before).collect()
             assert Counter(r.doc_id for r in after.collect()) == Counter(r.doc_id for r in chosen)
