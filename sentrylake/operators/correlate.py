@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions.net import in_networks, is_address, is_public
 from sentrylake.functions.url import defang
-from sentrylake.operators.rulebook import sorted_list
 from sentrylake.schema import KILL_CHAIN, SEVERITIES, severity_rank, stage_rank
-from sentrylake.session import ensure_checkpoint_dir
+from sentrylake.session import ensure_checkpoint_dir, staged
 
 # Metric names that hold entities, single and as lists.
 ENTITY_KEYS = ["assigned_ip", "destination", "domain", "responder", "ip", "mac"]
 ENTITY_LISTS = ["targets", "hosts", "internal_hosts", "sources"]
 
 
-def finding_entities(findings: DataFrame) -> DataFrame:
-    """(finding_id, entity): addresses, user, entity and the entity-valued metrics."""
+def finding_entities(findings: DataFrame, items: DataFrame) -> DataFrame:
+    """(finding_id, entity): addresses, user, entity, the entity-valued metrics, and every value of the lists that
+    name hosts, however long they are."""
     m = F.col("metrics")
-    lists = [F.coalesce(F.from_json(m[k], "array<string>"), F.array().cast("array<string>")) for k in ENTITY_LISTS]
-    every = F.concat(F.array("src_ip", "dst_ip", "user", "entity", *[m[k] for k in ENTITY_KEYS]), *lists)
-    return findings.select("finding_id", F.explode(every).alias("entity")).where(F.col("entity") != "").distinct()
+    own = findings.select("finding_id", F.explode(F.array("src_ip", "dst_ip", "user", "entity", *[m[k] for k in ENTITY_KEYS])).alias("entity"))
+    lists = items.where(F.col("kind").isin(ENTITY_LISTS)).select("finding_id", F.col("value").alias("entity"))
+    return own.unionByName(lists).where(F.col("entity") != "").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -58,9 +58,10 @@ def numbered(df: DataFrame, order: list, out: str, start: int = 1) -> DataFrame:
     return rows.join(F.broadcast(sizes), "_p").withColumn(out, (F.col("_s") + F.col("_i") - F.col("_lo") + start).cast("bigint")).drop("_p", "_i", "_lo", "_s")
 
 
-def incidents(findings: DataFrame, hubs=()) -> tuple[DataFrame, DataFrame]:
-    """(incidents, members). Shared infrastructure (hubs) does not link findings."""
-    every = finding_entities(findings)
+def incidents(findings: DataFrame, items: DataFrame, hubs=()) -> tuple[DataFrame, DataFrame]:
+    """(incidents, members). Findings are one incident when chains of shared entities connect them. Shared
+    infrastructure (hubs) does not link findings."""
+    every = staged(finding_entities(findings, items))
     links = every.where(~F.col("entity").isin(list(hubs))) if hubs else every
     labels = components(links)
     # A finding without any linking entity is an incident of its own.
@@ -135,7 +136,7 @@ ATTACKER_SRC = ["NSM-SCAN", "NSM-CRED", "NSM-WEB", "NSM-PERIM"]
 ATTACKER_DST = ["NSM-C2", "NSM-EXFIL"]
 
 
-def finding_indicators(findings: DataFrame) -> DataFrame:
+def finding_indicators(findings: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct indicators (type, value) with a block flag: addresses only when public and in the
     attacker role of the rule family."""
     m, rid = F.col("metrics"), F.col("rule_id")
@@ -147,15 +148,15 @@ def finding_indicators(findings: DataFrame) -> DataFrame:
     def plain(kind, c, block, when=None):
         ok = (c != "") if when is None else (c != "") & when
         return F.when(ok, F.struct(F.lit(kind).alias("type"), c.alias("value"), F.lit(block).alias("block"), F.lit(kind).alias("context")))
-    macs = F.transform(F.coalesce(F.from_json(m["suspect_macs"], "array<string>"), F.array().cast("array<string>")), lambda x: F.struct(
-        F.lit("mac").alias("type"), x.alias("value"), F.lit(False).alias("block"), F.lit("mac").alias("context")))
     packet_src = F.when(F.col("kit") == "pkt", F.col("severity_rank") >= 2).otherwise(starts(ATTACKER_SRC))
     packet_dst = F.when(F.col("kit") == "pkt", starts(["TUNNEL", "TLS"])).otherwise(starts(ATTACKER_DST))
     domain = F.when(rid == "NSM-EXFIL-001", F.col("entity")).when((rid == "NSM-EXFIL-003") & ~F.coalesce(is_address(F.col("entity")), F.lit(False)), F.col("entity"))
-    every = F.concat(F.array_compact(F.array(
+    every = F.array_compact(F.array(
         ip(F.col("src_ip"), packet_src, "source"), ip(F.col("dst_ip"), packet_dst, "destination"), plain("domain", domain, True), plain("domain", m["sni"], True),
-        plain("account", F.col("user"), False))), macs)
+        plain("account", F.col("user"), False)))
     rows = findings.select("rule_id", F.explode(every).alias("x")).select("rule_id", "x.*")
+    macs = items.where(F.col("kind") == "suspect_macs").select("rule_id", F.lit("mac").alias("type"), "value", F.lit(False).alias("block"), F.lit("mac").alias("context"))
+    rows = rows.unionByName(macs)
     out = rows.groupBy("type", F.lower("value").alias("key")).agg(
         F.max("block").alias("block"), F.min("value").alias("value"), F.min(F.concat_ws(" ", "rule_id", "context")).alias("context"))
     return out.select("type", "value", F.when(F.col("type").isin("account", "mac"), F.col("value")).otherwise(defang(F.col("value"))).alias("defanged"), "block", "context")

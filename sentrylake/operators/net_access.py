@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions.net import (HIGH_RISK_PORTS, LATERAL_PORTS, in_networks, present,
                                       service_name)
 from sentrylake.functions.text import any_hit
-from sentrylake.operators.rulebook import band, bounds, points, rule, sorted_list
+from sentrylake.operators.rulebook import band, bounds, found, listed, points, rule
 from sentrylake.session import staged
 from sentrylake.operators.windows import (SECOND, bucket_of, densest_run, distinct_run_rows,
                                           most_distinct_run, run_rows)
@@ -29,7 +29,8 @@ def not_listed(ev: DataFrame, column: str, values) -> DataFrame:
     return ev.where(~F.col(column).isin(list(values))) if values else ev
 
 
-def _scan(ev, cfg, keys, value, window_s, internal_min, external_min, listed, list_name, count_name):
+def _scan(ev, cfg, keys, value, window_s, internal_min, external_min, list_name, count_name):
+    """The findings, their values, and the events of the window that has most of them."""
     rows = flows(ev).where(F.col("dst_port").isNotNull())
     rows = not_listed(rows, "src_ip", cfg.scanner_allowlist + cfg.external_scanner_allowlist)
     rows = rows.select("event_id", "ts_us", "src_ip", "dst_ip", "dst_port", "action")
@@ -44,33 +45,36 @@ def _scan(ev, cfg, keys, value, window_s, internal_min, external_min, listed, li
         F.count(F.lit(1)).alias(count_name), F.sum("n").alias("attempts"), F.sum("b").alias("blocked"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     ratio = F.col("blocked") / F.col("attempts")
-    return (out.withColumn("block_ratio", F.round(ratio, 3))
-            .withColumn("internal_source", inside)
-            .withColumn("confidence", F.when(ratio >= cfg.scan_block_ratio, "high").otherwise("medium"))
-            .withColumn("category", F.when(F.col("internal_source"), "Discovery").otherwise("Reconnaissance"))
-            .withColumn("mitre", F.when(F.col("internal_source"), F.array(F.lit("T1046"))).otherwise(
-                F.array(F.lit("T1046"), F.lit("T1595.001"))))
-            .join(sorted_list(per, keys, value, listed, list_name), keys, "left"))
+    out = (out.withColumn("block_ratio", F.round(ratio, 3))
+           .withColumn("internal_source", inside)
+           .withColumn("confidence", F.when(ratio >= cfg.scan_block_ratio, "high").otherwise("medium"))
+           .withColumn("category", F.when(F.col("internal_source"), "Discovery").otherwise("Reconnaissance"))
+           .withColumn("mitre", F.when(F.col("internal_source"), F.array(F.lit("T1046"))).otherwise(
+               F.array(F.lit("T1046"), F.lit("T1595.001")))))
+    return out, listed(list_name, per, keys, value), hit
 
 
-@rule("net", "NSM-SCAN-001", "Many ports probed on one host", "Reconnaissance", ["T1046"])
+@rule("net", "NSM-SCAN-001", "Many ports probed on one host", "Reconnaissance", ["T1046"], reads="flow")
 def scan_vertical(ev, cfg):
-    out = _scan(ev, cfg, ["src_ip", "dst_ip"], "dst_port", cfg.vertical_scan_window_s,
-                cfg.internal_scan_min_ports, cfg.vertical_scan_min_ports, 40, "ports", "distinct_ports")
+    keys = ["src_ip", "dst_ip"]
+    out, ports, hit = _scan(ev, cfg, keys, "dst_port", cfg.vertical_scan_window_s,
+                            cfg.internal_scan_min_ports, cfg.vertical_scan_min_ports, "ports", "distinct_ports")
     outside = F.when(F.col("confidence") == "high", "medium").otherwise("low")
-    return out.withColumn("severity", F.when(F.col("internal_source"), "high").otherwise(outside))
+    return found(out.withColumn("severity", F.when(F.col("internal_source"), "high").otherwise(outside)), ports, events=hit, keys=keys)
 
 
-@rule("net", "NSM-SCAN-002", "One port probed on many hosts", "Reconnaissance", ["T1046"])
+@rule("net", "NSM-SCAN-002", "One port probed on many hosts", "Reconnaissance", ["T1046"], reads="flow")
 def scan_horizontal(ev, cfg):
-    out = _scan(ev, cfg, ["src_ip", "dst_port"], "dst_ip", cfg.horizontal_scan_window_s,
-                cfg.internal_scan_min_hosts, cfg.horizontal_scan_min_hosts, 40, "hosts", "distinct_hosts")
-    return (out.withColumn("severity", F.when(F.col("internal_source"), "high").otherwise("medium"))
-            .withColumn("service", service_name(F.col("dst_port")))
-            .withColumn("entity", F.concat_ws("/", F.col("dst_port").cast("string"), "service")))
+    keys = ["src_ip", "dst_port"]
+    out, hosts, hit = _scan(ev, cfg, keys, "dst_ip", cfg.horizontal_scan_window_s,
+                            cfg.internal_scan_min_hosts, cfg.horizontal_scan_min_hosts, "hosts", "distinct_hosts")
+    out = (out.withColumn("severity", F.when(F.col("internal_source"), "high").otherwise("medium"))
+           .withColumn("service", service_name(F.col("dst_port")))
+           .withColumn("entity", F.concat_ws("/", F.col("dst_port").cast("string"), "service")))
+    return found(out, hosts, events=hit, keys=keys)
 
 
-@rule("net", "NSM-SCAN-003", "ICMP echo sweep", "Reconnaissance", ["T1018"])
+@rule("net", "NSM-SCAN-003", "ICMP echo sweep", "Reconnaissance", ["T1018"], reads="icmp")
 def scan_ping_sweep(ev, cfg):
     icmp = ev.where(((F.col("protocol") == "icmp") | (F.col("kind") == "icmp"))
                     & present(F.col("src_ip")) & present(F.col("dst_ip"))
@@ -82,13 +86,13 @@ def scan_ping_sweep(ev, cfg):
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.where(F.col("distinct_hosts") >= cfg.ping_sweep_min_hosts)
     inside = in_networks(F.col("src_ip"), cfg.home_nets)
-    return (out.withColumn("internal_source", inside)
-            .withColumn("severity", F.when(F.col("internal_source"), "high").otherwise("low"))
-            .withColumn("category", F.when(F.col("internal_source"), "Discovery").otherwise("Reconnaissance"))
-            .join(sorted_list(per, ["src_ip"], "dst_ip", 40, "hosts"), "src_ip", "left"))
+    out = (out.withColumn("internal_source", inside)
+           .withColumn("severity", F.when(F.col("internal_source"), "high").otherwise("low"))
+           .withColumn("category", F.when(F.col("internal_source"), "Discovery").otherwise("Reconnaissance")))
+    return found(out, listed("hosts", per, ["src_ip"], "dst_ip"), events=icmp, keys=["src_ip"])
 
 
-@rule("net", "NSM-PERIM-001", "Management port open to the internet", "Initial Access", ["T1133", "T1190"])
+@rule("net", "NSM-PERIM-001", "Management port open to the internet", "Initial Access", ["T1133", "T1190"], reads="flow")
 def exposed_service(ev, cfg):
     rows = flows(ev).where(
         (F.col("action") == "allow") & F.col("dst_port").isin(HIGH_RISK_PORTS)
@@ -97,47 +101,49 @@ def exposed_service(ev, cfg):
     out = per.groupBy("dst_ip", "dst_port").agg(
         F.sum("n").alias("allowed_connections"), F.count(F.lit(1)).alias("distinct_sources"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return (out.withColumn("service", service_name(F.col("dst_port")))
-            .withColumn("entity", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
-            .withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
-            .join(sorted_list(per, ["dst_ip", "dst_port"], "src_ip", 20, "sources"), ["dst_ip", "dst_port"], "left"))
+    out = (out.withColumn("service", service_name(F.col("dst_port")))
+           .withColumn("entity", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
+           .withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high")))
+    keys = ["dst_ip", "dst_port"]
+    return found(out, listed("sources", per, keys, "src_ip"), events=rows, keys=keys)
 
 
-@rule("net", "NSM-CRED-001", "Password guessing from one source", "Credential Access", ["T1110.001"])
+@rule("net", "NSM-CRED-001", "Password guessing from one source", "Credential Access", ["T1110.001"], reads="auth")
 def cred_bruteforce(ev, cfg):
-    fails = auth(ev).where((F.col("action") == "failure") & present(F.col("src_ip"))).select("src_ip", "user", "ts_us")
+    fails = auth(ev).where((F.col("action") == "failure") & present(F.col("src_ip"))).select("event_id", "src_ip", "user", "ts_us")
     window = cfg.bruteforce_window_s * SECOND
     best = densest_run(fails, ["src_ip"], window, cfg.bruteforce_min_failures)
-    per = run_rows(fails, best, ["src_ip"], window).groupBy("src_ip", "user").agg(
-        F.count(F.lit(1)).alias("n"), *bounds())
+    hit = run_rows(fails, best, ["src_ip"], window)
+    per = hit.groupBy("src_ip", "user").agg(F.count(F.lit(1)).alias("n"), *bounds())
     out = per.groupBy("src_ip").agg(
         F.sum("n").alias("failures"), F.count_if(present(F.col("user"))).alias("distinct_users"),
         F.min(F.when(present(F.col("user")), F.col("user"))).alias("first_user"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     span = (F.col("last_us") - F.col("first_us")) / SECOND
     span = F.when(span == 0, 1.0).otherwise(span)
-    return (out.withColumn("window_seconds", F.round(span).cast("bigint"))
-            .withColumn("attempts_per_min", F.round(F.col("failures") / span * 60, 2))
-            .withColumn("external_source", ~in_networks(F.col("src_ip"), cfg.home_nets))
-            .withColumn("user", F.when(F.col("distinct_users") == 1, F.col("first_user"))).drop("first_user")
-            .withColumn("severity", F.lit("high"))
-            .withColumn("confidence", F.when(F.col("distinct_users") <= 2, "high").otherwise("medium")))
+    out = (out.withColumn("window_seconds", F.round(span).cast("bigint"))
+           .withColumn("attempts_per_min", F.round(F.col("failures") / span * 60, 2))
+           .withColumn("external_source", ~in_networks(F.col("src_ip"), cfg.home_nets))
+           .withColumn("user", F.when(F.col("distinct_users") == 1, F.col("first_user"))).drop("first_user")
+           .withColumn("severity", F.lit("high"))
+           .withColumn("confidence", F.when(F.col("distinct_users") <= 2, "high").otherwise("medium")))
+    return found(out, listed("users", per, ["src_ip"], "user"), events=hit, keys=["src_ip"])
 
 
-@rule("net", "NSM-CRED-002", "Few guesses against many accounts", "Credential Access", ["T1110.003"])
+@rule("net", "NSM-CRED-002", "Few guesses against many accounts", "Credential Access", ["T1110.003"], reads="auth")
 def cred_spray(ev, cfg):
     fails = auth(ev).where((F.col("action") == "failure") & present(F.col("src_ip")) & present(F.col("user")))
     fails = fails.select("event_id", "src_ip", "user", "ts_us")
     window = cfg.spray_window_s * SECOND
     best = staged(most_distinct_run(fails, ["src_ip"], "user", window, cfg.spray_min_users))
-    per = staged(distinct_run_rows(fails, best, ["src_ip"], "user", window).groupBy("src_ip", "user").agg(
-        F.count(F.lit(1)).alias("n"), *bounds()))
+    hit = distinct_run_rows(fails, best, ["src_ip"], "user", window)
+    per = staged(hit.groupBy("src_ip", "user").agg(F.count(F.lit(1)).alias("n"), *bounds()))
     out = per.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("distinct_users"), F.sum("n").alias("total_attempts"),
         F.max("n").alias("max_per_user"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.where(F.col("max_per_user") <= cfg.spray_max_attempts_per_user)
-    return (out.withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
-            .join(sorted_list(per, ["src_ip"], "user", 30, "users"), "src_ip", "left"))
+    out = out.withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
+    return found(out, listed("users", per, ["src_ip"], "user"), events=hit, keys=["src_ip"])
 
 
 def _service_account(user, cfg):
@@ -164,7 +170,7 @@ def preceding_counts(marks: DataFrame, probes: DataFrame, keys: list[str], windo
             .drop("b", "p", "o", "d"))
 
 
-@rule("net", "NSM-CRED-003", "Success after repeated failures", "Initial Access", ["T1110", "T1078"])
+@rule("net", "NSM-CRED-003", "Success after repeated failures", "Initial Access", ["T1110", "T1078"], reads="auth")
 def cred_success_after_failures(ev, cfg):
     rows = auth(ev).where(present(F.col("src_ip"))).select(
         "event_id", "ts_us", "src_ip", "user", "action", "assigned_ip")
@@ -184,7 +190,7 @@ def cred_success_after_failures(ev, cfg):
         F.lit("critical").alias("severity"), F.lit("high").alias("confidence"))
 
 
-@rule("net", "NSM-CRED-004", "Account used from unusual places or hours", "Persistence", ["T1078"])
+@rule("net", "NSM-CRED-004", "Account used from unusual places or hours", "Persistence", ["T1078"], reads="auth")
 def cred_odd_sessions(ev, cfg):
     start, end = cfg.business_hours
     good = auth(ev).where((F.col("action") == "success") & present(F.col("user")))
@@ -196,13 +202,12 @@ def cred_odd_sessions(ev, cfg):
         F.sum("odd").alias("off_hours_sessions"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.where((F.col("distinct_sources") >= 3) | (F.col("off_hours_sessions") >= 3))
-    return (out.withColumn("severity", F.when(_service_account(F.col("user"), cfg), "high").otherwise("medium"))
-            .withColumn("confidence", F.lit("low"))
-            .join(sorted_list(per, ["user"], "src_ip", 20, "sources"), "user", "left"))
+    out = out.withColumn("severity", F.when(_service_account(F.col("user"), cfg), "high").otherwise("medium")).withColumn("confidence", F.lit("low"))
+    return found(out, listed("sources", per, ["user"], "src_ip"), events=good, keys=["user"])
 
 
 @rule("net", "NSM-LAT-001", "Internal fan-out on admin ports", "Lateral Movement",
-      ["T1021.001", "T1021.002", "T1021.004", "T1210"])
+      ["T1021.001", "T1021.002", "T1021.004", "T1210"], reads="admin")
 def lateral_move(ev, cfg):
     rows = ev.where(
         F.col("dst_port").isin(LATERAL_PORTS) & present(F.col("src_ip")) & present(F.col("dst_ip"))
@@ -213,7 +218,8 @@ def lateral_move(ev, cfg):
          & any_hit(F.col("signature"), ["exploit", "lateral", "brute", "psexec", "smb"])).alias("exploit"))
     window = cfg.lateral_window_s * SECOND
     best = staged(most_distinct_run(rows, ["src_ip"], "dst_ip", window, cfg.lateral_min_targets))
-    per = distinct_run_rows(rows, best, ["src_ip"], "dst_ip", window).groupBy("src_ip", "dst_ip").agg(
+    hit = distinct_run_rows(rows, best, ["src_ip"], "dst_ip", window)
+    per = hit.groupBy("src_ip", "dst_ip").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "allow").alias("allowed"),
         F.count_if("exploit").alias("exploit"), F.collect_set("dst_port").alias("ports"), *bounds())
     per = staged(per)
@@ -229,26 +235,29 @@ def lateral_move(ev, cfg):
     alerts = F.col("ids_exploit_alerts") > 0
     score = F.lit(2) + points((F.size("ports") >= 2, 2), (pool, 3), (alerts, 3), (F.col("allowed") > 0, 2),
                               (F.col("target_count") >= 5, 1))
-    return (out.withColumn("from_vpn_pool", pool).withColumn("score", score)
-            .withColumn("severity", band(F.col("score"), (8, "critical"), default="high"))
-            .withColumn("confidence", F.when(alerts | F.col("from_vpn_pool"), "high").otherwise("medium"))
-            .join(sorted_list(per, ["src_ip"], "dst_ip", 30, "targets"), "src_ip", "left"))
+    out = (out.withColumn("from_vpn_pool", pool).withColumn("score", score)
+           .withColumn("severity", band(F.col("score"), (8, "critical"), default="high"))
+           .withColumn("confidence", F.when(alerts | F.col("from_vpn_pool"), "high").otherwise("medium")))
+    return found(out, listed("targets", per, ["src_ip"], "dst_ip"), events=hit, keys=["src_ip"])
 
 
-@rule("net", "NSM-LAT-002", "Exploit signature between internal hosts", "Lateral Movement", ["T1210"])
+@rule("net", "NSM-LAT-002", "Exploit signature between internal hosts", "Lateral Movement", ["T1210"], reads="flow")
 def internal_exploit(ev, cfg):
     rows = ev.where(
         (F.col("kind") == "ids_alert") & present(F.col("src_ip")) & present(F.col("dst_ip"))
         & (any_hit(F.col("signature"), ["exploit"]) | any_hit(F.col("classification"), ["unauthorized"]))
         & in_networks(F.col("src_ip"), cfg.home_nets + cfg.vpn_pool_nets) & in_networks(F.col("dst_ip"), cfg.home_nets))
-    out = rows.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("alerts"), *bounds())
-    sigs = sorted_list(rows.where(F.col("signature") != ""), ["src_ip", "dst_ip"], "signature", 10, "signatures")
-    return (out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
-            .join(sigs, ["src_ip", "dst_ip"], "left"))
+    keys = ["src_ip", "dst_ip"]
+    per = rows.groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("n"), *bounds())
+    out = per.groupBy(*keys).agg(F.sum("n").alias("alerts"), F.count_if(F.col("signature") != "").alias("signature_count"),
+                                 F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    out = out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
+    return found(out, listed("signatures", per, keys, "signature"), events=rows, keys=keys)
 
 
-def vpn_pivots(ev: DataFrame, cfg) -> DataFrame:
-    """What each successful VPN login's assigned address did in the following seven days.
+def vpn_pivots(ev: DataFrame, cfg) -> tuple[DataFrame, DataFrame]:
+    """What each successful VPN login's assigned address did in the following seven days: a row per login with exact
+    counts, and a row (login_id, kind, value, n, first_us, last_us) per target, port and signature.
 
     Activity is first reduced to one row per address, hour, target, port and signature. A login
     meets those rows, not events; only rows cut by the edge of its interval are resolved again
@@ -279,18 +288,17 @@ def vpn_pivots(ev: DataFrame, cfg) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("n"), *bounds()))
     parts = staged(met.where(whole).select(*resolved.columns).unionByName(resolved))
     key = ["login_id", "user", "external_ip", "assigned_ip", "login_us"]
-    per = parts.groupBy(*key, "dst_ip").agg(
-        F.sum("n").alias("n"), F.count_if(F.col("sig") != "").alias("alerts"),
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    # Targets, ports and signatures side by side: one pass, and a login with very many of one kind is only many rows.
+    kinds = F.array(F.struct(F.lit("target").alias("kind"), F.col("dst_ip").alias("value")), F.struct(F.lit("port").alias("kind"), F.nullif(F.col("dst_port"), F.lit(0)).cast("string").alias("value")),
+                    F.struct(F.lit("signature").alias("kind"), F.col("sig").alias("value")))
+    flat = parts.select(*key, "n", "first_us", "last_us", (F.col("sig") != "").cast("int").alias("alert"), F.explode(kinds).alias("x")).select(
+        *key, "n", "first_us", "last_us", "alert", "x.*")
+    per = staged(flat.groupBy(*key, "kind", "value").agg(F.sum("n").alias("n"), F.max("alert").alias("alert"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")))
+    there = F.coalesce(F.col("value"), F.lit("")) != ""
     out = per.groupBy(*key).agg(
-        F.sum("n").alias("post_login_events"), F.count_if(F.col("dst_ip") != "").alias("target_count"),
-        F.sum("alerts").alias("alerts"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-
-    def listed(col, missing, n, name):
-        return sorted_list(parts.where(F.col(col) != missing), ["login_id"], col, n, name)
-    return (out.withColumn("suspicious", (F.col("alerts") > 0) | (F.col("target_count") >= cfg.lateral_min_targets))
-            .drop("alerts")
-            .join(listed("dst_ip", "", 30, "internal_targets"), "login_id", "left")
-            .join(listed("dst_port", 0, 30, "ports_touched"), "login_id", "left")
-            .join(listed("sig", "", 15, "ids_signatures"), "login_id", "left")
-            .orderBy(F.desc("suspicious"), F.desc("target_count"), "login_id"))
+        F.sum(F.when(F.col("kind") == "target", F.col("n"))).alias("post_login_events"), *[F.count_if(there & (F.col("kind") == k)).alias(c) for k, c in (
+            ("target", "target_count"), ("port", "port_count"), ("signature", "signature_count"))],
+        F.max("alert").alias("alert"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    out = out.withColumn("suspicious", (F.col("alert") > 0) | (F.col("target_count") >= cfg.lateral_min_targets)).drop("alert")
+    return (out.orderBy(F.desc("suspicious"), F.desc("target_count"), "login_id"),
+            per.where(there).select("login_id", "kind", "value", "n", "first_us", "last_us"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import text as tx
 from sentrylake.functions.net import SUSPICIOUS_PORTS, in_networks, present, service_name
 from sentrylake.operators.net_access import BLOCKED, not_listed
-from sentrylake.operators.rulebook import band, bounds, points, rule, sorted_list
+from sentrylake.operators.rulebook import band, bounds, found, listed, points, rule
 from sentrylake.session import staged
 from sentrylake.operators.windows import (SECOND, bucket_of, densest_run, exact_median, previous_instant,
                                           run_rows)
@@ -43,7 +43,7 @@ def gap_statistics(instants: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("mad_ratio", F.col("mad2") / (2.0 * F.col("med2"))))
 
 
-@rule("net", "NSM-C2-001", "Regular call-home traffic", "Command & Control", ["T1071.001", "T1573"])
+@rule("net", "NSM-C2-001", "Regular call-home traffic", "Command & Control", ["T1071.001", "T1573"], reads="egress")
 def c2_beacon(ev, cfg):
     rows = egress(ev.where(F.col("kind").isin("network_flow", "http", "dns", "ids_alert")
                            & F.col("ts_us").isNotNull()), cfg)
@@ -74,8 +74,8 @@ def c2_beacon(ev, cfg):
     ported = F.max((F.col("port") >= 0).cast("int")).over(Window.partitionBy("src_ip", "dst_ip"))
     out = out.withColumn("_p", ported).where((F.col("port") >= 0) | (F.col("_p") == 0))
     port = F.when(F.col("port") >= 0, F.col("port"))
-    return out.select(
-        "src_ip", "dst_ip", port.alias("dst_port"), "connections", F.round("period", 1).alias("period_seconds"),
+    out = out.select(
+        "src_ip", "dst_ip", F.col("port").alias("channel"), port.alias("dst_port"), "connections", F.round("period", 1).alias("period_seconds"),
         F.round("jitter", 4).alias("jitter_ratio"), F.round("mad_ratio", 4).alias("mad_ratio"),
         F.round("size_cv", 4).alias("size_cv"), service_name(port).alias("service"),
         F.coalesce(bad_port, F.lit(False)).alias("suspicious_port"), "ids_confirmed", score.alias("score"),
@@ -83,20 +83,22 @@ def c2_beacon(ev, cfg):
         band(score, (6, "high"), (4, "medium"), default="low").alias("confidence"),
         F.round((F.col("last_us") - F.col("first_us")) / (3600.0 * SECOND), 1).alias("duration_hours"),
         F.concat_ws(":", "dst_ip", port.cast("string")).alias("entity"), "first_us", "last_us")
+    return found(out, events=rows.withColumnRenamed("port", "channel"), keys=["src_ip", "dst_ip", "channel"])
 
 
-@rule("net", "NSM-C2-002", "Traffic on an attack-tool port", "Command & Control", ["T1571"])
+@rule("net", "NSM-C2-002", "Traffic on an attack-tool port", "Command & Control", ["T1571"], reads="tool")
 def c2_bad_port(ev, cfg):
     rows = ev.where(F.col("dst_port").isin(SUSPICIOUS_PORTS) & present(F.col("src_ip")) & present(F.col("dst_ip")))
     out = rows.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count(F.lit(1)).alias("events"), *bounds())
     outbound = in_networks(F.col("src_ip"), cfg.home_nets) & ~in_networks(F.col("dst_ip"), cfg.home_nets)
-    return (out.withColumn("outbound", outbound)
-            .withColumn("severity", F.when(F.col("outbound"), "high").otherwise("medium"))
-            .withColumn("confidence", F.lit("medium"))
-            .withColumn("entity", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))))
+    out = (out.withColumn("outbound", outbound)
+           .withColumn("severity", F.when(F.col("outbound"), "high").otherwise("medium"))
+           .withColumn("confidence", F.lit("medium"))
+           .withColumn("entity", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))))
+    return found(out, events=rows, keys=["src_ip", "dst_ip", "dst_port"])
 
 
-@rule("net", "NSM-EXFIL-001", "Data carried in DNS names", "Exfiltration", ["T1071.004", "T1048.003"])
+@rule("net", "NSM-EXFIL-001", "Data carried in DNS names", "Exfiltration", ["T1071.004", "T1048.003"], reads="dns")
 def exfil_dns(ev, cfg):
     q = F.col("dns_query")
     rows = tx.compute_once(ev.where(present(q)), domain=tx.registered_domain(q), sub=tx.subdomain_part(q))
@@ -122,6 +124,7 @@ def exfil_dns(ev, cfg):
         F.countDistinct("sub").alias("unique_subdomains"), F.sum("enc").alias("encoded_labels"),
         F.count_if("odd").alias("odd_qtypes"), F.count_if("nx").alias("nx"), F.count_if("resp").alias("resp"),
         F.countDistinct(F.when(present(F.col("src_ip")), F.col("src_ip"))).alias("host_count"),
+        F.min(F.when(present(F.col("src_ip")), F.col("src_ip"))).alias("one_host"),
         F.coalesce(F.avg("run"), F.lit(0.0)).alias("mr"), F.coalesce(F.avg("dig"), F.lit(0.0)).alias("md"),
         F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), *bounds())
     many = F.col("queries") >= 10
@@ -133,27 +136,28 @@ def exfil_dns(ev, cfg):
         (many & (1.0 - F.col("resp") / F.col("queries") >= 0.8), 1),
         (F.col("host_count") >= cfg.dns_min_hosts_for_campaign, 1), (F.col("mr") >= 8, 1), (F.col("md") >= 0.25, 1))
     out = staged(out.withColumn("score", score).where(F.col("score") >= 5))
-    rows = rows.join(out.select("domain"), "domain", "left_semi")
-    hosts = sorted_list(rows.where(present(F.col("src_ip"))), ["domain"], "src_ip", 20, "internal_hosts")
-    return out.join(hosts, "domain", "left").select(
+    hit = rows.join(out.select("domain"), "domain", "left_semi").withColumnRenamed("domain", "entity")
+    out = out.select(
         F.col("domain").alias("entity"), "queries", "unique_subdomains", "max_qname_len",
         F.round("mq", 1).alias("mean_qname_len"), "max_label_len", F.round("me", 3).alias("mean_entropy"),
-        "encoded_labels", F.round(F.col("nx") / F.col("queries"), 3).alias("nxdomain_ratio"), "internal_hosts",
-        F.when(F.col("host_count") == 1, F.get("internal_hosts", F.lit(0))).alias("src_ip"),
+        "encoded_labels", F.round(F.col("nx") / F.col("queries"), 3).alias("nxdomain_ratio"), "host_count",
+        F.when(F.col("host_count") == 1, F.col("one_host")).alias("src_ip"),
         F.floor(F.col("chars") * 5 / 8).alias("estimated_bytes"), "score",
         band(F.col("score"), (10, "critical"), (7, "high"), default="medium").alias("severity"),
         band(F.col("score"), (8, "high"), default="medium").alias("confidence"), "first_us", "last_us")
+    return found(out, listed("internal_hosts", hit.where(present(F.col("src_ip"))), ["entity"], "src_ip"), events=hit, keys=["entity"])
 
 
-@rule("net", "NSM-EXFIL-002", "DNS sent to an unapproved resolver", "Command & Control", ["T1071.004"])
+@rule("net", "NSM-EXFIL-002", "DNS sent to an unapproved resolver", "Command & Control", ["T1071.004"], reads="port53")
 def exfil_direct_dns(ev, cfg):
     rows = egress(ev.where((F.col("dst_port") == 53) | (F.col("kind") == "dns")), cfg)
     rows = not_listed(rows, "dst_ip", cfg.known_resolvers)
     out = rows.groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("queries"), *bounds())
-    return out.where(F.col("queries") >= 5).withColumn("severity", F.lit("medium")).withColumn("confidence", F.lit("medium"))
+    out = out.where(F.col("queries") >= 5).withColumn("severity", F.lit("medium")).withColumn("confidence", F.lit("medium"))
+    return found(out, events=rows, keys=["src_ip", "dst_ip"])
 
 
-@rule("net", "NSM-EXFIL-003", "Bulk upload over HTTP", "Exfiltration", ["T1041", "T1048.003", "T1567.002"])
+@rule("net", "NSM-EXFIL-003", "Bulk upload over HTTP", "Exfiltration", ["T1041", "T1048.003", "T1567.002"], reads="http")
 def exfil_http(ev, cfg):
     posts = ev.where((F.upper("http_method") == "POST") & present(F.col("src_ip")) & in_networks(F.col("src_ip"), cfg.home_nets))
     dest = F.coalesce(F.when(present(F.col("http_host")), F.col("http_host")),
@@ -176,14 +180,15 @@ def exfil_http(ev, cfg):
         (F.col("posts") >= cfg.http_min_posts_to_new_domain, 1),
         ((baseline > 0) & (F.col("largest_bytes") > 20 * baseline), 2), (F.col("sig"), 3),
         (~in_networks(F.col("dest"), cfg.home_nets) & F.col("dest").contains("."), 1))
-    return out.select(
+    out = out.select(
         "src_ip", F.col("dest").alias("entity"), "posts", "total_bytes", "largest_bytes",
         baseline.alias("baseline_median_bytes"), score.alias("score"),
         band(score, (7, "critical"), (4, "high"), default="medium").alias("severity"),
         band(score, (6, "high"), default="medium").alias("confidence"), "first_us", "last_us")
+    return found(out, events=posts.withColumnRenamed("dest", "entity"), keys=["src_ip", "entity"])
 
 
-@rule("net", "NSM-EXFIL-004", "Lopsided outbound volume", "Exfiltration", ["T1041"])
+@rule("net", "NSM-EXFIL-004", "Lopsided outbound volume", "Exfiltration", ["T1041"], reads="egress")
 def exfil_volume(ev, cfg, window_s: int | None = None):
     rows = egress(ev, cfg).where((F.col("bytes_out") != 0) | (F.col("bytes_in") != 0))
     keys = ["src_ip", "dst_ip"]
@@ -193,13 +198,14 @@ def exfil_volume(ev, cfg, window_s: int | None = None):
     out = rows.groupBy(*keys).agg(
         F.sum("bytes_out").alias("bytes_out"), F.sum("bytes_in").alias("bytes_in"), F.count(F.lit(1)).alias("flows"), *bounds())
     ratio = F.when(F.col("bytes_in") > 0, F.col("bytes_out") / F.col("bytes_in"))
-    return (out.where((F.col("bytes_out") >= cfg.exfil_min_total_bytes)
-                      & F.coalesce(ratio >= cfg.exfil_out_in_ratio, F.lit(True)))
-            .withColumn("ratio", F.round(ratio, 2)).withColumn("severity", F.lit("high"))
-            .withColumn("confidence", F.lit("medium")))
+    out = (out.where((F.col("bytes_out") >= cfg.exfil_min_total_bytes)
+                     & F.coalesce(ratio >= cfg.exfil_out_in_ratio, F.lit(True)))
+           .withColumn("ratio", F.round(ratio, 2)).withColumn("severity", F.lit("high"))
+           .withColumn("confidence", F.lit("medium")))
+    return found(out, events=rows, keys=keys)
 
 
-@rule("net", "NSM-EXFIL-005", "Data carried in ICMP", "Exfiltration", ["T1095", "T1048.003"])
+@rule("net", "NSM-EXFIL-005", "Data carried in ICMP", "Exfiltration", ["T1095", "T1048.003"], reads="icmp")
 def exfil_icmp(ev, cfg):
     rows = ev.where(((F.col("protocol") == "icmp") | (F.col("kind") == "icmp"))
                     & present(F.col("src_ip")) & present(F.col("dst_ip")))
@@ -220,13 +226,14 @@ def exfil_icmp(ev, cfg):
     outside = ~in_networks(F.col("dst_ip"), cfg.home_nets)
     score = points((F.col("max_payload") > limit, 3), (F.col("max_payload") > 256, 2),
                    (F.col("packets") >= cfg.icmp_min_packets, 1), (outside, 2), (F.col("ent") >= 4.5, 3))
-    return out.withColumn("score", score).where(F.col("score") >= 4).select(
+    out = out.withColumn("score", score).where(F.col("score") >= 4).select(
         "src_ip", "dst_ip", "packets", "max_payload", "oversized_packets", "mean_payload",
         outside.alias("external_destination"), "score", band(F.col("score"), (6, "high"), default="medium").alias("severity"),
         F.lit("medium").alias("confidence"), "first_us", "last_us")
+    return found(out, events=rows, keys=["src_ip", "dst_ip"])
 
 
-@rule("net", "NSM-EXFIL-006", "Upload over FTP", "Exfiltration", ["T1048.003"])
+@rule("net", "NSM-EXFIL-006", "Upload over FTP", "Exfiltration", ["T1048.003"], reads="ftp")
 def exfil_ftp(ev, cfg):
     rows = ev.where(((F.col("kind") == "ftp") | F.col("dst_port").isin(20, 21))
                     & present(F.col("src_ip")) & present(F.col("dst_ip")))
@@ -239,21 +246,21 @@ def exfil_ftp(ev, cfg):
     user = F.when((cmd == "USER") & present(arg), arg)
     sensitive = F.coalesce(stor & present(arg) & ends, F.lit(False))
     out = rows.groupBy("src_ip", "dst_ip").agg(
-        F.count_if(stor).alias("stor_count"), F.count_if(sensitive).alias("sensitive_count"), F.min(user).alias("user"),
+        F.count_if(stor).alias("stor_count"), F.count_if(sensitive).alias("sensitive_count"), F.countDistinct(F.when(sensitive, arg)).alias("sensitive_file_count"), F.min(user).alias("user"),
         F.coalesce(F.max(F.lower(user).isin("anonymous", "guest", "ftp", "test")), F.lit(False)).alias("guest"),
         F.coalesce(F.max(cmd == "PASS"), F.lit(False)).alias("cleartext_password_observed"), *bounds())
     out = out.where((F.col("sensitive_count") > 0) | (F.col("stor_count") >= F.greatest(F.lit(1), F.lit(cfg.ftp_stor_min_transfers))))
     outside = ~in_networks(F.col("dst_ip"), cfg.home_nets)
     score = points((F.col("stor_count") > 0, 2), (F.col("sensitive_count") > 0, 3), (outside, 3),
                    (F.col("guest"), 2), (F.col("cleartext_password_observed"), 1))
-    files = sorted_list(rows.where(sensitive), ["src_ip", "dst_ip"], "ftp_arg", 20, "sensitive_files")
-    return (out.withColumn("external_destination", outside).withColumn("score", score).drop("guest")
-            .withColumn("severity", band(F.col("score"), (7, "critical"), (5, "high"), default="medium"))
-            .withColumn("confidence", F.when(F.col("sensitive_count") > 0, "high").otherwise("medium"))
-            .join(files, ["src_ip", "dst_ip"], "left"))
+    out = (out.withColumn("external_destination", outside).withColumn("score", score).drop("guest")
+           .withColumn("severity", band(F.col("score"), (7, "critical"), (5, "high"), default="medium"))
+           .withColumn("confidence", F.when(F.col("sensitive_count") > 0, "high").otherwise("medium")))
+    keys = ["src_ip", "dst_ip"]
+    return found(out, listed("sensitive_files", rows.where(sensitive), keys, "ftp_arg"), events=rows, keys=keys)
 
 
-@rule("net", "NSM-WEB-001", "Web application attack", "Exploitation", ["T1190", "T1059"])
+@rule("net", "NSM-WEB-001", "Web application attack", "Exploitation", ["T1190", "T1059"], reads="alert")
 def web_attack(ev, cfg):
     rows = ev.where(tx.any_hit(F.col("signature"), WEB_TERMS) & present(F.col("src_ip")))
     rows = rows.withColumn("attack", F.trim("signature"))
@@ -263,63 +270,64 @@ def web_attack(ev, cfg):
         F.count(F.lit(1)).alias("type_count"), F.sum("n").alias("alerts"), F.sum("b").alias("blocked"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     severe = (F.col("type_count") >= 2) | (F.col("blocked") < F.col("alerts"))
-    return (out.withColumn("unblocked", F.col("alerts") - F.col("blocked"))
-            .withColumn("severity", F.when(severe, "high").otherwise("medium")).withColumn("confidence", F.lit("high"))
-            .join(sorted_list(per, ["src_ip"], "attack", 15, "attack_types"), "src_ip", "left"))
+    out = (out.withColumn("unblocked", F.col("alerts") - F.col("blocked"))
+           .withColumn("severity", F.when(severe, "high").otherwise("medium")).withColumn("confidence", F.lit("high")))
+    return found(out, listed("attack_types", per, ["src_ip"], "attack"), events=rows, keys=["src_ip"])
 
 
-@rule("net", "NSM-MITM-001", "One address claimed by several MACs", "Exploitation", ["T1557.002"])
+@rule("net", "NSM-MITM-001", "One address claimed by several MACs", "Exploitation", ["T1557.002"], reads="arp")
 def arp_conflict(ev, cfg):
     rows = ev.where((F.col("kind") == "arp") & present(F.col("arp_sender_ip")) & (F.col("arp_opcode") == 2)
                     & present(F.col("arp_sender_mac")))
-    per = rows.groupBy("arp_sender_ip", "arp_sender_mac").agg(F.count(F.lit(1)).alias("replies"), *bounds())
-    claims = F.array_sort(F.collect_list(F.struct("first_us", "arp_sender_mac", "replies")))
-    out = per.groupBy(F.col("arp_sender_ip").alias("entity")).agg(
-        F.count(F.lit(1)).alias("mac_count"), claims.alias("claims"),
+    rows = rows.withColumnRenamed("arp_sender_ip", "entity")
+    per = staged(rows.groupBy("entity", "arp_sender_mac").agg(F.count(F.lit(1)).alias("replies"), *bounds()))
+    # Who claimed the address first is taken for its owner; the others are a list of any length.
+    out = per.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("mac_count"), F.min(F.struct("first_us", "arp_sender_mac"))["arp_sender_mac"].alias("likely_legitimate_mac"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     gateway = F.col("entity").isin(list(cfg.gateway_ips)) if cfg.gateway_ips else F.lit(False)
-    macs = F.transform("claims", lambda c: c["arp_sender_mac"])
-    return (out.where(F.col("mac_count") >= cfg.arp_min_conflicting_macs)
-            .withColumn("likely_legitimate_mac", macs[0])
-            .withColumn("suspect_macs", F.slice(macs, F.lit(2), F.size(macs)))
-            .withColumn("is_gateway", gateway).drop("claims")
-            .withColumn("severity", F.when(F.col("is_gateway"), "critical").otherwise("high"))
-            .withColumn("confidence", F.lit("high")))
+    out = (out.where(F.col("mac_count") >= cfg.arp_min_conflicting_macs)
+           .withColumn("suspect_count", F.col("mac_count") - 1).withColumn("is_gateway", gateway)
+           .withColumn("severity", F.when(F.col("is_gateway"), "critical").otherwise("high"))
+           .withColumn("confidence", F.lit("high")))
+    suspects = per.join(out.select("entity", "likely_legitimate_mac"), "entity").where(F.col("arp_sender_mac") != F.col("likely_legitimate_mac"))
+    return found(out, listed("suspect_macs", suspects, ["entity"], "arp_sender_mac"), events=rows, keys=["entity"])
 
 
-@rule("net", "NSM-MITM-002", "Burst of unsolicited ARP replies", "Exploitation", ["T1557.002"])
+@rule("net", "NSM-MITM-002", "Burst of unsolicited ARP replies", "Exploitation", ["T1557.002"], reads="arp")
 def arp_burst(ev, cfg):
     rows = ev.where((F.col("kind") == "arp") & present(F.col("arp_sender_ip")) & F.col("arp_is_gratuitous")
-                    & present(F.col("arp_sender_mac"))).select(F.col("arp_sender_mac").alias("entity"), "arp_sender_ip", "ts_us")
+                    & present(F.col("arp_sender_mac"))).select(
+        "event_id", F.col("arp_sender_mac").alias("entity"), "arp_sender_ip", "ts_us")
     window = cfg.arp_window_s * SECOND
     best = densest_run(rows, ["entity"], window, cfg.arp_gratuitous_burst)
-    per = run_rows(rows, best, ["entity"], window).groupBy("entity", "arp_sender_ip").agg(
-        F.count(F.lit(1)).alias("n"), *bounds())
+    hit = run_rows(rows, best, ["entity"], window)
+    per = hit.groupBy("entity", "arp_sender_ip").agg(F.count(F.lit(1)).alias("n"), *bounds())
     out = per.groupBy("entity").agg(
         F.sum("n").alias("replies"), F.count(F.lit(1)).alias("claimed_count"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return (out.withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("medium"))
-            .join(sorted_list(per, ["entity"], "arp_sender_ip", 20, "claimed_ips"), "entity", "left"))
+    out = out.withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("medium"))
+    return found(out, listed("claimed_ips", per, ["entity"], "arp_sender_ip"), events=hit, keys=["entity"])
 
 
 def dns_answers(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("dns_is_response") & present(F.col("dns_query")) & F.col("ts_us").isNotNull())
 
 
-@rule("net", "NSM-MITM-003", "DNS answer from an unapproved responder", "Exploitation", ["T1557", "T1071.004"])
+@rule("net", "NSM-MITM-003", "DNS answer from an unapproved responder", "Exploitation", ["T1557", "T1071.004"], reads="dns")
 def dns_rogue(ev, cfg):
     rows = not_listed(dns_answers(ev).where(present(F.col("src_ip"))), "src_ip", cfg.known_resolvers)
     if cfg.gateway_ips:
         rows = rows.where(~(F.col("src_ip").isin(list(cfg.gateway_ips)) & in_networks(F.col("src_ip"), cfg.home_nets)))
-    key = ["src_ip", "dns_query"]
-    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("responses"), *bounds())
-    answers = sorted_list(rows.where(present(F.col("dns_answer"))), key, "dns_answer", 5, "answers")
-    ttls = sorted_list(rows, key, "dns_ttl", 5, "ttls")
-    return (out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
-            .join(answers, key, "left").join(ttls, key, "left").withColumnRenamed("dns_query", "entity"))
+    rows, key = rows.withColumnRenamed("dns_query", "entity"), ["src_ip", "entity"]
+    out = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("responses"), F.countDistinct(F.when(present(F.col("dns_answer")), F.col("dns_answer"))).alias("answer_count"),
+        F.countDistinct("dns_ttl").alias("ttl_count"), *bounds())
+    out = out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
+    return found(out, listed("answers", rows, key, "dns_answer"), listed("ttls", rows, key, "dns_ttl"), events=rows, keys=key)
 
 
-@rule("net", "NSM-MITM-004", "Conflicting DNS answers in quick succession", "Exploitation", ["T1557"])
+@rule("net", "NSM-MITM-004", "Conflicting DNS answers in quick succession", "Exploitation", ["T1557"], reads="dns")
 def dns_race(ev, cfg):
     gap = int(cfg.dns_spoof_race_window_s * SECOND)
     rows = dns_answers(ev).select("event_id", "ts_us", "dns_query", "dns_answer", "src_ip")
@@ -338,38 +346,39 @@ def dns_race(ev, cfg):
     racing = staged(racing)
     told = rows.where(present(F.col("dns_answer"))).join(racing.select("dns_query"), "dns_query", "left_semi")
     n = told.groupBy("dns_query").agg(F.countDistinct("dns_answer").alias("answer_count")).where(F.col("answer_count") >= 2)
-    return (racing.join(n, "dns_query")
-            .join(sorted_list(told, ["dns_query"], "dns_answer", 10, "distinct_answers"), "dns_query", "left")
-            .withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
-            .withColumnRenamed("dns_query", "entity"))
+    out = (racing.join(n, "dns_query").withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
+           .withColumnRenamed("dns_query", "entity"))
+    told = told.withColumnRenamed("dns_query", "entity")
+    return found(out, listed("distinct_answers", told, ["entity"], "dns_answer"), events=told, keys=["entity"])
 
 
-@rule("net", "NSM-MITM-005", "Very short DNS lifetimes", "Command & Control", ["T1557", "T1568.001"])
+@rule("net", "NSM-MITM-005", "Very short DNS lifetimes", "Command & Control", ["T1557", "T1568.001"], reads="dns")
 def dns_short_ttl(ev, cfg):
     rows = dns_answers(ev).where(F.col("dns_ttl").between(0, cfg.dns_spoof_ttl_max))
     out = rows.groupBy(F.col("dns_query").alias("entity")).agg(
         F.count(F.lit(1)).alias("responses"), F.min("dns_ttl").alias("min_ttl"), F.max("dns_ttl").alias("max_ttl"), *bounds())
-    return out.where(F.col("responses") >= 3).withColumn("severity", F.lit("medium")).withColumn("confidence", F.lit("low"))
+    out = out.where(F.col("responses") >= 3).withColumn("severity", F.lit("medium")).withColumn("confidence", F.lit("low"))
+    return found(out, events=rows.withColumnRenamed("dns_query", "entity"), keys=["entity"])
 
 
 def _clear_http(ev: DataFrame) -> DataFrame:
     return ev.where((F.col("kind") == "http") & (F.col("dst_port").isNull() | F.col("dst_port").isin(80, 8080)))
 
 
-@rule("net", "NSM-MITM-006", "TLS host served in clear text", "Exploitation", ["T1557", "T1040"])
+@rule("net", "NSM-MITM-006", "TLS host served in clear text", "Exploitation", ["T1557", "T1040"], reads="http")
 def tls_downgrade(ev, cfg):
     host = F.lower("http_host")
     tls = ev.where(((F.col("kind") == "tls") | (F.col("dst_port") == 443)) & present(F.col("http_host"))).select(
         host.alias("entity")).distinct()
     rows = _clear_http(ev).where(present(F.col("http_host"))).withColumn("entity", host).join(tls, "entity", "left_semi")
     out = rows.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("cleartext_requests"), F.min_by("dst_ip", F.struct("ts_us", "event_id")).alias("dst_ip"), *bounds())
-    clients = sorted_list(rows.where(present(F.col("src_ip"))), ["entity"], "src_ip", 10, "clients")
-    return (out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
-            .join(clients, "entity", "left"))
+        F.count(F.lit(1)).alias("cleartext_requests"), F.countDistinct(F.when(present(F.col("src_ip")), F.col("src_ip"))).alias("client_count"),
+        F.min_by("dst_ip", F.struct("ts_us", "event_id")).alias("dst_ip"), *bounds())
+    out = out.withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
+    return found(out, listed("clients", rows, ["entity"], "src_ip"), events=rows, keys=["entity"])
 
 
-@rule("net", "NSM-MITM-007", "Credentials sent in clear text", "Credential Access", ["T1040", "T1552.001"])
+@rule("net", "NSM-MITM-007", "Credentials sent in clear text", "Credential Access", ["T1040", "T1552.001"], reads="http")
 def cleartext_creds(ev, cfg):
     extra = F.col("extra")
     blob = F.concat_ws(" ", "http_uri", extra["body"], extra["post_data"], extra["request"])
@@ -380,4 +389,8 @@ def cleartext_creds(ev, cfg):
     per = rows.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), *bounds())
     out = per.agg(F.sum("n").alias("requests"), F.count_if(present(F.col("src_ip"))).alias("client_count"),
                   F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return out.where(F.col("requests") > 0).withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
+    out = out.where(F.col("requests") > 0).withColumn("severity", F.lit("critical")).withColumn("confidence", F.lit("high"))
+    # One finding for the whole table.
+    everything = F.lit("all").alias("scope")
+    return found(out.withColumn("scope", everything), listed("clients", per.withColumn("scope", everything), ["scope"], "src_ip"),
+                 events=rows.withColumn("scope", everything), keys=["scope"])

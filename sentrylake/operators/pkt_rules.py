@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import packet as pk
 from sentrylake.functions import text as tx
-from sentrylake.operators.rulebook import bounds, points, rule, sorted_list
+from sentrylake.operators.rulebook import Found, bounds, found, listed, points, rule
 from sentrylake.session import staged
 from sentrylake.operators.windows import SECOND, densest_run, largest_mixed_run, previous_row, run_rows
 from sentrylake.operators.win_rules import graded
@@ -21,87 +21,92 @@ def _syn(p: DataFrame) -> DataFrame:
     return p.where((F.col("proto") == "tcp") & (pk.number("tcp.flags.syn") == 1) & (pk.number("tcp.flags.ack") == 0))
 
 
-def _run_summary(rows, keys, value, window_s, minimum, n, count_name, list_name, *extra):
+def _run_summary(rows, keys, value, window_s, minimum, count_name, list_name, *extra) -> Found:
     """Largest run per key, then its distinct values of one column."""
     window = window_s * SECOND
     best = densest_run(rows, keys, window, minimum)
-    per = staged(run_rows(rows, best, keys, window).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *bounds(), *extra))
+    hit = run_rows(rows, best, keys, window)
+    per = staged(hit.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *bounds(), *extra))
     sums = [F.sum(c).alias(c) for c in per.columns if c not in (*keys, value, "n", "first_us", "last_us")]
     out = per.groupBy(*keys).agg(
         F.count(value).alias(count_name), F.sum("n").alias("packets"), *sums,
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    out = out.where(F.col(count_name) >= minimum)
-    return out.join(sorted_list(per, keys, value, n, list_name), keys, "left")
+    return found(out.where(F.col(count_name) >= minimum), listed(list_name, per, keys, value), events=hit, keys=keys)
+
+
+def _graded(out: Found, severity, confidence, rows: DataFrame | None = None) -> Found:
+    return Found(graded(out.rows if rows is None else rows, severity, confidence), out.lists, out.events, out.event_keys)
 
 
 @rule("pkt", "SCAN-NMAP-01", "TCP port scan", "Reconnaissance", ["T1046"])
 def pkt_scan_vertical(p, cfg):
-    rows = _syn(p).select("src_ip", "dst_ip", "dst_port", "ts_us",
+    rows = _syn(p).select("event_id", "src_ip", "dst_ip", "dst_port", "ts_us",
                           (F.coalesce(pk.number("tcp.window_size"), F.lit(0)) > cfg.scan_connect_window_floor).cast("int").alias("big"))
-    out = _run_summary(rows, ["src_ip", "dst_ip"], "dst_port", cfg.vertical_scan_window_seconds, cfg.vertical_scan_min_ports, 50,
+    out = _run_summary(rows, ["src_ip", "dst_ip"], "dst_port", cfg.vertical_scan_window_seconds, cfg.vertical_scan_min_ports,
                        "distinct_ports", "ports_probed", F.sum("big").alias("connect_n"))
-    out = out.withColumn("scan_type", F.when(2 * F.col("connect_n") >= F.col("packets"), "connect").otherwise("syn")).drop("connect_n")
-    return graded(out, F.when(F.col("distinct_ports") >= 2 * cfg.vertical_scan_min_ports, "high").otherwise("medium"), "high")
+    typed = out.rows.withColumn("scan_type", F.when(2 * F.col("connect_n") >= F.col("packets"), "connect").otherwise("syn")).drop("connect_n")
+    return _graded(out, F.when(F.col("distinct_ports") >= 2 * cfg.vertical_scan_min_ports, "high").otherwise("medium"), "high", typed)
 
 
 @rule("pkt", "SCAN-NMAP-02", "One port swept across hosts", "Reconnaissance", ["T1046"])
 def pkt_scan_horizontal(p, cfg):
-    rows = _syn(p).select("src_ip", "dst_port", "dst_ip", "ts_us")
-    return graded(_run_summary(rows, ["src_ip", "dst_port"], "dst_ip", cfg.horizontal_scan_window_seconds, cfg.horizontal_scan_min_hosts,
-                               50, "distinct_hosts", "hosts_probed"), "medium", "high")
+    rows = _syn(p).select("event_id", "src_ip", "dst_port", "dst_ip", "ts_us")
+    return _graded(_run_summary(rows, ["src_ip", "dst_port"], "dst_ip", cfg.horizontal_scan_window_seconds, cfg.horizontal_scan_min_hosts,
+                                "distinct_hosts", "hosts_probed"), "medium", "high")
 
 
 @rule("pkt", "SCAN-NMAP-03", "UDP port scan", "Reconnaissance", ["T1046"])
 def pkt_scan_udp(p, cfg):
     rows = p.where((F.col("proto") == "icmp") & (pk.number("icmp.type") == 3) & (pk.number("icmp.code") == 3)).select(
-        F.coalesce(pk.field("icmp.orig.ip.src"), "dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"),
+        "event_id", F.coalesce(pk.field("icmp.orig.ip.src"), "dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"),
         pk.number("icmp.orig.udp.dstport").alias("port"), "ts_us").where(F.col("port").isNotNull())
-    return graded(_run_summary(rows, ["src_ip", "dst_ip"], "port", cfg.udp_scan_window_seconds, cfg.udp_scan_min_unreachables, 50,
-                               "distinct_ports", "closed_ports"), "medium", "high")
+    return _graded(_run_summary(rows, ["src_ip", "dst_ip"], "port", cfg.udp_scan_window_seconds, cfg.udp_scan_min_unreachables,
+                                "distinct_ports", "closed_ports"), "medium", "high")
 
 
 def _spoofed(p, cfg):
     rows = p.where((F.col("proto") == "arp") & (pk.number("arp.opcode") == 2)).select(
-        pk.field("arp.src.proto_ipv4").alias("ip"), pk.field("arp.src.hw_mac").alias("mac"), "ts_us")
-    rows = rows.where((F.col("ip") != "") & (F.col("mac") != ""))
+        "event_id", pk.field("arp.src.proto_ipv4").alias("entity"), pk.field("arp.src.hw_mac").alias("mac"), "ts_us")
+    rows = rows.where((F.col("entity") != "") & (F.col("mac") != ""))
     window = cfg.arp_conflict_window_seconds * SECOND
-    best = largest_mixed_run(rows, ["ip"], "mac", window)
-    return run_rows(rows, best, ["ip"], window).groupBy("ip", "mac").agg(F.count(F.lit(1)).alias("n"), *bounds())
+    best = largest_mixed_run(rows, ["entity"], "mac", window)
+    hit = run_rows(rows, best, ["entity"], window)
+    return hit, hit.groupBy("entity", "mac").agg(F.count(F.lit(1)).alias("n"), *bounds())
 
 
 @rule("pkt", "ARP-SPOOF-01", "Conflicting ARP claims", "Credential Access", ["T1557.002"])
 def pkt_arp_spoof(p, cfg):
-    per = _spoofed(p, cfg)
-    out = per.groupBy(F.col("ip").alias("entity")).agg(
-        F.count(F.lit(1)).alias("mac_count"), F.array_sort(F.collect_list("mac")).alias("claiming_macs"), F.sum("n").alias("replies"),
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return graded(out, "critical", "high")
+    hit, per = _spoofed(p, cfg)
+    out = per.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("mac_count"), F.sum("n").alias("replies"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    return found(graded(out, "critical", "high"), listed("claiming_macs", per, ["entity"], "mac"), events=hit, keys=["entity"])
 
 
 @rule("pkt", "ARP-SPOOF-02", "Traffic relayed by a spoofing host", "Credential Access", ["T1557.002"])
 def pkt_arp_relay(p, cfg):
-    macs = _spoofed(p, cfg).select(F.col("mac").alias("dst_mac")).distinct()
-    rows = p.where((F.col("dst_ip") != "") & (F.col("src_ip") != "")).join(macs, "dst_mac", "left_semi")
-    per = rows.groupBy("dst_mac", "src_ip").agg(F.count(F.lit(1)).alias("n"), *bounds())
-    out = per.groupBy(F.col("dst_mac").alias("entity")).agg(
+    macs = _spoofed(p, cfg)[1].select(F.col("mac").alias("dst_mac")).distinct()
+    rows = p.where((F.col("dst_ip") != "") & (F.col("src_ip") != "")).join(macs, "dst_mac", "left_semi").withColumnRenamed("dst_mac", "entity")
+    per = rows.groupBy("entity", "src_ip").agg(F.count(F.lit(1)).alias("n"), *bounds())
+    out = per.groupBy("entity").agg(
         F.sum("n").alias("packets"), F.count(F.lit(1)).alias("victim_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    victims = sorted_list(per.withColumnRenamed("dst_mac", "entity"), ["entity"], "src_ip", 50, "victims")
-    return graded(out.where(F.col("packets") >= 3).join(victims, "entity", "left"), "critical", "high")
+    return found(graded(out.where(F.col("packets") >= 3), "critical", "high"), listed("victims", per, ["entity"], "src_ip"), events=rows, keys=["entity"])
 
 
 @rule("pkt", "ARP-FLOOD-01", "ARP request flood", "Reconnaissance", ["T1046"])
 def pkt_arp_flood(p, cfg):
     rows = p.where((F.col("proto") == "arp") & (pk.number("arp.opcode") == 1)).select(
-        pk.field("arp.src.hw_mac").alias("entity"), pk.field("arp.dst.proto_ipv4").alias("target"), "ts_us").where(F.col("entity") != "")
-    return graded(_run_summary(rows, ["entity"], "target", cfg.arp_flood_window_seconds, cfg.arp_flood_min_targets, 50,
-                               "target_count", "targets_probed"), "medium", "high")
+        "event_id", pk.field("arp.src.hw_mac").alias("entity"), pk.field("arp.dst.proto_ipv4").alias("target"), "ts_us").where(F.col("entity") != "")
+    return _graded(_run_summary(rows, ["entity"], "target", cfg.arp_flood_window_seconds, cfg.arp_flood_min_targets,
+                                "target_count", "targets_probed"), "medium", "high")
 
 
 @rule("pkt", "FTP-BRUTE-01", "FTP password guessing", "Credential Access", ["T1110.001"])
 def pkt_ftp_brute(p, cfg):
-    rows = p.where(pk.number("ftp.response.code") == 530).select(F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), "ts_us")
-    best = densest_run(rows, ["src_ip", "dst_ip"], cfg.bruteforce_window_seconds * SECOND, cfg.bruteforce_min_failures)
-    return graded(best.select("src_ip", "dst_ip", F.col("run_n").alias("failure_count"), F.col("run_end").alias("last_us")), "high", "high")
+    rows = p.where(pk.number("ftp.response.code") == 530).select("event_id", F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), "ts_us")
+    keys, window = ["src_ip", "dst_ip"], cfg.bruteforce_window_seconds * SECOND
+    best = densest_run(rows, keys, window, cfg.bruteforce_min_failures)
+    out = best.select(*keys, F.col("run_n").alias("failure_count"), F.col("run_end").alias("last_us"))
+    return found(graded(out, "high", "high"), events=run_rows(rows, best, keys, window), keys=keys)
 
 
 def ftp_logins(p: DataFrame) -> DataFrame:
@@ -114,13 +119,13 @@ def ftp_logins(p: DataFrame) -> DataFrame:
 
 @rule("pkt", "FTP-BRUTE-02", "FTP password spray", "Credential Access", ["T1110.003"])
 def pkt_ftp_spray(p, cfg):
-    rows = ftp_logins(p).where(F.col("login") != "")
-    key = ["dst_ip", "arg"]
+    rows = ftp_logins(p).where(F.col("login") != "").withColumnRenamed("arg", "password")
+    key = ["dst_ip", "password"]
     per = rows.groupBy(*key, "login").agg(F.count(F.lit(1)).alias("n"), *bounds())
     out = per.groupBy(*key).agg(F.count(F.lit(1)).alias("distinct_users"), F.sum("n").alias("attempts"),
                                 F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.where(F.col("distinct_users") >= cfg.spray_min_targets)
-    return graded(out.join(sorted_list(per, key, "login", 50, "usernames_tried"), key, "left").withColumnRenamed("arg", "password"), "high", "medium")
+    return found(graded(out, "high", "medium"), listed("usernames_tried", per, key, "login"), events=rows, keys=key)
 
 
 @rule("pkt", "DHCP-ANOM-01", "DHCP starvation", "Impact", ["T1557"])
@@ -133,12 +138,11 @@ def pkt_dhcp_starvation(p, cfg):
 
 @rule("pkt", "DHCP-ANOM-02", "Many DHCP refusals", "Impact")
 def pkt_dhcp_nak(p, cfg):
-    per = p.where(pk.number("dhcp.option.dhcp") == 6).groupBy(
-        F.coalesce(pk.field("dhcp.option.message"), F.lit("unspecified")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), *bounds())
-    # One row per distinct refusal text.
-    out = per.agg(F.sum("n").alias("nak_count"), F.array_sort(F.collect_list(F.concat_ws("=", "reason", F.col("n").cast("string")))).alias("reasons"),
-                  F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return graded(out.where(F.col("nak_count") >= 5), "low", "low")
+    rows = p.where(pk.number("dhcp.option.dhcp") == 6).select(
+        "event_id", "ts_us", F.lit("all").alias("scope"), F.coalesce(pk.field("dhcp.option.message"), F.lit("unspecified")).alias("reason"))
+    per = rows.groupBy("scope", "reason").agg(F.count(F.lit(1)).alias("n"), *bounds()).withColumn("reason", F.concat_ws("=", "reason", F.col("n").cast("string")))
+    out = per.groupBy("scope").agg(F.sum("n").alias("nak_count"), F.count(F.lit(1)).alias("reason_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    return found(graded(out.where(F.col("nak_count") >= 5), "low", "low"), listed("reasons", per, ["scope"], "reason"), events=rows, keys=["scope"])
 
 
 @rule("pkt", "HTTP-UA-01", "Scanner user agent", "Reconnaissance", ["T1595.002"])
@@ -147,15 +151,16 @@ def pkt_scanner_agent(p, cfg):
     rows = p.where(tx.any_hit(ua, cfg.scanner_user_agents)).withColumn("tool", tx.first_hit(ua, cfg.scanner_user_agents))
     rows = rows.withColumn("ua", ua).withColumn("path", F.nullif(pk.field("http.request.uri"), F.lit("")))
     key = ["src_ip", "dst_ip", "tool"]
-    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("requests"), F.min("ua").alias("user_agent"), *bounds())
-    return graded(out.join(sorted_list(rows, key, "path", 10, "sample_paths"), key, "left"), "medium", "high")
+    out = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("path").alias("path_count"), F.min("ua").alias("user_agent"), *bounds())
+    return found(graded(out, "medium", "high"), listed("paths", rows, key, "path"), events=rows, keys=key)
 
 
 @rule("pkt", "HTTP-UA-02", "Rotating user agents", "Reconnaissance")
 def pkt_agent_rotation(p, cfg):
-    per = p.where(pk.field("http.user_agent") != "").groupBy("src_ip", pk.field("http.user_agent").alias("ua")).agg(*bounds())
+    rows = p.where(pk.field("http.user_agent") != "")
+    per = rows.groupBy("src_ip", pk.field("http.user_agent").alias("ua")).agg(*bounds())
     out = per.groupBy("src_ip").agg(F.count(F.lit(1)).alias("agent_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return graded(out.where(F.col("agent_count") >= 3).join(sorted_list(per, ["src_ip"], "ua", 15, "user_agents"), "src_ip", "left"), "low", "low")
+    return found(graded(out.where(F.col("agent_count") >= 3), "low", "low"), listed("user_agents", per, ["src_ip"], "ua"), events=rows, keys=["src_ip"])
 
 
 @rule("pkt", "HTTP-LOG4J-01", "Log4Shell lookup in a request", "Initial Access", ["T1190"])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentrylake.schema import severity_rank
+from sentrylake.schema import severity_rank, struct_type
+from sentrylake.session import shared_folder, staged
 
 FINDING_COLUMNS = {
     "finding_id": "string", "kit": "string", "rule_id": "string", "title": "string", "severity": "string",
@@ -16,10 +20,41 @@ FINDING_COLUMNS = {
     "first_us": "bigint", "last_us": "bigint", "src_ip": "string", "dst_ip": "string", "user": "string",
     "entity": "string", "mitre": "array<string>", "metrics": "map<string,string>", "case_key": "string",
 }
+#: What stands behind a finding, a row each: every value of the lists it counts (kind names the list), and with
+#: kind 'event' every event that made it up. Lists are read in the order of value, events by ts_us, event_id.
+ITEM_COLUMNS = {"finding_id": "string", "rule_id": "string", "kind": "string", "value": "string", "event_id": "bigint", "ts_us": "bigint"}
+
+
+@dataclass(frozen=True)
+class Listed:
+    """All values of one kind behind findings: rows hold the keys (columns of the findings) and the value, and
+    first_us where it is known. Repeats are allowed."""
+    kind: str
+    rows: DataFrame
+    keys: tuple
+    value: str
+
+
+@dataclass(frozen=True)
+class Found:
+    """What a rule returns: a row per finding, its lists, and the events behind it (rows with event_id, ts_us and the keys)."""
+    rows: DataFrame
+    lists: tuple = ()
+    events: DataFrame | None = None
+    event_keys: tuple = ()
+
+
+def listed(kind: str, rows: DataFrame, keys: list[str], value: str) -> Listed:
+    return Listed(kind, rows, tuple(keys), value)
+
+
+def found(rows: DataFrame, *lists: Listed, events: DataFrame | None = None, keys=()) -> Found:
+    return Found(rows, lists, events, tuple(keys))
 
 
 @dataclass(frozen=True)
 class Rule:
+    """reads names the route whose rows the rule looks at (see operators.routes); None: all events."""
     kit: str
     name: str
     rule_id: str
@@ -27,78 +62,161 @@ class Rule:
     category: str
     mitre: tuple
     build: Callable
+    reads: str | None = None
+
+    def run(self, events, config) -> Found:
+        out = self.build(events, config)
+        return out if isinstance(out, Found) else Found(out)
 
 
 REGISTRY: dict[str, list[Rule]] = {"net": [], "win": [], "pkt": [], "mail": []}
 
 
-def rule(kit: str, rule_id: str, title: str, category: str, mitre=()):
-    """Register a function (events, config) -> one row per finding."""
+def rule(kit: str, rule_id: str, title: str, category: str, mitre=(), reads: str | None = None):
+    """Register a function (events, config) -> Found, or a table of one row per finding. Called by its name, the function
+    gives the rows alone."""
     def wrap(fn):
-        REGISTRY[kit].append(Rule(kit, fn.__name__, rule_id, title, category, tuple(mitre), fn))
-        return fn
+        REGISTRY[kit].append(Rule(kit, fn.__name__, rule_id, title, category, tuple(mitre), fn, reads))
+
+        @wraps(fn)
+        def rows(*args, **more):
+            out = fn(*args, **more)
+            return out.rows if isinstance(out, Found) else out
+        return rows
     return wrap
 
 
 def list_rules(spark: SparkSession, kit: str | None = None) -> DataFrame:
     from sentrylake.operators import mail_rules, net_access, net_channels, pkt_rules, win_rules  # noqa: F401
-    mail = [("mail", i.lower(), i, t, "Email", []) for i, t in mail_rules.CATALOGUE.items() if kit in (None, "mail")]
-    rows = mail + [(r.kit, r.name, r.rule_id, r.title, r.category, list(r.mitre))
+    rows = [(r.kit, r.name, r.rule_id, r.title, r.category, list(r.mitre))
             for k, rules in REGISTRY.items() for r in rules if kit in (None, k)]
     return spark.createDataFrame(
         rows, "kit string, name string, rule_id string, title string, category string, mitre array<string>")
 
 
-def as_findings(df: DataFrame, r: Rule) -> DataFrame:
-    """Fold a rule's own columns into the unified table; extra columns become metrics."""
-    have = set(df.columns)
-    extra = [c for c in df.columns if c not in FINDING_COLUMNS]
+def _metrics(df: DataFrame):
+    """A rule's own columns as a map of texts."""
+    types = dict(df.dtypes)
 
     def text(c):
-        return (F.to_json(F.col(c)) if dict(df.dtypes)[c].startswith(("array", "map", "struct"))
-                else F.col(c).cast("string"))
-    metrics = F.map_filter(
-        F.create_map(*[x for c in extra for x in (F.lit(c), text(c))]), lambda k, v: v.isNotNull()
-    ) if extra else F.create_map().cast("map<string,string>")
+        return F.to_json(F.col(c)) if types[c].startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    extra = [c for c in df.columns if c not in FINDING_COLUMNS]
+    if not extra:
+        return F.create_map().cast("map<string,string>")
+    return F.map_filter(F.create_map(*[x for c in extra for x in (F.lit(c), text(c))]), lambda k, v: v.isNotNull())
+
+
+def identified(df: DataFrame, r: Rule) -> DataFrame:
+    """df with finding_id: a digest of the rule, the subject and all it says."""
+    def part(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    subject = [part(c) for c in ("case_key", "src_ip", "dst_ip", "user", "entity", "first_us")]
+    entries = F.to_json(F.array_sort(F.map_entries(_metrics(df))))
+    own = F.col("rule_id") if "rule_id" in df.columns else F.lit(r.rule_id)
+    return df.withColumn("finding_id", F.sha2(F.concat_ws("\u0001", own, *subject, entries), 256))
+
+
+def as_findings(df: DataFrame | Found, r: Rule) -> DataFrame:
+    """Fold a rule's own columns into the unified table; extra columns become metrics."""
+    df = df.rows if isinstance(df, Found) else df
+    df = df if "finding_id" in df.columns else identified(df, r)
+    have = set(df.columns)
 
     def pick(name, default=None):
         return F.col(name) if name in have else F.lit(default)
     sev = pick("severity", "info")
-    ident = F.sha2(F.concat_ws("\u0001", F.lit(r.rule_id), *[
-        F.coalesce(pick(c).cast("string"), F.lit("")) for c in
-        ("case_key", "src_ip", "dst_ip", "user", "entity", "first_us")], F.to_json(F.array_sort(F.map_entries(metrics)))), 256)
     cols = {
-        "finding_id": ident, "kit": F.lit(r.kit), "rule_id": pick("rule_id", r.rule_id), "title": F.lit(r.title),
+        "kit": F.lit(r.kit), "rule_id": pick("rule_id", r.rule_id), "title": pick("title", r.title),
         "severity": sev, "severity_rank": severity_rank(sev), "confidence": pick("confidence", "medium"),
         "score": pick("score"), "category": pick("category", r.category),
         "mitre": pick("mitre") if "mitre" in have else F.array(*[F.lit(m) for m in r.mitre]).cast("array<string>"),
-        "metrics": metrics,
+        "metrics": _metrics(df),
     }
     return df.select(*[
         cols.get(c, pick(c)).cast(t).alias(c) for c, t in FINDING_COLUMNS.items()])
 
 
-def run_rules(kit: str, events: DataFrame, config, only=None) -> DataFrame:
-    """Union of all (or the named) rules. A rule whose plan cannot be built becomes one
-    informational error row and the others still run."""
-    spark = events.sparkSession
+def as_items(out: Found, rows: DataFrame, r: Rule) -> DataFrame | None:
+    """The items of a rule's findings; rows are its findings with finding_id. Values are made distinct for a key
+    before they meet its findings, and no list is ever one row, so a finding may have any number of them."""
+    def ids(keys):
+        return rows.select(*keys, "finding_id").distinct()
     parts = []
-    for r in REGISTRY[kit]:
-        if only and r.name not in only and r.rule_id not in only:
-            continue
-        try:
-            parts.append(as_findings(r.build(events, config), r))
-        except Exception as exc:  # noqa: BLE001 - isolation is the feature
-            parts.append(error_row(spark, r, exc))
+    for x in out.lists:
+        keys, value = list(x.keys), F.col(x.value).cast("string")
+        first = F.min("first_us") if "first_us" in x.rows.columns else F.lit(None)
+        one = x.rows.where(F.col(x.value).isNotNull() & (value != "")).groupBy(*keys, value.alias("value")).agg(first.cast("bigint").alias("ts_us"))
+        parts.append(one.join(ids(keys), keys).select("finding_id", F.lit(x.kind).alias("kind"), "value", F.lit(None).cast("bigint").alias("event_id"), "ts_us"))
+    if out.events is not None:
+        keys = list(out.event_keys)
+        own = out.events.select(*keys, "event_id", "ts_us")
+        parts.append(own.join(ids(keys), keys).select("finding_id", F.lit("event").alias("kind"), F.lit(None).cast("string").alias("value"), "event_id", "ts_us"))
+    elif "event_id" in rows.columns:
+        at = F.coalesce(*[F.col(c).cast("bigint") for c in ("first_us", "last_us") if c in rows.columns], F.lit(None).cast("bigint"))
+        parts.append(rows.select("finding_id", F.lit("event").alias("kind"), F.lit(None).cast("string").alias("value"), "event_id", at.alias("ts_us")))
     if not parts:
-        from sentrylake.schema import struct_type
-        return spark.createDataFrame([], struct_type(FINDING_COLUMNS))
-    out = parts[0]
+        return None
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        every = every.unionByName(p)
+    return every.select("finding_id", F.lit(r.rule_id).alias("rule_id"), "kind", "value", F.col("event_id").cast("bigint").alias("event_id"), "ts_us")
+
+
+@dataclass(frozen=True)
+class Results:
+    """findings, items, and the names of the rules that failed."""
+    findings: DataFrame
+    items: DataFrame
+    failed: list = field(default_factory=list)
+
 
+def chosen(kit: str, only=None) -> list[Rule]:
+    return [r for r in REGISTRY[kit] if not only or r.name in only or r.rule_id in only]
+
+
+def run_all(kit: str, events, config, only=None, path: str | None = None, at_once: int = 4) -> Results:
+    """Run the rules of a kit, or the named ones, and write each rule's findings and items apart, under path or in
+    the shared folder. A rule that fails, when it is built or when it runs, becomes one informational row and costs no
+    other rule its result. Rules run a few at a time, so that small jobs fill the cluster.
+
+    events: one table, or a table for each route (see operators.routes.dealt). For mail: whatever its rules take."""
+    spark = (next(iter(events.values())) if isinstance(events, dict) else events).sparkSession
+    base = path or f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+
+    def one(r: Rule) -> str | None:
+        own = events[r.reads] if isinstance(events, dict) else events
+        targets = [f"{base}/{t}/kit={kit}/rule={r.name}" for t in ("findings", "items")]
+        failed = None
+        try:
+            out = r.run(own, config)
+            rows = staged(identified(out.rows, r))
+            items = as_items(out, rows, r)
+            as_findings(rows, r).drop("kit").write.mode("overwrite").parquet(targets[0])
+            if items is not None:
+                items.write.mode("overwrite").parquet(targets[1])
+        except Exception as exc:  # noqa: BLE001 - isolation is the feature
+            failed = r.name
+            error_row(spark, r, exc).drop("kit").write.mode("overwrite").parquet(targets[0])
+        return failed
 
+    rules = chosen(kit, only)
+    spark.createDataFrame([], struct_type({k: v for k, v in FINDING_COLUMNS.items() if k != "kit"})).write.mode("overwrite").parquet(f"{base}/findings/kit={kit}/rule=_none")
+    spark.createDataFrame([], struct_type(ITEM_COLUMNS)).write.mode("overwrite").parquet(f"{base}/items/kit={kit}/rule=_none")
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        failed = [name for name in pool.map(one, rules) if name]
+    part = {"kit": "string", "rule": "string"}
+    findings = spark.read.schema(struct_type({**{k: v for k, v in FINDING_COLUMNS.items() if k != "kit"}, **part})).parquet(f"{base}/findings")
+    items = spark.read.schema(struct_type({**ITEM_COLUMNS, **part})).parquet(f"{base}/items")
+    # A rule that failed after its findings were written may have left items of an earlier run under the same path.
+    return Results(findings.select(*FINDING_COLUMNS), items.where(~F.col("rule").isin(failed)).select(*ITEM_COLUMNS) if failed else items.select(*ITEM_COLUMNS), failed)
+
+
+def run_rules(kit: str, events, config, only=None) -> DataFrame:
+    """The findings of run_all."""
+    return run_all(kit, events, config, only).findings
+
+
+# Rule ids of a failed rule.
 ERROR_IDS = {"net": "NSM-ERR-001", "win": "EVTX-ERR-001", "pkt": "TRAF-ERR-001", "mail": "PH-ERR-001"}
 
 
@@ -109,21 +227,6 @@ def error_row(spark: SparkSession, r: Rule, exc: Exception) -> DataFrame:
     return as_findings(row, r).withColumn("title", F.lit("Rule failed")).withColumn("category", F.lit(None).cast("string"))
 
 
-def write_findings_per_rule(kit: str, events: DataFrame, config, path: str, only=None) -> list[str]:
-    """Write every rule on its own so that one failing job leaves the others in place."""
-    failed = []
-    for r in REGISTRY[kit]:
-        if only and r.name not in only:
-            continue
-        target = f"{path}/kit={kit}/rule={r.name}"
-        try:
-            as_findings(r.build(events, config), r).drop("kit").write.mode("overwrite").parquet(target)
-        except Exception as exc:  # noqa: BLE001
-            failed.append(r.name)
-            error_row(events.sparkSession, r, exc).drop("kit").write.mode("overwrite").parquet(target)
-    return failed
-
-
 def severity_floor(findings: DataFrame, floor: str) -> DataFrame:
     return findings.where(F.col("severity_rank") >= severity_rank(F.lit(floor)))
 
@@ -132,27 +235,24 @@ def by_severity(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("severity_rank"), "rule_id", "finding_id")
 
 
-def sorted_list(rows: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
-    """First n distinct values in sort order, per key. The row_number limit is applied
-    map-side before the shuffle, so a key with millions of values ships n per task."""
-    one = rows.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    order = Window.partitionBy(*keys).orderBy(value)
-    top = one.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
-
-
-def first_rows(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """First n rows per key, limited before they are collected."""
-    win = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def evidence(rows: DataFrame, keys: list[str], line: str = "raw", n: int = 10,
-             order=("ts_us", "event_id")) -> DataFrame:
-    """The first n non-empty lines per key in time order."""
-    kept = first_rows(rows.where(F.coalesce(F.trim(line), F.lit("")) != ""), keys, list(order), n)
-    packed = F.array_sort(F.collect_list(F.struct(*order, F.trim(line).alias("line"))))
-    return kept.groupBy(*keys).agg(F.transform(packed, lambda s: s["line"]).alias("evidence"))
+def previewed(findings: DataFrame, items: DataFrame, kind: str, n: int, out: str) -> DataFrame:
+    """findings and the first n values of a list, for a report; the items have all of them. The row_number
+    limit is applied before the shuffle, so a finding with millions of values ships n per task."""
+    order = Window.partitionBy("finding_id").orderBy("value")
+    top = items.where(F.col("kind") == kind).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    return findings.join(top.groupBy("finding_id").agg(F.array_sort(F.collect_list("value")).alias(out)), "finding_id", "left")
+
+
+def evidence(items: DataFrame, events: DataFrame, n: int = 10) -> DataFrame:
+    """finding_id and the first n non-empty lines (raw) of its events in the order of time. The number is a
+    report's; the items have every event. Lines stay in the events' table until they are asked for. Rows with one event_id
+    are one event."""
+    lines = events.select("event_id", F.trim("raw").alias("line")).where(F.col("line") != "").groupBy("event_id").agg(F.min("line").alias("line"))
+    own = items.where(F.col("kind") == "event").select("finding_id", "event_id", "ts_us").distinct().join(lines, "event_id")
+    order = Window.partitionBy("finding_id").orderBy(F.asc_nulls_last("ts_us"), "event_id")
+    top = own.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    packed = F.array_sort(F.collect_list(F.struct("_rn", "line")))
+    return top.groupBy("finding_id").agg(F.transform(packed, lambda x: x["line"]).alias("evidence"))
 
 
 def bounds():

@@ -10,7 +10,7 @@ from sentrylake.functions import text as tx
 from sentrylake.functions import win as wf
 from sentrylake.functions.net import private_or_unparseable
 from sentrylake.operators.intervals import first_in_interval
-from sentrylake.operators.rulebook import rule, sorted_list
+from sentrylake.operators.rulebook import found, listed, rule
 from sentrylake.session import staged
 from sentrylake.operators.windows import SECOND, consecutive_batches
 
@@ -27,13 +27,13 @@ def graded(df: DataFrame, severity, confidence) -> DataFrame:
     return df.withColumn("severity", s).withColumn("confidence", c)
 
 
-def _failed_batches(ev: DataFrame, cfg) -> DataFrame:
+def _failed_batches(ev: DataFrame, cfg) -> tuple[DataFrame, DataFrame]:
     """Failed remote logons grouped into consecutive batches; qualifying batches only."""
     rows = ev.where((F.col("code") == 4625) & F.col("logon_type").isin(REMOTE_TYPES))
     if cfg.external_ip_only:
         rows = rows.where(~private_or_unparseable(F.col("source_ip")))
-    rows = rows.select("case_key", "source_ip", "t_us", "target_user")
-    key = ["case_key", "source_ip"]
+    rows = rows.select("event_id", "case_key", F.col("source_ip").alias("src_ip"), "t_us", "target_user")
+    key = ["case_key", "src_ip"]
     # A key with too few failures in total cannot qualify.
     enough = rows.groupBy(*key).count().where(F.col("count") >= cfg.brute_force_attempts_threshold).drop("count")
     rows = rows.join(enough, key, "left_semi")
@@ -46,23 +46,24 @@ def _failed_batches(ev: DataFrame, cfg) -> DataFrame:
 @rule("win", "EVTX-LOGON-BRUTE-01", "Remote logon guessing", "Initial Access", ["T1110.001", "T1133"])
 def logon_brute(ev, cfg):
     tagged, batches = _failed_batches(ev, cfg)
-    key = ["case_key", "source_ip"]
-    first = batches.groupBy(*key).agg(F.min_by(F.struct("anchor", "attempts", "last_us"), "anchor").alias("f")).select(*key, "f.*")
-    users = sorted_list(tagged.where(F.col("target_user") != ""), key + ["anchor"], "target_user", 10000, "usernames_tried")
-    out = first.join(users, key + ["anchor"], "left").withColumnRenamed("anchor", "first_us")
-    return graded(out.withColumn("src_ip", F.col("source_ip")).drop("source_ip"), "high", "high")
+    key = ["case_key", "src_ip", "first_us"]
+    first = batches.groupBy(*key[:2]).agg(F.min_by(F.struct("anchor", "attempts", "last_us"), "anchor").alias("f")).select(*key[:2], "f.*").withColumnRenamed("anchor", "first_us")
+    rows = tagged.withColumnRenamed("anchor", "first_us").withColumnRenamed("t_us", "ts_us")
+    names = rows.where(F.col("target_user") != "").groupBy(*key, "target_user").agg(F.count(F.lit(1)).alias("n"))
+    count = names.groupBy(*key).agg(F.count(F.lit(1)).alias("username_count"))
+    out = first.join(count, key, "left").fillna(0, ["username_count"])
+    return found(graded(out, "high", "high"), listed("usernames_tried", names.drop("n"), key, "target_user"), events=rows, keys=key)
 
 
 @rule("win", "EVTX-LOGON-BRUTE-SUCCESS-01", "Remote logon after guessing", "Initial Access", ["T1110", "T1078", "T1021.001"])
 def logon_brute_success(ev, cfg):
     _, batches = _failed_batches(ev, cfg)
-    cluster = batches.groupBy("case_key", "source_ip").agg(F.min("anchor").alias("lo"), F.max("last_us").alias("hi"))
+    cluster = batches.groupBy("case_key", "src_ip").agg(F.min("anchor").alias("lo"), F.max("last_us").alias("hi"))
     good = ev.where((F.col("code") == 4624) & F.col("logon_type").isin(REMOTE_TYPES)).select(
-        "event_id", "case_key", "source_ip", "t_us", "target_user", "logon_id")
+        "event_id", "case_key", F.col("source_ip").alias("src_ip"), "t_us", "target_user", "logon_id")
     grace = int(cfg.successful_logon_correlation_window_s * SECOND)
-    out = good.join(cluster, ["case_key", "source_ip"]).where(F.col("t_us").between(F.col("lo"), F.col("hi") + grace))
-    return graded(out.drop("lo", "hi").withColumnRenamed("source_ip", "src_ip").withColumn("first_us", F.col("t_us")).drop("t_us"),
-                  "critical", "high")
+    out = good.join(cluster, ["case_key", "src_ip"]).where(F.col("t_us").between(F.col("lo"), F.col("hi") + grace))
+    return graded(out.drop("lo", "hi").withColumnRenamed("t_us", "first_us"), "critical", "high")
 
 
 @rule("win", "EVTX-USER-NEW-01", "Local account created", "Persistence", ["T1136.001"])
@@ -85,6 +86,28 @@ def _group_adds(ev, cfg):
     return rows.where(F.lower("group").isin(groups))
 
 
+def _grams(text, q: int):
+    """The distinct pieces of q characters of a text."""
+    n = F.length(text)
+    return F.when(n >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substr(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(names: DataFrame, texts: DataFrame, keys: list[str], name: str, text: str, q: int = 3) -> DataFrame:
+    """The rows of texts with each name of their key that occurs in the text: an inverted index on pieces of q characters.
+
+    A name is looked up under its rarest piece among the texts only, and a name with a piece that no text has is
+    dropped before the join; names shorter than q are pieces themselves. What meets is then checked. Empty names
+    and nulls meet nothing."""
+    short = F.explode(F.flatten(F.array(*[_grams(F.col(text), i) for i in range(1, q + 1)])))
+    pieces = texts.where(F.col(text) != "").select(*texts.columns, short.alias("_gram"))
+    known = pieces.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length(name) < q, F.array(F.col(name))).otherwise(_grams(F.col(name), q))
+    asked = names.where(F.col(name) != "").select(*keys, name).distinct().withColumn("_own", own)
+    asked = asked.select(*keys, name, F.size("_own").alias("_size"), F.explode("_own").alias("_gram")).join(known, [*keys, "_gram"])
+    best = asked.groupBy(*keys, name, "_size").agg(F.min_by("_gram", "_n").alias("_gram"), F.count(F.lit(1)).alias("_met")).where("_met = _size")
+    return pieces.join(best.select(*keys, name, "_gram"), [*keys, "_gram"]).where(F.contains(F.col(text), F.col(name))).drop("_gram")
+
+
 @rule("win", "EVTX-USER-BACKDOOR-ADMIN-01", "New account made privileged", "Persistence", ["T1136.001", "T1098"])
 def user_backdoor_admin(ev, cfg):
     born = ev.where((F.col("code") == 4720) & (F.col("target_user") != "")).groupBy(
@@ -96,15 +119,11 @@ def user_backdoor_admin(ev, cfg):
     low = F.lower("member")
     exact = F.element_at(F.split(F.regexp_replace(low, r"^\\+", ""), r"\\", -1), -1)
     equal = adds.withColumn("name", exact).join(born, ["case_key", "name"]).withColumn("ord", F.lit(-1).cast("bigint"))
-    # The fallback is 'name occurs in member': the few unmatched member texts are cut into their
-    # substrings, which turns it into an equality join.
+    # The fallback is 'name occurs in member'.
     rest = adds.join(equal.select("event_id"), "event_id", "left_anti")
-    names = rest.select("case_key", "member").distinct()
-    n = F.length("member")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(low, i, k))))
-    pieces = names.select("case_key", "member", F.explode(F.array_distinct(cuts)).alias("name"))
-    inside = pieces.join(born, ["case_key", "name"]).groupBy("case_key", "member").agg(F.min_by("c", "ord").alias("c"))
+    texts = rest.select("case_key", "member", low.alias("text")).distinct()
+    met = containing(born.select("case_key", "name"), texts, ["case_key"], "name", "text")
+    inside = met.join(born, ["case_key", "name"]).groupBy("case_key", "member").agg(F.min_by("c", "ord").alias("c"))
     part = rest.join(inside, ["case_key", "member"])
     cols = ["event_id", "case_key", "group", "member", "t_us", "c"]
     both = equal.select(*cols).unionByName(part.select(*cols))
@@ -424,6 +443,9 @@ def tactic_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("severity_rank"), F.when(pos == 0, len(TACTICS) + 1).otherwise(pos), "finding_id")
 
 
-def timeline(findings: DataFrame) -> DataFrame:
-    """Findings by their earliest timed event, untimed last."""
-    return findings.orderBy(F.asc_nulls_last(F.when(F.col("first_us") > 0, F.col("first_us"))), "finding_id")
+def timeline(findings: DataFrame, items: DataFrame) -> DataFrame:
+    """Findings with at_us, the time of their earliest timed event, in that order and untimed last. The time is
+    taken from the events behind a finding, and from the finding itself where none is timed."""
+    first = items.where((F.col("kind") == "event") & (F.col("ts_us") > 0)).groupBy("finding_id").agg(F.min("ts_us").alias("_at"))
+    at = F.coalesce("_at", F.when(F.col("first_us") > 0, F.col("first_us")))
+    return findings.join(first, "finding_id", "left").withColumn("at_us", at).drop("_at").orderBy(F.asc_nulls_last("at_us"), "finding_id")

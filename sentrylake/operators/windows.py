@@ -240,15 +240,58 @@ def _assign_anchor(keys: list[str], wide: int):
     return work
 
 
+def _entries(ends: DataFrame, keys: list[str], wide: int, chunk_us: int) -> DataFrame:
+    """(keys, _chunk, _ready): the earliest instant at which a new batch may start in each chunk.
+
+    ends has a row per possible entry: keys, _chunk, cand, leave. The entry after it is the first one at or after leave.
+    A chunk that all its entries leave at one point, and that no open batch can cover, leaves there in any case;
+    the entries after such chunks and the first of a key are certain. From them marks travel along the pointers, which
+    double in reach each round, so a run of n undecided chunks takes log2(n) rounds."""
+    part = Window.partitionBy(*keys, "_chunk")
+    firsts = ends.groupBy(*keys, "_chunk").agg(F.min("cand").alias("first"), F.max("cand").alias("last"), F.min("leave").alias("lo"), F.max("leave").alias("hi"))
+    # One row per chunk of a key: as many as a key has spans of time.
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = staged(firsts.withColumn("follow", F.lead("first").over(order)).withColumn("begin", F.row_number().over(order) == 1))
+    asks = ends.select(*keys, bucket_of(F.col("leave"), chunk_us).alias("_chunk"), F.col("leave").alias("at"), F.col("cand").alias("asker"), F.col("_chunk").alias("home"))
+    both = asks.unionByName(ends.select(*keys, "_chunk", F.col("cand").alias("at"), F.lit(None).cast("bigint").alias("asker"), F.lit(None).cast("bigint").alias("home")))
+    # Read backwards, the last entry seen is the first one at or after; an entry at the same instant counts.
+    back = part.orderBy(F.desc("at"), F.col("asker").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("asker").isNull(), F.col("at")), True).over(back)
+    same = both.withColumn("there", seen).where(F.col("asker").isNotNull()).select(*keys, F.col("home").alias("_chunk"), F.col("asker").alias("cand"), "there")
+    # Without an entry in the chunk that leave falls into, the next chunk with rows follows.
+    beyond = chunks.select(*keys, F.col("_chunk").alias("_into"), F.col("follow").alias("_then"), F.lit(True).alias("_filled"))
+    nodes = ends.join(same, [*keys, "_chunk", "cand"]).join(chunks.select(*keys, "_chunk", "follow"), [*keys, "_chunk"])
+    nodes = nodes.withColumn("_into", bucket_of(F.col("leave"), chunk_us)).join(beyond, [*keys, "_into"], "left")
+    after = F.when(F.col("there").isNotNull(), F.col("there")).when(F.col("_filled"), F.col("_then")).otherwise(F.col("follow"))
+    nodes = staged(nodes.select(*keys, "cand", "leave", "_chunk", after.alias("next")))
+    certain = chunks.where((F.col("lo") == F.col("hi")) & (F.col("last") >= F.col("_chunk") * chunk_us + wide)).select(*keys, "_chunk")
+    marks = nodes.join(certain, [*keys, "_chunk"], "left_semi").select(*keys, F.col("next").alias("cand")).where("cand IS NOT NULL")
+    marks = staged(marks.unionByName(chunks.where("begin").select(*keys, F.col("first").alias("cand"))).distinct())
+    jump = nodes.select(*keys, "cand", "next").where("next IS NOT NULL")
+    while True:
+        new = marks.join(jump, [*keys, "cand"]).select(*keys, F.col("next").alias("cand")).distinct().join(marks, [*keys, "cand"], "left_anti")
+        new = staged(new)
+        if new.isEmpty():
+            break
+        marks = staged(marks.unionByName(new))
+        far = jump.select(*keys, F.col("cand").alias("next"), F.col("next").alias("far"))
+        jump = staged(jump.join(far, [*keys, "next"]).select(*keys, "cand", F.col("far").alias("next")))
+    taken = nodes.join(marks, [*keys, "cand"], "left_semi").groupBy(*keys, "_chunk").agg(F.max("leave").alias("_leave"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    low = F.lit(-(2 ** 62)).cast("bigint")
+    return chunks.select(*keys, "_chunk").join(taken, [*keys, "_chunk"], "left").select(
+        *keys, "_chunk", F.coalesce(F.last("_leave", True).over(before), low).alias("_ready"))
+
+
 def consecutive_batches(rows: DataFrame, keys: list[str], window_us: int,
                         ts: str = "ts_us", chunk_windows: int = 256) -> DataFrame:
     """Batch anchor of every (key, instant): a batch is all rows within the window after its
     first row, and the next batch starts with the first row behind it.
 
-    The chain of anchors is sequential, so time is cut into chunks: each chunk first maps
-    every possible entry row to the point where its chain leaves the chunk, a fold over those
-    small maps gives the true entry of each chunk, and a second parallel pass assigns anchors.
-    Returns keys, ts, anchor (one row per distinct instant).
+    The chain of anchors is sequential, so time is cut into chunks: each chunk first maps every possible entry row
+    to the point where its chain leaves the chunk (a row each). The entries that the key's chain really takes are found
+    by pointer doubling over those rows, and a second parallel pass assigns anchors. No row holds more than one entry, so
+    a key with most of the rows is spread like any other. Returns keys, ts, anchor (one row per distinct instant).
     """
     wide = window_us + 1
     chunk_us = wide * chunk_windows
@@ -259,22 +302,8 @@ def consecutive_batches(rows: DataFrame, keys: list[str], window_us: int,
     ordered = inst.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_ts")
     ends = ordered.mapInPandas(
         _chain_ends(keys, wide, chunk_us), f"{kcols}, _chunk bigint, cand bigint, leave bigint")
-    per_chunk = ends.groupBy(*keys, "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct("cand", "leave"))).alias("m"))
-    low = -(2 ** 62)
-
-    def step(acc, chunk):
-        hit = F.filter(chunk["m"], lambda e: e["cand"] >= acc["ready"])
-        leave = F.when(F.size(hit) > 0, hit[0]["leave"]).otherwise(acc["ready"])
-        entry = F.struct(chunk["_chunk"].alias("_chunk"), acc["ready"].alias("_ready"))
-        return F.struct(leave.alias("ready"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
-
-    empty = F.expr("CAST(array() AS array<struct<_chunk:bigint,_ready:bigint>>)")
-    folded = per_chunk.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_chunk", "m"))).alias("chunks"))
-    start = F.struct(F.lit(low).cast("bigint").alias("ready"), empty.alias("entries"))
-    entries = folded.select(
-        *keys, F.explode(F.aggregate("chunks", start, step)["entries"]).alias("e")).select(*keys, "e.*")
+    ends = staged(ends)
+    entries = _entries(ends, keys, wide, chunk_us)
     # Rows before the entry point still belong to the batch opened in an earlier chunk.
     entries = entries.withColumn("_open", F.col("_ready") - wide)
     tagged = (inst.join(entries, [*keys, "_chunk"]).repartition(*keys, "_chunk")

@@ -13,7 +13,8 @@ from sentrylake.functions.win import features
 from sentrylake.operators import correlate as co
 from sentrylake.operators import mail_rules as mr
 from sentrylake.operators import net_access, net_channels, pkt_rules, pkt_stats, win_rules  # noqa: F401 - registers rules
-from sentrylake.operators.rulebook import run_rules
+from sentrylake.operators.routes import dealt
+from sentrylake.operators.rulebook import Results, chosen, run_all
 from sentrylake.session import staged
 from sentrylake.sources.packets import to_events
 
@@ -23,20 +24,38 @@ CAPTURE_RULES = ["scan_ping_sweep", "exfil_dns", "exfil_direct_dns", "exfil_http
 
 
 def network(events: DataFrame, cfg: NetConfig | None = None, only=None, with_incidents: bool = True) -> dict[str, DataFrame]:
-    """findings, pivots, summary tables and, unless switched off, incidents and their members."""
+    """findings and their items, pivots and theirs, summary tables and, unless switched off, incidents and their
+    members. All rules together scan the events once."""
     cfg = cfg or NetConfig()
-    found = run_rules("net", events, cfg, only)
-    out = {"findings": found, "pivots": net_access.vpn_pivots(events, cfg)}
+    found = network_rules(events, cfg, only)
+    out = {"findings": found.findings, "items": found.items}
+    out["pivots"], out["pivot_items"] = net_access.vpn_pivots(events, cfg)
     out.update({f"summary_{k}": v for k, v in co.net_summary(events, cfg.home_nets).items()})
     if with_incidents:
-        out["incidents"], out["members"] = co.incidents(found, [*cfg.known_resolvers, *cfg.gateway_ips])
+        out["incidents"], out["members"] = co.incidents(found.findings, found.items, [*cfg.known_resolvers, *cfg.gateway_ips])
     return out
 
 
+def network_rules(events: DataFrame, cfg: NetConfig, only=None) -> Results:
+    """The network rules over routes that one scan of the events deals out."""
+    return run_all("net", dealt(events, cfg, {r.reads for r in chosen("net", only)}), cfg, only)
+
+
+def joined(*results: Results) -> Results:
+    """Findings and items of several runs as one."""
+    first, *more = results
+    findings, items, failed = first.findings, first.items, list(first.failed)
+    for r in more:
+        findings, items, failed = findings.unionByName(r.findings), items.unionByName(r.items), failed + list(r.failed)
+    return Results(findings, items, failed)
+
+
 def windows(events: DataFrame, cfg: WinConfig | None = None, only=None) -> dict[str, DataFrame]:
-    ev = features(events)
-    found = run_rules("win", ev, cfg or WinConfig(), only)
-    return {"findings": found, "overview": win_rules.overview(ev), "timeline": win_rules.timeline(found), "cases": co.case_verdicts(found, ev.groupBy("case_key").agg(F.count(F.lit(1)).alias("events")))}
+    # Parsed once, as all rules read the same columns.
+    ev = staged(features(events))
+    found = run_all("win", ev, cfg or WinConfig(), only)
+    cases = co.case_verdicts(found.findings, ev.groupBy("case_key").agg(F.count(F.lit(1)).alias("events")))
+    return {"findings": found.findings, "items": found.items, "overview": win_rules.overview(ev), "timeline": win_rules.timeline(found.findings, found.items), "cases": cases}
 
 
 def capture(packets: DataFrame, cfg: PacketConfig | None = None, net: NetConfig | None = None) -> dict[str, DataFrame]:
@@ -48,8 +67,8 @@ def capture(packets: DataFrame, cfg: PacketConfig | None = None, net: NetConfig
     # A responder needs 30 % of all answers, so at most three are learned.
     learned = [r.src_ip for r in co.learned_resolvers(ev, net.known_resolvers).collect()]
     net = replace(net, known_resolvers=learned)
-    found = run_rules("pkt", packets, cfg or PacketConfig()).unionByName(run_rules("net", ev, net, CAPTURE_RULES)).unionByName(run_rules("net", to_events(starts), net, ["c2_beacon"]))
-    return {"findings": found, "hosts": pkt_stats.hosts(packets), "conversations": pkt_stats.conversations(packets), "protocols": pkt_stats.protocols(packets),
+    found = joined(run_all("pkt", packets, cfg or PacketConfig()), network_rules(ev, net, CAPTURE_RULES), network_rules(to_events(starts), net, ["c2_beacon"]))
+    return {"findings": found.findings, "items": found.items, "hosts": pkt_stats.hosts(packets), "conversations": pkt_stats.conversations(packets), "protocols": pkt_stats.protocols(packets),
             "endpoints": pkt_stats.endpoints(packets), "dns": pkt_stats.dns_stats(packets), "http": pkt_stats.http_stats(packets), "credentials": pkt_stats.credentials(packets),
             "files": pkt_stats.files(packets), "identity": pkt_stats.identity(packets), "tls": pkt_stats.tls_hellos(packets), "resolved": pkt_stats.resolved(packets)}
 
@@ -58,9 +77,9 @@ def mail(messages: DataFrame, attachments: DataFrame) -> dict[str, DataFrame]:
     embedded = attachments.groupBy("message_id").agg(F.flatten(F.collect_list("embedded_urls")).alias("embedded_urls"))
     urls = staged(ul.extract(messages.select("message_id", "body_text", "body_html").join(embedded, "message_id", "left")))
     flagged = ul.analyse(urls)
-    joined = mr.assemble(messages, flagged, attachments)
-    verdict = mr.verdicts(joined)
-    return {"findings": mr.findings(joined), "verdicts": verdict, "urls": flagged, "attachments": mr.attachment_flags(attachments), "hops": mr.received_hops(messages),
+    whole = mr.assemble(messages, flagged, attachments)
+    verdict = mr.verdicts(whole)
+    return {"findings": mr.run(whole).findings, "verdicts": verdict, "urls": flagged, "attachments": mr.attachment_flags(attachments), "hops": mr.received_hops(messages),
             "indicators": mr.indicators(messages, urls, attachments, verdict)}
 
 

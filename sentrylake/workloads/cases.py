@@ -6,40 +6,30 @@ from pyspark.sql import functions as F
 
 from sentrylake.operators import correlate as co
 from sentrylake.operators import exports as ex
-from sentrylake.operators import net_access as na
-from sentrylake.operators import net_channels as nc
 from sentrylake.operators import rulebook as rb
 from sentrylake.operators import win_rules as wr
+from sentrylake.plans.analyze import network_rules
+from sentrylake.schema import KILL_CHAIN
 from sentrylake.sources.packets import to_events
-from sentrylake.workloads import mail, netviews, packets, winviews
-from sentrylake.workloads import windows as win
-from sentrylake.workloads.base import DUCK, Case
+from sentrylake.workloads import everything as ev
+from sentrylake.workloads import mail, netviews, packets
+from sentrylake.workloads.base import Case
 from sentrylake.workloads.net import CFG, HOME, TIMES, w
 
-RULES = {r.name: r for r in rb.REGISTRY["net"]}
+FI = ev.findings_sql()
+SEV = "CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END"
+IPS = FI + ", ip AS (SELECT DISTINCT src_ip AS ip FROM fi WHERE src_ip <> '' AND severity IN ('medium', 'high', 'critical'))"
+ITEMS = "it AS (SELECT * EXCLUDE (lists, x), x.key AS kind, unnest(x.value) AS value FROM (SELECT *, unnest(map_entries(lists)) AS x FROM fi))"
+ROUNDS = 14
 
 
-def found(spark, sf, view, *names):
-    ev = netviews.events(spark, sf, view)
-    parts = [rb.as_findings(RULES[n].build(ev, CFG), RULES[n]) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def flow_findings(spark, sf):
-    return found(spark, sf, "flow", "c2_bad_port", "exfil_volume", "exposed_service", "internal_exploit")
+def findings(spark, sf):
+    return ev.net_results(spark, sf).findings
 
 
-RISK = "(21, 22, 23, 135, 139, 445, 1433, 3306, 3389, 5432, 5900, 6379, 27017)"
-BAD = "(4444, 4445, 1337, 31337, 8081, 9001, 9002, 50050)"
-FI = w("flow") + f""",
-fi AS (SELECT 'NSM-C2-002' AS rule_id, CASE WHEN {HOME} AND dst_ip NOT LIKE '10.%' THEN 'high' ELSE 'medium' END AS severity, src_ip, dst_ip, dst_ip || ':' || dst_port AS entity, dst_port, min(ts_us) AS first_us FROM ev WHERE dst_port IN {BAD} GROUP BY 1, 2, 3, 4, 5, 6
-UNION ALL SELECT 'NSM-EXFIL-004', 'high', src_ip, dst_ip, NULL, NULL, min(ts_us) FROM ev WHERE {HOME} AND dst_ip NOT LIKE '10.%' AND (bytes_out <> 0 OR bytes_in <> 0) GROUP BY src_ip, dst_ip HAVING sum(bytes_out) >= 150000 AND (sum(bytes_in) = 0 OR sum(bytes_out) / sum(bytes_in) >= 5)
-UNION ALL SELECT 'NSM-PERIM-001', 'high', NULL, dst_ip, dst_ip || ':' || dst_port, dst_port, min(ts_us) FROM ev WHERE action = 'allow' AND dst_port IN {RISK} AND src_ip NOT LIKE '10.%' AND dst_ip LIKE '10.%' GROUP BY dst_ip, dst_port
-UNION ALL SELECT 'NSM-LAT-002', 'critical', src_ip, dst_ip, NULL, NULL, min(ts_us) FROM ev WHERE kind = 'ids_alert' AND (lower(signature) LIKE '%exploit%' OR lower(coalesce(classification, '')) LIKE '%unauthorized%') AND {HOME} AND dst_ip LIKE '10.%' GROUP BY src_ip, dst_ip)"""
-IPS = FI + ", ip AS (SELECT DISTINCT src_ip AS ip FROM fi WHERE src_ip IS NOT NULL)"
+def indicator_table(spark, sf):
+    got = ev.net_results(spark, sf)
+    return co.finding_indicators(got.findings, got.items)
 
 
 def summary(name, *keys):
@@ -50,28 +40,64 @@ def top10(where, key, value="count(*)"):
     return w("flow") + f" SELECT {key}, {value} AS n FROM ev WHERE {where} GROUP BY {key} ORDER BY n DESC, {key} LIMIT 10"
 
 
-def beacon_findings(spark, sf):
-    return found(spark, sf, "misc", "scan_ping_sweep", "arp_conflict", "exfil_icmp")
+def incident_rows(spark, sf):
+    got = ev.net_results(spark, sf)
+    return co.incidents(got.findings, got.items, CFG.known_resolvers)[0]
 
 
-def incident_rows(spark, sf):
-    inc, _ = co.incidents(beacon_findings(spark, sf), CFG.known_resolvers)
-    return inc
+def item_rows(spark, sf):
+    got = ev.net_results(spark, sf)
+    return got.items.where(F.col("kind") != "event").join(got.findings.select("finding_id", "src_ip", "dst_ip", "user", "entity"), "finding_id")
 
 
-def win_findings(spark, sf):
-    ev = winviews.events(spark, sf)
-    rules = {r.name: r for r in rb.REGISTRY["win"]}
-    parts = [rb.as_findings(rules[n].build(ev, win.CFG), rules[n]) for n in ("user_new", "user_group", "persist_runkey", "log_cleared", "exec_double_ext")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def evidence_rows(spark, sf):
+    """The first lines of findings of rules whose events are a plain group."""
+    rows = ev.net_rows(spark, sf)
+    got = network_rules(rows, CFG, ["c2_bad_port", "exposed_service", "exfil_volume", "internal_exploit", "scan_ping_sweep"])
+    return got.findings.join(rb.evidence(got.items, rows), "finding_id")
+
+
+def timeline_rows(spark, sf):
+    got = ev.win_results(spark, sf)
+    return wr.timeline(got.findings, got.items)
+
+
+def spread_labels() -> str:
+    """Labels of linked findings: in each round the smallest label of an entity's findings becomes that of all."""
+    out = "l0 AS (SELECT id, id AS label FROM fi)"
+    for k in range(1, ROUNDS + 1):
+        out += f""",
+m{k} AS MATERIALIZED (SELECT ent, min(label) AS m FROM le JOIN l{k - 1} USING (id) GROUP BY ent),
+l{k} AS MATERIALIZED (SELECT l.id, least(l.label, coalesce(min(x.m), l.label)) AS label FROM l{k - 1} l LEFT JOIN (SELECT id, m FROM le JOIN m{k} USING (ent)) x ON x.id = l.id GROUP BY l.id, l.label)"""
     return out
 
 
-def evidence_rows(spark, sf):
-    ev = netviews.events(spark, sf, "flow").withColumn("raw", F.concat_ws("|", F.lit(" l"), F.col("event_id").cast("string")))
-    return rb.evidence(ev.where(F.col("dst_port") == 4444), ["src_ip"], n=3)
+def first_lines(rule: str, keys: str, where: str) -> str:
+    ks = [k.strip() for k in keys.split(",")]
+    named = ", ".join(k if k in ks else f"NULL AS {k}" for k in ("src_ip", "dst_ip"))
+    return f"""SELECT '{rule}' AS rule_id, {named}, {'dst_port' if 'dst_port' in ks else 'NULL'} AS port, list('l|' || event_id ORDER BY rn) AS evidence
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ts_us, event_id) AS rn FROM (SELECT DISTINCT {keys}, ts_us, event_id FROM allev WHERE {where})) WHERE rn <= 10 GROUP BY {keys}"""
+
+
+RISK = "(21, 22, 23, 135, 139, 445, 1433, 3306, 3389, 5432, 5900, 6379, 27017)"
+BAD = "(4444, 4445, 1337, 31337, 8081, 9001, 9002, 50050)"
+EVIDENCE = FI + ", g AS (" + " UNION ALL ".join([
+    first_lines("NSM-C2-002", "src_ip, dst_ip, dst_port", f"dst_port IN {BAD}"),
+    first_lines("NSM-PERIM-001", "dst_ip, dst_port", f"kind IN ('network_flow', 'ids_alert') AND action = 'allow' AND dst_port IN {RISK} AND src_ip NOT LIKE '10.%' AND dst_ip LIKE '10.%'"),
+    first_lines("NSM-EXFIL-004", "src_ip, dst_ip", f"{HOME} AND dst_ip NOT LIKE '10.%' AND (bytes_out <> 0 OR bytes_in <> 0)"),
+    first_lines("NSM-LAT-002", "src_ip, dst_ip", f"kind = 'ids_alert' AND (lower(signature) LIKE '%exploit%' OR lower(coalesce(classification, '')) LIKE '%unauthorized%') AND {HOME} AND dst_ip LIKE '10.%'"),
+    first_lines("NSM-SCAN-003", "src_ip", "kind = 'icmp' AND (icmp_type IS NULL OR icmp_type = 8)")]) + """)
+SELECT g.rule_id, g.src_ip, g.dst_ip, fi.entity, g.evidence FROM g JOIN fi ON fi.rule_id = g.rule_id AND fi.src_ip IS NOT DISTINCT FROM g.src_ip AND fi.dst_ip IS NOT DISTINCT FROM g.dst_ip
+  AND (g.port IS NULL OR g.port = fi.dst_port)"""
+ESC = "replace(replace(replace({}, '\"', ' '), ';', ','), '|', '/')"
+PORT = "coalesce(CAST(dst_port AS VARCHAR), 'any')"
+LABELS = f"list_aggregate(list_transform(string_split({ESC.format('entity')}, '.'), lambda l: '|' || printf('%02x', length(l)) || '|' || l), 'string_agg', '')"
+INDICATORS = FI + ", " + ITEMS + """,
+x AS (SELECT 'ip' AS type, src_ip AS v, regexp_matches(rule_id, '^NSM-(SCAN|CRED|WEB|PERIM)') AND src_ip NOT LIKE '10.%' AS b FROM fi WHERE regexp_matches(src_ip, '^[0-9.]+$')
+  UNION ALL SELECT 'ip', dst_ip, regexp_matches(rule_id, '^NSM-(C2|EXFIL)') AND dst_ip NOT LIKE '10.%' FROM fi WHERE regexp_matches(dst_ip, '^[0-9.]+$')
+  UNION ALL SELECT 'domain', entity, true FROM fi WHERE rule_id = 'NSM-EXFIL-001' OR (rule_id = 'NSM-EXFIL-003' AND NOT regexp_matches(entity, '^[0-9.]+$'))
+  UNION ALL SELECT 'account', usr, false FROM fi WHERE usr <> '' UNION ALL SELECT 'mac', value, false FROM it WHERE kind = 'suspect_macs'),
+ind AS (SELECT type, min(v) AS value, bool_or(b) AS block FROM x GROUP BY type, lower(v))"""
 
 
 CASES = [
@@ -88,39 +114,38 @@ CASES = [
     Case("learned_resolvers", lambda s, sf: co.learned_resolvers(netviews.events(s, sf, "dns").withColumn("src_ip", F.regexp_replace("src_ip", r"^10\.1\..*", "10.1.0.1")), CFG.known_resolvers), "src_ip:s",
          w("dns") + """, a AS (SELECT CASE WHEN src_ip LIKE '10.%' THEN '10.1.0.1' ELSE src_ip END AS ip FROM ev WHERE dns_is_response)
 SELECT ip AS src_ip FROM a GROUP BY 1 HAVING count(*) >= 3 AND count(*) / (SELECT count(*) FROM a) >= 0.3 UNION SELECT unnest(['8.8.8.8', '8.8.4.4', '1.1.1.1'])"""),
-    Case("findings_union", lambda s, sf: rb.severity_floor(flow_findings(s, sf), "high"), "rule_id:s severity:s severity_rank:i src_ip:s dst_ip:s entity:s first_us:i",
-         FI + " SELECT rule_id, severity, CASE severity WHEN 'high' THEN 3 ELSE 4 END AS severity_rank, src_ip, dst_ip, entity, first_us FROM fi WHERE severity IN ('high', 'critical')"),
-    Case("finding_evidence", evidence_rows, "src_ip:s evidence:l", w("flow") + """, r AS (SELECT src_ip, 'l|' || event_id AS l, row_number() OVER (PARTITION BY src_ip ORDER BY ts_us, event_id) AS rn FROM ev WHERE dst_port = 4444)
-SELECT src_ip, list(l ORDER BY rn) AS evidence FROM r WHERE rn <= 3 GROUP BY 1"""),
-    Case("incidents", incident_rows, "finding_count:i severity:s stages:l entity_count:i first_us:i last_us:i", w("misc") + f""",
-ps AS (SELECT src_ip, list_sort(list(DISTINCT dst_ip))[1:40] AS hosts, {TIMES} FROM ev WHERE kind = 'icmp' AND (icmp_type IS NULL OR icmp_type = 8) GROUP BY 1 HAVING count(DISTINCT dst_ip) >= 3),
-ac AS (SELECT arp_sender_ip AS ip, {TIMES} FROM ev WHERE kind = 'arp' GROUP BY 1 HAVING count(DISTINCT arp_sender_mac) >= 2),
-ic AS (SELECT src_ip, dst_ip, max(icmp_payload_len) AS mp, count(*) AS n, count(*) FILTER (WHERE icmp_payload_len > 64) AS big, {TIMES} FROM ev WHERE kind = 'icmp' GROUP BY 1, 2 HAVING max(icmp_payload_len) > 0),
-id AS (SELECT *, CASE WHEN mp > 64 THEN 3 ELSE 0 END + CASE WHEN mp > 256 THEN 2 ELSE 0 END + CASE WHEN n >= 4 THEN 1 ELSE 0 END + CASE WHEN dst_ip NOT LIKE '10.%' THEN 2 ELSE 0 END AS sc FROM ic WHERE big >= 3 OR n >= 4),
-f AS (SELECT 'p' || src_ip AS id, CASE WHEN {HOME} THEN 3 ELSE 1 END AS sev, CASE WHEN {HOME} THEN 'Discovery' ELSE 'Reconnaissance' END AS st, list_append(hosts, src_ip) AS ents, first_us, last_us FROM ps
-  UNION ALL SELECT 'a' || ip, 3, 'Exploitation', [ip], first_us, last_us FROM ac UNION ALL SELECT 'i' || src_ip || dst_ip, CASE WHEN sc >= 6 THEN 3 ELSE 2 END, 'Exfiltration', [src_ip, dst_ip], first_us, last_us FROM id WHERE sc >= 4),
-e AS (SELECT id, unnest(ents) AS ent FROM f), RECURSIVE_edges AS (SELECT DISTINCT a.id AS x, b.id AS y FROM e a JOIN e b USING (ent)),
-c AS (SELECT id, (SELECT min(r) FROM (WITH RECURSIVE reach AS (SELECT f.id AS r UNION SELECT g.y FROM reach JOIN RECURSIVE_edges g ON g.x = reach.r) SELECT r FROM reach)) AS label FROM f)
-SELECT count(*) AS finding_count, CASE max(sev) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, list_filter(['Reconnaissance', 'Exploitation', 'Discovery', 'Exfiltration'], lambda s: list_contains(list(st), s)) AS stages,
-  (SELECT count(DISTINCT ent) FROM e JOIN c c2 USING (id) WHERE c2.label = c.label) AS entity_count, min(first_us) AS first_us, max(last_us) AS last_us FROM c JOIN f USING (id) GROUP BY label"""),
-    Case("indicators", lambda s, sf: co.finding_indicators(flow_findings(s, sf)), "type:s value:s defanged:s block:b",
-         FI + """, x AS (SELECT src_ip AS v, false AS b FROM fi WHERE src_ip IS NOT NULL UNION ALL SELECT dst_ip, rule_id IN ('NSM-C2-002', 'NSM-EXFIL-004') AND dst_ip NOT LIKE '10.%' FROM fi)
-SELECT 'ip' AS type, v AS value, replace(v, '.', '[.]') AS defanged, bool_or(b) AS block FROM x GROUP BY v"""),
-    Case("indicator_blocklist", lambda s, sf: ex.blocklist_from_indicators(co.finding_indicators(flow_findings(s, sf))), "type:s value:s",
-         FI + " SELECT DISTINCT 'ip' AS type, dst_ip AS value FROM fi WHERE rule_id IN ('NSM-C2-002', 'NSM-EXFIL-004') AND dst_ip NOT LIKE '10.%'"),
-    Case("ids_rules", lambda s, sf: ex.ids_rules(flow_findings(s, sf)), "sid:i rule:s", FI + f""",
-k AS (SELECT DISTINCT '2dst:' || dst_ip || ':' || coalesce(CAST(dst_port AS VARCHAR), 'any') AS key, 'alert ip $HOME_NET any -> ' || dst_ip || ' ' || coalesce(CAST(dst_port AS VARCHAR), 'any') || ' (msg:"LOCAL C2/Exfil destination contacted - '
-  || CASE rule_id WHEN 'NSM-C2-002' THEN 'Traffic on an attack-tool port' ELSE 'Lopsided outbound volume' END || '"; metadata:finding ' || rule_id || '; classtype:trojan-activity; priority:' || CASE severity WHEN 'high' THEN '1' ELSE '2' END || ';' AS body FROM fi WHERE rule_id IN ('NSM-C2-002', 'NSM-EXFIL-004')
-  UNION SELECT DISTINCT '4perim:' || dst_ip || ':' || dst_port, 'alert tcp $EXTERNAL_NET any -> ' || dst_ip || ' ' || dst_port || ' (msg:"LOCAL Inbound to exposed ' || CASE dst_port WHEN 22 THEN 'ssh' WHEN 445 THEN 'smb' WHEN 3389 THEN 'rdp' WHEN 21 THEN 'ftp' WHEN 135 THEN 'msrpc' ELSE 'telnet' END
-  || '"; flags:S; threshold:type limit, track by_src, count 1, seconds 300; classtype:attempted-admin; priority:1;' FROM fi WHERE rule_id = 'NSM-PERIM-001'
-  UNION SELECT unnest({[f'9{i}' for i in range(5)]}), unnest({ex.COMPANIONS})), o AS (SELECT key, min(body) AS body FROM k GROUP BY key), n AS (SELECT 1000000 + row_number() OVER (ORDER BY key) AS sid, body FROM o)
+    Case("findings_union", lambda s, sf: rb.severity_floor(findings(s, sf), "medium"), "rule_id:s title:s category:s severity:s severity_rank:i src_ip:s dst_ip:s user:s entity:s first_us:i last_us:i",
+         FI + f" SELECT rule_id, title, category, severity, {SEV} AS severity_rank, src_ip, dst_ip, usr AS \"user\", entity, first_us, last_us FROM fi WHERE {SEV} >= 2"),
+    Case("finding_items", item_rows, "rule_id:s src_ip:s dst_ip:s user:s entity:s kind:s value:s", FI + ", " + ITEMS + " SELECT rule_id, src_ip, dst_ip, usr AS \"user\", entity, kind, value FROM it"),
+    Case("finding_evidence", evidence_rows, "rule_id:s src_ip:s dst_ip:s entity:s evidence:l", EVIDENCE),
+    Case("incidents", incident_rows, "finding_count:i severity:s stages:l entity_count:i first_us:i last_us:i", FI + ", " + ITEMS + f""",
+e AS MATERIALIZED (SELECT DISTINCT id, ent FROM (SELECT id, unnest([src_ip, dst_ip, usr, entity, assigned_ip]) AS ent FROM fi UNION ALL SELECT id, value FROM it WHERE kind IN {tuple(co.ENTITY_LISTS)}) WHERE ent <> ''),
+le AS MATERIALIZED (SELECT * FROM e WHERE ent NOT IN {tuple(CFG.known_resolvers)}),
+{spread_labels()},
+c AS (SELECT fi.*, {SEV} AS sev, label FROM fi JOIN l{ROUNDS} USING (id)), n AS (SELECT label, count(DISTINCT ent) AS entity_count FROM e JOIN c USING (id) GROUP BY label)
+SELECT count(*) AS finding_count, CASE max(sev) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
+  list_filter({KILL_CHAIN}, lambda s: list_contains(list(category), s)) AS stages, any_value(entity_count) AS entity_count, min(first_us) AS first_us, max(last_us) AS last_us FROM c LEFT JOIN n USING (label) GROUP BY label"""),
+    Case("indicators", indicator_table, "type:s value:s defanged:s block:b", INDICATORS + " SELECT type, value, CASE WHEN type IN ('account', 'mac') THEN value ELSE replace(value, '.', '[.]') END AS defanged, block FROM ind"),
+    Case("indicator_blocklist", lambda s, sf: ex.blocklist_from_indicators(indicator_table(s, sf)), "type:s value:s", INDICATORS + " SELECT DISTINCT type, value FROM ind WHERE block"),
+    Case("ids_rules", lambda s, sf: ex.ids_rules(findings(s, sf)), "sid:i rule:s", FI + f""",
+k AS (SELECT '1src:' || src_ip AS key, 'alert ip ' || src_ip || ' any -> $HOME_NET any (msg:"LOCAL ' || {ESC.format('title')} || '"; metadata:policy security-ips drop, finding ' || rule_id || '; classtype:attempted-recon;' AS body
+    FROM fi WHERE src_ip <> '' AND regexp_matches(rule_id, '^NSM-(SCAN|CRED|WEB)')
+  UNION ALL SELECT '2dst:' || dst_ip || ':' || {PORT}, 'alert ip $HOME_NET any -> ' || dst_ip || ' ' || {PORT} || ' (msg:"LOCAL C2/Exfil destination contacted - ' || {ESC.format('title')} || '"; metadata:finding ' || rule_id
+    || '; classtype:trojan-activity; priority:' || CASE {SEV} WHEN 4 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 4 END || ';' FROM fi WHERE dst_ip <> '' AND regexp_matches(rule_id, '^NSM-(C2|EXFIL)')
+  UNION ALL SELECT '3dns:' || entity || ':a', 'alert udp $HOME_NET any -> any 53 (msg:"LOCAL DNS tunnelling domain ' || {ESC.format('entity')} || '"; content:"' || {LABELS} || '"; nocase; metadata:finding ' || rule_id
+    || '; classtype:trojan-activity; priority:1;' FROM fi WHERE rule_id = 'NSM-EXFIL-001'
+  UNION ALL SELECT '3dns:' || entity || ':b', 'alert udp $HOME_NET any -> any 53 (msg:"LOCAL Oversized DNS query name - possible tunnelling"; dsize:>150; threshold:type threshold, track by_src, count 20, seconds 60; classtype:policy-violation; priority:2;'
+    FROM fi WHERE rule_id = 'NSM-EXFIL-001'
+  UNION ALL SELECT '4perim:' || dst_ip || ':' || dst_port, 'alert tcp $EXTERNAL_NET any -> ' || dst_ip || ' ' || dst_port || ' (msg:"LOCAL Inbound to exposed ' || {ev.SERVICE}
+    || '"; flags:S; threshold:type limit, track by_src, count 1, seconds 300; classtype:attempted-admin; priority:1;' FROM fi WHERE rule_id = 'NSM-PERIM-001'
+  UNION ALL SELECT unnest({[f'9{i}' for i in range(5)]}), unnest({ex.COMPANIONS})), o AS (SELECT key, min(body) AS body FROM k GROUP BY key), n AS (SELECT 1000000 + row_number() OVER (ORDER BY key) AS sid, body FROM o)
 SELECT sid, body || ' sid:' || sid || '; rev:1;)' AS rule FROM n"""),
-    Case("case_verdict", lambda s, sf: co.case_verdicts(win_findings(s, sf)), "case_key:s findings:i level:s worst_count:i low:i medium:i high:i critical:i", win.W + """,
-f AS (SELECT case_key, 'low' AS s FROM x WHERE code = 4720 UNION ALL SELECT case_key, 'medium' FROM x WHERE code = 4732 AND lower(tu) IN ('administrators', 'domain admins')
-  UNION ALL SELECT case_key, 'high' FROM x WHERE code = 13 AND contains(lower(TargetObject), 'currentversion' || chr(92) || 'run') UNION ALL SELECT case_key, 'high' FROM x WHERE code = 1102 OR (code = 104 AND provider <> 'Other') UNION ALL SELECT case_key, 'critical' FROM x WHERE pc AND img LIKE '%.pdf.exe'),
-g AS (SELECT case_key, count(*) AS findings, count(*) FILTER (WHERE s = 'low') AS low, count(*) FILTER (WHERE s = 'medium') AS medium, count(*) FILTER (WHERE s = 'high') AS high, count(*) FILTER (WHERE s = 'critical') AS critical FROM f GROUP BY 1)
-SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' ELSE 'low' END AS level, CASE WHEN critical > 0 THEN critical WHEN high > 0 THEN high WHEN medium > 0 THEN medium ELSE low END AS worst_count FROM g"""),
-    Case("timeline", lambda s, sf: wr.timeline(win_findings(s, sf)), "rule_id:s case_key:s severity:s first_us:i"),
+    Case("case_verdict", lambda s, sf: co.case_verdicts(ev.win_results(s, sf).findings), "case_key:s findings:i level:s worst_count:i info:i low:i medium:i high:i critical:i", ev.windows_sql() + """,
+g AS (SELECT case_key, count(*) AS findings, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'medium') AS medium,
+  count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'critical') AS critical FROM wf GROUP BY 1)
+SELECT *, CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN medium > 0 THEN 'medium' WHEN low > 0 THEN 'low' ELSE 'info' END AS level,
+  CASE WHEN critical > 0 THEN critical WHEN high > 0 THEN high WHEN medium > 0 THEN medium WHEN low > 0 THEN low ELSE info END AS worst_count FROM g"""),
+    Case("timeline", timeline_rows, "rule_id:s case_key:s severity:s at_us:i", ev.windows_sql() + " SELECT rule_id, case_key, severity, CASE WHEN first_us > 0 THEN first_us END AS at_us FROM wf"),
     Case("packet_events", lambda s, sf: to_events(packets.events(s, sf)).groupBy("kind", "protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_out").alias("bytes"), F.count_if("arp_is_gratuitous").alias("gratuitous")), "kind:s protocol:s n:i bytes:i gratuitous:i",
          packets.W + """, k AS (SELECT *, CASE WHEN proto = 'arp' THEN 'arp' WHEN proto = 'icmp' THEN 'icmp' WHEN f_qr IS NOT NULL THEN 'dns' WHEN f_req = '1' OR f_resp = '1' THEN 'http' WHEN f_cmd IS NOT NULL THEN 'ftp' WHEN dst_port = 443 OR f_tls IS NOT NULL THEN 'tls' ELSE 'network_flow' END AS kind FROM ev)
 SELECT kind, CASE WHEN proto IN ('arp', 'icmp', 'tcp', 'udp') THEN proto ELSE 'ip' END AS protocol, count(*) AS n, sum(CASE WHEN kind IN ('arp', 'http', 'ftp') THEN 0 ELSE length END) AS bytes, count(*) FILTER (WHERE f_op = '2' AND f_sip = f_tip) AS gratuitous FROM k WHERE src_ip IS NOT NULL OR proto = 'arp' GROUP BY 1, 2"""),
@@ -130,4 +155,4 @@ SELECT kind, CASE WHEN proto IN ('arp', 'icmp', 'tcp', 'udp') THEN proto ELSE 'i
 ACL = {"iptables": "SELECT unnest(['iptables -A INPUT -s ' || ip || ' -j DROP', 'iptables -A FORWARD -s ' || ip || ' -j DROP']) AS line FROM ip", "pf": "SELECT 'block drop in quick from ' || ip || ' to any' AS line FROM ip",
        "cisco_ios": "SELECT ' deny ip host ' || ip || ' any' AS line FROM ip UNION ALL SELECT unnest(['ip access-list extended BLOCK', ' permit ip any any', 'interface <apply-to-interface>', ' ip access-group BLOCK in'])",
        "netsh": "SELECT 'netsh advfirewall firewall add rule name=\"block-' || row_number() OVER (ORDER BY ip) || '\" dir=in action=block remoteip=' || ip AS line FROM ip"}
-CASES += [Case(f"acl_{t}", (lambda t: lambda s, sf: ex.acl_rules(flow_findings(s, sf), t))(t), "line:s", IPS + " " + q) for t, q in ACL.items()]
+CASES += [Case(f"acl_{t}", (lambda t: lambda s, sf: ex.acl_rules(findings(s, sf), t))(t), "line:s", IPS + " " + q) for t, q in ACL.items()]

@@ -10,7 +10,7 @@ from sentrylake.operators import pkt_rules as pr
 from sentrylake.operators import pkt_stats as ps
 from sentrylake.schema import PACKET_COLUMNS, conform
 from sentrylake.workloads.base import DUCK, SPARK, Case, Dialect, from_sql
-from sentrylake.workloads.net import best_run, top
+from sentrylake.workloads.net import best_run, whole
 
 DAY = 86400
 CFG = PacketConfig(vertical_scan_window_seconds=6 * DAY, vertical_scan_min_ports=3, horizontal_scan_window_seconds=4 * DAY, horizontal_scan_min_hosts=3,
@@ -100,34 +100,34 @@ lg AS (SELECT *, lag(f_cmd) OVER s AS pc, lag(f_arg) OVER s AS pa FROM ev WHERE
 ls AS (SELECT *, CASE WHEN pc = 'USER' THEN pa END AS login FROM lg WHERE f_cmd = 'PASS')"""
 
 CASES = [
-    Case("pkt_scan_vertical", q(pr.pkt_scan_vertical), "src_ip:s dst_ip:s distinct_ports:i packets:i scan_type:s severity:s ports_probed:l first_us:i last_us:i",
+    Case("pkt_scan_vertical", q(pr.pkt_scan_vertical), "src_ip:s dst_ip:s distinct_ports:i packets:i scan_type:s severity:s first_us:i last_us:i",
          W + best_run("ev", "src_ip, dst_ip", 6 * DAY, "count(*)", "1", SYN) + f"""
 SELECT src_ip, dst_ip, count(DISTINCT dst_port) AS distinct_ports, count(*) AS packets, CASE WHEN 2 * count(*) FILTER (WHERE CAST(f_win AS INT) > 1024) >= count(*) THEN 'connect' ELSE 'syn' END AS scan_type,
-  CASE WHEN count(DISTINCT dst_port) >= 6 THEN 'high' ELSE 'medium' END AS severity, {top('dst_port', 50)} AS ports_probed, {TIMES} FROM hit GROUP BY 1, 2 HAVING count(DISTINCT dst_port) >= 3"""),
-    Case("pkt_scan_horizontal", q(pr.pkt_scan_horizontal), "src_ip:s dst_port:i distinct_hosts:i packets:i hosts_probed:l first_us:i last_us:i",
+  CASE WHEN count(DISTINCT dst_port) >= 6 THEN 'high' ELSE 'medium' END AS severity, {whole('dst_port')} AS ports_probed, {TIMES} FROM hit GROUP BY 1, 2 HAVING count(DISTINCT dst_port) >= 3"""),
+    Case("pkt_scan_horizontal", q(pr.pkt_scan_horizontal), "src_ip:s dst_port:i distinct_hosts:i packets:i first_us:i last_us:i",
          W + best_run("ev", "src_ip, dst_port", 4 * DAY, "count(*)", "1", SYN) + f"""
-SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS distinct_hosts, count(*) AS packets, {top('dst_ip', 50)} AS hosts_probed, {TIMES} FROM hit GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 3"""),
-    Case("pkt_scan_udp", q(pr.pkt_scan_udp), "src_ip:s dst_ip:s distinct_ports:i packets:i closed_ports:l first_us:i last_us:i",
+SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS distinct_hosts, count(*) AS packets, {whole('dst_ip')} AS hosts_probed, {TIMES} FROM hit GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 3"""),
+    Case("pkt_scan_udp", q(pr.pkt_scan_udp), "src_ip:s dst_ip:s distinct_ports:i packets:i first_us:i last_us:i",
          W + best_run("ev", "dst_ip, src_ip", 10 * DAY, "count(*)", "1", "f_port IS NOT NULL") + f"""
-SELECT dst_ip AS src_ip, src_ip AS dst_ip, count(DISTINCT f_port) AS distinct_ports, count(*) AS packets, {top('f_port', 50)} AS closed_ports, {TIMES} FROM hit GROUP BY hit.dst_ip, hit.src_ip HAVING count(DISTINCT f_port) >= 3"""),
-    Case("pkt_arp_spoof", q(pr.pkt_arp_spoof), "entity:s mac_count:i claiming_macs:l replies:i first_us:i last_us:i",
+SELECT dst_ip AS src_ip, src_ip AS dst_ip, count(DISTINCT f_port) AS distinct_ports, count(*) AS packets, {whole('f_port')} AS closed_ports, {TIMES} FROM hit GROUP BY hit.dst_ip, hit.src_ip HAVING count(DISTINCT f_port) >= 3"""),
+    Case("pkt_arp_spoof", q(pr.pkt_arp_spoof), "entity:s mac_count:i replies:i first_us:i last_us:i",
          W + MIXED + f" SELECT ip AS entity, count(DISTINCT mac) AS mac_count, list_sort(list(DISTINCT mac)) AS claiming_macs, count(*) AS replies, {TIMES} FROM mh GROUP BY ip"),
-    Case("pkt_arp_relay", q(pr.pkt_arp_relay), "entity:s packets:i victim_count:i victims:l first_us:i last_us:i",
-         W + MIXED + f" SELECT dst_mac AS entity, count(*) AS packets, count(DISTINCT src_ip) AS victim_count, {top('src_ip', 50)} AS victims, {TIMES} FROM ev WHERE src_ip IS NOT NULL AND dst_mac IN (SELECT mac FROM mh) GROUP BY 1 HAVING count(*) >= 3"),
-    Case("pkt_arp_flood", q(pr.pkt_arp_flood), "entity:s target_count:i packets:i targets_probed:l first_us:i last_us:i",
-         W + best_run("ev", "f_smac", 6 * DAY, "count(*)", "1", "f_op = '1'") + f" SELECT f_smac AS entity, count(DISTINCT f_tip) AS target_count, count(*) AS packets, {top('f_tip', 50)} AS targets_probed, {TIMES} FROM hit GROUP BY 1 HAVING count(DISTINCT f_tip) >= 3"),
+    Case("pkt_arp_relay", q(pr.pkt_arp_relay), "entity:s packets:i victim_count:i first_us:i last_us:i",
+         W + MIXED + f" SELECT dst_mac AS entity, count(*) AS packets, count(DISTINCT src_ip) AS victim_count, {whole('src_ip')} AS victims, {TIMES} FROM ev WHERE src_ip IS NOT NULL AND dst_mac IN (SELECT mac FROM mh) GROUP BY 1 HAVING count(*) >= 3"),
+    Case("pkt_arp_flood", q(pr.pkt_arp_flood), "entity:s target_count:i packets:i first_us:i last_us:i",
+         W + best_run("ev", "f_smac", 6 * DAY, "count(*)", "1", "f_op = '1'") + f" SELECT f_smac AS entity, count(DISTINCT f_tip) AS target_count, count(*) AS packets, {whole('f_tip')} AS targets_probed, {TIMES} FROM hit GROUP BY 1 HAVING count(DISTINCT f_tip) >= 3"),
     Case("pkt_ftp_brute", q(pr.pkt_ftp_brute), "src_ip:s dst_ip:s failure_count:i last_us:i",
          W + best_run("ev", "dst_ip, src_ip", 10 * DAY, "count(*)", "2", "f_code = '530'") + " SELECT dst_ip AS src_ip, src_ip AS dst_ip, count(*) AS failure_count, max(ts_us) AS last_us FROM hit GROUP BY hit.dst_ip, hit.src_ip"),
-    Case("pkt_ftp_spray", q(pr.pkt_ftp_spray), "dst_ip:s password:s distinct_users:i attempts:i usernames_tried:l first_us:i last_us:i",
-         W + LOGINS + f" SELECT dst_ip, f_arg AS password, count(DISTINCT login) AS distinct_users, count(*) AS attempts, {top('login', 50)} AS usernames_tried, {TIMES} FROM ls WHERE login IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT login) >= 3"),
+    Case("pkt_ftp_spray", q(pr.pkt_ftp_spray), "dst_ip:s password:s distinct_users:i attempts:i first_us:i last_us:i",
+         W + LOGINS + f" SELECT dst_ip, f_arg AS password, count(DISTINCT login) AS distinct_users, count(*) AS attempts, {whole('login')} AS usernames_tried, {TIMES} FROM ls WHERE login IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT login) >= 3"),
     Case("pkt_dhcp_starvation", q(pr.pkt_dhcp_starvation), "src_ip:s distinct_client_macs:i",
          W + " SELECT src_ip, count(DISTINCT f_dm) AS distinct_client_macs FROM ev WHERE f_dh IN ('1', '3') GROUP BY 1 HAVING count(DISTINCT f_dm) >= 10"),
-    Case("pkt_dhcp_nak", q(pr.pkt_dhcp_nak), "nak_count:i reasons:l first_us:i last_us:i",
-         W + f" SELECT sum(n) AS nak_count, list_sort(list(r || '=' || n)) AS reasons, min(f) AS first_us, max(l) AS last_us FROM (SELECT coalesce(f_msg, 'unspecified') AS r, count(*) AS n, min(ts_us) AS f, max(ts_us) AS l FROM ev WHERE f_dh = '6' GROUP BY 1)"),
-    Case("pkt_scanner_agent", q(pr.pkt_scanner_agent), "src_ip:s dst_ip:s tool:s requests:i user_agent:s sample_paths:l",
-         W + f" SELECT src_ip, dst_ip, CASE WHEN f_ua LIKE 'sqlmap%' THEN 'sqlmap' ELSE 'nmap' END AS tool, count(*) AS requests, min(f_ua) AS user_agent, {top('f_uri', 10)} AS sample_paths FROM ev WHERE f_ua LIKE 'sqlmap%' OR f_ua LIKE 'Nikto%' GROUP BY 1, 2, 3"),
-    Case("pkt_agent_rotation", q(pr.pkt_agent_rotation), "src_ip:s agent_count:i user_agents:l",
-         W + f" SELECT src_ip, count(DISTINCT f_ua) AS agent_count, {top('f_ua', 15)} AS user_agents FROM ev GROUP BY 1 HAVING count(DISTINCT f_ua) >= 3"),
+    Case("pkt_dhcp_nak", q(pr.pkt_dhcp_nak), "nak_count:i reason_count:i first_us:i last_us:i",
+         W + f" SELECT sum(n) AS nak_count, list_sort(list(r || '=' || n)) AS reasons, count(*) AS reason_count, min(f) AS first_us, max(l) AS last_us FROM (SELECT coalesce(f_msg, 'unspecified') AS r, count(*) AS n, min(ts_us) AS f, max(ts_us) AS l FROM ev WHERE f_dh = '6' GROUP BY 1)"),
+    Case("pkt_scanner_agent", q(pr.pkt_scanner_agent), "src_ip:s dst_ip:s tool:s requests:i user_agent:s path_count:i",
+         W + f" SELECT src_ip, dst_ip, CASE WHEN f_ua LIKE 'sqlmap%' THEN 'sqlmap' ELSE 'nmap' END AS tool, count(*) AS requests, min(f_ua) AS user_agent, {whole('f_uri')} AS paths, count(DISTINCT f_uri) AS path_count FROM ev WHERE f_ua LIKE 'sqlmap%' OR f_ua LIKE 'Nikto%' GROUP BY 1, 2, 3"),
+    Case("pkt_agent_rotation", q(pr.pkt_agent_rotation), "src_ip:s agent_count:i",
+         W + f" SELECT src_ip, count(DISTINCT f_ua) AS agent_count, {whole('f_ua')} AS user_agents FROM ev GROUP BY 1 HAVING count(DISTINCT f_ua) >= 3"),
     Case("pkt_log4j", q(pr.pkt_log4j), "src_ip:s dst_ip:s requests:i field:s payload:s deobfuscated:s",
          W + """ SELECT src_ip, dst_ip, count(*) AS requests, arg_min(CASE WHEN contains(f_ua, 'lower') THEN 'user_agent' ELSE 'uri' END, event_id) AS field,
   arg_min(CASE WHEN contains(f_ua, 'lower') THEN f_ua ELSE f_uri END, event_id) AS payload, CASE WHEN contains(payload, 'lower') THEN replace(payload, '$' || chr(123) || 'lower:j' || chr(125), 'j') END AS deobfuscated

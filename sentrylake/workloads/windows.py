@@ -58,9 +58,10 @@ def simple(name, rule, columns, sql):
 
 
 CASES = [
-    simple("logon_brute", wr.logon_brute, "case_key:s src_ip:s first_us:i last_us:i attempts:i usernames_tried:l", FAIL + """
+    simple("logon_brute", wr.logon_brute, "case_key:s src_ip:s first_us:i last_us:i attempts:i username_count:i", FAIL + """
 SELECT b.case_key, b.ip AS src_ip, b.anchor AS first_us, b.last_us, b.attempts,
-  (SELECT list_sort(list(DISTINCT tu)) FROM tag g WHERE g.case_key = b.case_key AND g.ip = b.ip AND g.anchor = b.anchor) AS usernames_tried
+  (SELECT count(DISTINCT nullif(tu, '')) FROM tag g WHERE g.case_key = b.case_key AND g.ip = b.ip AND g.anchor = b.anchor) AS username_count,
+  (SELECT list_sort(list(DISTINCT tu) FILTER (WHERE tu <> '')) FROM tag g WHERE g.case_key = b.case_key AND g.ip = b.ip AND g.anchor = b.anchor) AS usernames_tried, 'high' AS severity
 FROM bt b QUALIFY row_number() OVER (PARTITION BY b.case_key, b.ip ORDER BY b.anchor) = 1"""),
     simple("logon_brute_success", wr.logon_brute_success, "event_id:i case_key:s src_ip:s target_user:s logon_id:s first_us:i severity:s", FAIL + f""",
 c AS (SELECT case_key, ip, min(anchor) AS lo, max(last_us) AS hi FROM bt GROUP BY 1, 2)
@@ -157,7 +158,7 @@ n AS (SELECT event_id, case_key, CASE WHEN code = 1 THEN ProcessGuid ELSE 'pid:'
   CASE WHEN code = 1 THEN ParentProcessGuid ELSE 'pid:' || 16 * CAST(substr(ProcessId, 3, length(ProcessId) - 3) AS INT) END AS parent FROM x WHERE pc),
 k AS (SELECT case_key, key, arg_max(parent, event_id) AS parent, true AS found FROM n GROUP BY 1, 2),
 r AS (SELECT event_id, case_key, parent AS up, CAST([] AS VARCHAR[]) AS path FROM n UNION ALL
-  SELECT r.event_id, r.case_key, k.parent, list_append(r.path, r.up) FROM r JOIN k ON k.case_key = r.case_key AND k.key = r.up WHERE len(r.path) < 10 AND NOT list_contains(r.path, r.up))
+  SELECT r.event_id, r.case_key, k.parent, list_append(r.path, r.up) FROM r JOIN k ON k.case_key = r.case_key AND k.key = r.up WHERE NOT list_contains(r.path, r.up))
 SELECT event_id, case_key, len(path) AS depth, path, path[-1] AS root FROM r QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY len(path) DESC) = 1"""),
     Case("win_session", lambda s, sf: wr.session_events(events(s, sf), "0x3AB"), "event_id:i case_key:s code:i logon_id:s", W + """
 SELECT event_id, case_key, code, '0x3ab' AS logon_id FROM x WHERE lower(coalesce(TargetLogonId, SubjectLogonId)) = '0x3ab'"""),

@@ -76,10 +76,15 @@ SELECT event_id, ts_us, code, channel, computer, provider,
 FROM ({inner}) AS i"""
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Windows event table, before its fields are read."""
     df = from_sql(spark, sf_dir, win(SPARK))
     pairs = [x for f in FIELDS for x in (F.lit(f), F.col(f))]
     df = df.withColumn("data", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())).drop(*FIELDS)
     from sentrylake.functions.win import norm_channel
     df = df.withColumn("channel", norm_channel(F.col("channel"))).withColumn("case_key", F.col("computer"))
-    return features(conform(df, WIN_COLUMNS))
+    return conform(df, WIN_COLUMNS)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(raw_events(spark, sf_dir))
