@@ -24,7 +24,7 @@ from sentrylake.session import staged
 #: Counters of a set's table; lists of more than CROWD nodes are met in blocks of half as many.
 COUNTERS, CROWD = 256, 1024
 #: Tables of ids up to this number of rows (some 64 bytes each) are broadcast, larger ones are joined by a shuffle.
-FEW = 1 << 17
+FEW = 1 << 14
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -99,6 +99,7 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     found = staged(rows.mapInArrow(run, "node binary, hashes binary"))
+    shared.unpersist()
     # Tasks may have met copies of one text; only such sets move to leave one of each.
     again = staged(found.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node"))
     if again.isEmpty():
@@ -203,7 +204,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
 
 def _merged(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b). Up to FEW links (32 bytes each) are united in one task, more in rounds of joins."""
-    if links.count() > FEW // 8:
+    if links.count() > FEW:
         return components(links)
 
     def run(batches):
