@@ -38,11 +38,16 @@ def attribute_json(iocs: DataFrame) -> DataFrame:
         F.col("t").isin("url", "domain", "sha256", "md5", "sha1", "ip-src").alias("to_ids"))).alias("attribute"))
 
 
-def event_json(iocs: DataFrame, case: Column | None = None, info: str = "Phishing email") -> DataFrame:
-    """One event object per case, holding its attributes."""
-    rows = attribute_json(iocs) if case is None else attribute_json(iocs.withColumn("kind", F.col("kind")))
-    packed = F.concat_ws(",", F.array_sort(F.collect_list("attribute")))
-    return rows.groupBy().agg(F.concat(F.lit('{"Event":{"info":"' + info + '","analysis":"2","threat_level_id":"2","Attribute":['), packed, F.lit("]}}")).alias("event"))
+def event_json(iocs: DataFrame, info: str = "Phishing email") -> DataFrame:
+    """case_key and one event object per case, holding its attributes in order; without a column case_key all are one case."""
+    own = "case_key" in iocs.columns
+    t = _lookup(EXCHANGE_TYPES, F.col("kind"))
+    rows = iocs.select(F.col("case_key") if own else F.lit("").alias("case_key"), "kind", "value", t.alias("t")).where(F.col("t").isNotNull()).distinct()
+    attribute = F.struct(
+        F.col("t").alias("type"), F.when(F.col("kind").contains("attachment"), "Payload delivery").otherwise("Network activity").alias("category"), refang(F.col("value")).alias("value"),
+        F.col("t").isin("url", "domain", "sha256", "md5", "sha1", "ip-src").alias("to_ids"), F.col("kind").alias("comment"))
+    event = F.struct(F.lit(info).alias("info"), F.lit("2").alias("analysis"), F.lit("2").alias("threat_level_id"), F.array_sort(F.collect_list(attribute)).alias("Attribute"))
+    return rows.groupBy("case_key").agg(F.to_json(F.struct(event.alias("Event"))).alias("event"))
 
 
 def pattern_rows(iocs: DataFrame) -> DataFrame:
@@ -81,29 +86,45 @@ COMPANIONS = [
 ]
 
 
+# Sensor lines of each finding family, and the note for what a sensor cannot match.
+SOURCE_LINE = 'alert ip {src} any -> $HOME_NET any (msg:"LOCAL {title}"; metadata:policy security-ips drop, finding {rule}; classtype:attempted-recon;'
+DESTINATION_LINE = ('alert ip $HOME_NET any -> {dst} {port} (msg:"LOCAL C2/Exfil destination contacted - {title}"; metadata:finding {rule}; classtype:trojan-activity; '
+                    'priority:{priority};')
+DOMAIN_LINE = ('alert udp $HOME_NET any -> any 53 (msg:"LOCAL DNS tunnelling domain {entity}"; content:"{labels}"; nocase; metadata:finding {rule}; '
+               'classtype:trojan-activity; priority:1;')
+LONG_NAME_LINE = ('alert udp $HOME_NET any -> any 53 (msg:"LOCAL Oversized DNS query name - possible tunnelling"; dsize:>150; '
+                  'threshold:type threshold, track by_src, count 20, seconds 60; classtype:policy-violation; priority:2;')
+EXPOSED_LINE = ('alert tcp $EXTERNAL_NET any -> {dst} {port} (msg:"LOCAL Inbound to exposed {service}"; flags:S; threshold:type limit, track by_src, count 1, seconds 300; '
+                'classtype:attempted-admin; priority:1;')
+MITM_NOTE = "# {rule}: {title} -- not a matter for sensor rules; compare ARP replies with the authoritative list of hosts and MACs"
+
+
+def _line(template: str, **columns: Column) -> Column:
+    """A template with its named places filled from columns."""
+    parts = []
+    for piece in template.replace("}", "{").split("{"):
+        parts.append(columns[piece] if len(parts) % 2 else F.lit(piece))
+    return F.concat(*parts)
+
+
 def ids_rules(findings: DataFrame, start_sid: int = 1000001) -> DataFrame:
     """Sensor rule lines per finding family, one per key, numbered from start_sid: sid, rule."""
     rid, m = F.col("rule_id"), F.col("metrics")
-    msg = _esc(F.col("title"))
-    prio = F.when(F.col("severity_rank") >= 3, 1).when(F.col("severity_rank") == 2, 2).when(F.col("severity_rank") == 1, 3).otherwise(4).cast("string")
+    rank = F.col("severity_rank")
     port = F.coalesce(m["port"], m["dst_port"])
-
-    def line(key, *parts):
-        return F.struct(key.alias("key"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("body"))
-    src = F.when((F.col("src_ip") != "") & rid.rlike("^NSM-(?:SCAN|CRED|WEB)"), F.array(line(
-        F.concat(F.lit("1src:"), "src_ip"), "alert ip ", F.col("src_ip"), ' any -> $HOME_NET any (msg:"LOCAL ', msg, '"; metadata:policy security-ips drop, finding ', rid, "; classtype:attempted-recon;")))
-    dst = F.when((F.col("dst_ip") != "") & rid.rlike("^NSM-(?:C2|EXFIL)"), F.array(line(
-        F.concat_ws(":", F.lit("2dst"), "dst_ip", F.coalesce(port, F.lit("any"))), "alert ip $HOME_NET any -> ", F.col("dst_ip"), " ", F.coalesce(port, F.lit("any")),
-        ' (msg:"LOCAL C2/Exfil destination contacted - ', msg, '"; metadata:finding ', rid, "; classtype:trojan-activity; priority:", prio, ";")))
-    labels = F.transform(F.split(_esc(F.col("entity")), r"\."), lambda l: F.concat(F.lit("|"), F.lpad(F.lower(F.hex(F.length(l))), 2, "0"), F.lit("|"), l))
-    dns = F.when(rid == "NSM-EXFIL-001", F.array(
-        line(F.concat(F.lit("3dns:"), "entity", F.lit(":a")), 'alert udp $HOME_NET any -> any 53 (msg:"LOCAL DNS tunnelling domain ', _esc(F.col("entity")), '"; content:"', F.array_join(labels, ""),
-             '"; nocase; metadata:finding ', rid, "; classtype:trojan-activity; priority:1;"),
-        line(F.concat(F.lit("3dns:"), "entity", F.lit(":b")), 'alert udp $HOME_NET any -> any 53 (msg:"LOCAL Oversized DNS query name - possible tunnelling"; dsize:>150; '
-             "threshold:type threshold, track by_src, count 20, seconds 60; classtype:policy-violation; priority:2;")))
+    known = {"rule": rid, "title": _esc(F.col("title")), "src": F.col("src_ip"), "dst": F.col("dst_ip"), "entity": _esc(F.col("entity")),
+             "priority": F.when(rank >= 3, 1).when(rank == 2, 2).when(rank == 1, 3).otherwise(4).cast("string")}
+
+    def line(key, template, **more):
+        return F.struct(key.alias("key"), _line(template, **known, **more).alias("body"))
+    any_port = F.coalesce(port, F.lit("any"))
+    src = F.when((F.col("src_ip") != "") & rid.rlike("^NSM-(?:SCAN|CRED|WEB)"), F.array(line(F.concat(F.lit("1src:"), "src_ip"), SOURCE_LINE)))
+    dst = F.when((F.col("dst_ip") != "") & rid.rlike("^NSM-(?:C2|EXFIL)"), F.array(line(F.concat_ws(":", F.lit("2dst"), "dst_ip", any_port), DESTINATION_LINE, port=any_port)))
+    labels = F.transform(F.split(known["entity"], r"\."), lambda x: F.concat(F.lit("|"), F.lpad(F.lower(F.hex(F.length(x))), 2, "0"), F.lit("|"), x))
+    dns = F.when(rid == "NSM-EXFIL-001", F.array(line(F.concat(F.lit("3dns:"), "entity", F.lit(":a")), DOMAIN_LINE, labels=F.array_join(labels, "")),
+                                                 line(F.concat(F.lit("3dns:"), "entity", F.lit(":b")), LONG_NAME_LINE)))
     perim = F.when((rid == "NSM-PERIM-001") & port.isNotNull(), F.array(line(
-        F.concat_ws(":", F.lit("4perim"), "dst_ip", port), "alert tcp $EXTERNAL_NET any -> ", F.col("dst_ip"), " ", port, ' (msg:"LOCAL Inbound to exposed ', _esc(F.coalesce(m["service"], F.lit("service"))),
-        '"; flags:S; threshold:type limit, track by_src, count 1, seconds 300; classtype:attempted-admin; priority:1;')))
+        F.concat_ws(":", F.lit("4perim"), "dst_ip", port), EXPOSED_LINE, port=port, service=_esc(F.coalesce(m["service"], F.lit("service"))))))
     none = F.array().cast("array<struct<key:string,body:string>>")
     rows = findings.select(F.explode(F.concat(*[F.coalesce(x, none) for x in (src, dst, dns, perim)])).alias("x")).select("x.*")
     one = rows.groupBy("key").agg(F.min("body").alias("body"))
@@ -112,6 +133,12 @@ def ids_rules(findings: DataFrame, start_sid: int = 1000001) -> DataFrame:
     return out.select("sid", F.concat("body", F.lit(" sid:"), F.col("sid").cast("string"), F.lit("; rev:1;)")).alias("rule"))
 
 
+def ids_notes(findings: DataFrame) -> DataFrame:
+    """Comment lines for findings that no sensor rule can express, one per rule: rule_id, line."""
+    rows = findings.where(F.col("rule_id").startswith("NSM-MITM")).select("rule_id", _esc(F.col("title")).alias("title")).distinct()
+    return rows.select("rule_id", _line(MITM_NOTE, rule=F.col("rule_id"), title=F.col("title")).alias("line"))
+
+
 def acl_rules(findings: DataFrame, target: str, floor: str = "medium") -> DataFrame:
     """Deny lines for the attackers of the findings: pos, line. Only src_ip is an attacker address."""
     if target not in ACL_TARGETS:

@@ -348,8 +348,8 @@ def dns_race(ev, cfg):
     n = told.groupBy("dns_query").agg(F.countDistinct("dns_answer").alias("answer_count")).where(F.col("answer_count") >= 2)
     out = (racing.join(n, "dns_query").withColumn("severity", F.lit("high")).withColumn("confidence", F.lit("high"))
            .withColumnRenamed("dns_query", "entity"))
-    told = told.withColumnRenamed("dns_query", "entity")
-    return found(out, listed("distinct_answers", told, ["entity"], "dns_answer"), events=told, keys=["entity"])
+    rows = rows.withColumnRenamed("dns_query", "entity").join(out.select("entity"), "entity", "left_semi")
+    return found(out, listed("distinct_answers", rows, ["entity"], "dns_answer"), events=rows, keys=["entity"])
 
 
 @rule("net", "NSM-MITM-005", "Very short DNS lifetimes", "Command & Control", ["T1557", "T1568.001"], reads="dns")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentrylake.functions import packet as pk
 from sentrylake.operators.pkt_rules import ftp_logins
 from sentrylake.operators.rulebook import bounds
+from sentrylake.session import staged
 
 # Fields the keyword search looks into.
 KEYWORD_FIELDS = ["http.request.uri", "http.host", "http.user_agent", "http.file_data", "ftp.request.arg", "ftp.response.arg",
@@ -98,51 +99,79 @@ def _leases(p: DataFrame):
     return rows, leased
 
 
+def host_facts(p: DataFrame) -> DataFrame:
+    """What packets say of hosts, from one pass: key, kind, value, n, bytes, first_us, last_us, last_event and syn.
+
+    The key is an address, with kinds sent, recv, seen, owner, syn, mac, name and port, or a hardware address,
+    with kinds lease and claim. Each packet gives a row for each fact; facts are counted before they are shuffled, so a
+    host with most of the traffic is a few rows a task, and one with very many names is only many rows."""
+    src, dst, arp_ip, owner = F.col("src_ip"), F.col("dst_ip"), pk.field("arp.src.proto_ipv4"), pk.nbns_owner()
+    arp = F.coalesce(F.col("proto") == "arp", F.lit(False))
+    plain = ~arp & (src != "")
+    arp = arp & (arp_ip != "")
+    to = plain & (dst != "")
+    syn = plain & (F.col("proto") == "tcp") & (pk.number("tcp.flags.syn") == 1)
+    ttl, mac = F.coalesce(pk.number("ip.ttl"), pk.number("ipv6.hlim")), pk.field("dhcp.hw.mac_addr")
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+
+    def fact(when, key, kind, value=none, size=zero, timed=False, said=False):
+        ok = when if not said else when & (value != "") & key.isNotNull()
+        stamp = F.col("ts_us") if timed else F.lit(None).cast("bigint")
+        first = kind == "syn"
+        return F.when(ok, F.struct(key.alias("key"), F.lit(kind).alias("kind"), value.alias("value"), size.cast("bigint").alias("bytes"), stamp.alias("ts_us"),
+                                   (ttl if first else F.lit(None)).cast("int").alias("ttl"), (pk.number("tcp.window_size") if first else F.lit(None)).cast("int").alias("win")))
+    every = [
+        fact(plain, src, "sent", size=F.col("length"), timed=True), fact(to, dst, "recv", size=F.col("length"), timed=True), fact(arp, arp_ip, "seen", timed=True),
+        fact(owner.isNotNull(), owner, "owner"), fact(syn & (pk.number("tcp.flags.ack") == 0) & ttl.isNotNull(), src, "syn"),
+        fact(arp, arp_ip, "mac", pk.field("arp.src.hw_mac"), said=True), fact(plain & pk.unicast_mac(F.col("src_mac")), src, "mac", F.col("src_mac"), said=True),
+        fact(to & pk.unicast_mac(F.col("dst_mac")), dst, "mac", F.col("dst_mac"), said=True),
+        fact(plain, src, "name", pk.field("dhcp.option.hostname"), said=True), fact(plain & owner.isNotNull(), owner, "name", pk.field("nbns.name"), said=True),
+        fact(to, dst, "name", pk.field("http.host"), said=True), fact(plain, src, "name", F.regexp_replace(pk.field("kerberos.hostname"), r"\$+$", ""), said=True),
+        fact(syn & (pk.number("tcp.flags.ack") == 1), src, "port", F.lpad(F.col("src_port").cast("string"), 5, "0"), said=True),
+        fact((mac != "") & (pk.number("dhcp.option.dhcp") == 5), mac, "lease", pk.field("dhcp.yiaddr"), said=True), fact(mac != "", mac, "claim", pk.field("dhcp.option.hostname"), said=True)]
+    flat = p.select("event_id", F.explode(F.array_compact(F.array(*every))).alias("f")).select("event_id", "f.*")
+    return flat.groupBy("key", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max("event_id").alias("last_event"),
+        F.min(F.when(F.col("kind") == "syn", F.struct("event_id", "ttl", "win"))).alias("syn"))
+
+
 def hosts(p: DataFrame) -> DataFrame:
     """One row per address: MACs, names, ports answering SYN, system guess, traffic both ways."""
-    not_arp = p.where(~F.coalesce(F.col("proto") == "arp", F.lit(False)) & (F.col("src_ip") != ""))
-    arp = p.where((F.col("proto") == "arp") & (pk.field("arp.src.proto_ipv4") != ""))
-    is_syn = (F.col("proto") == "tcp") & (pk.number("tcp.flags.syn") == 1)
-    ttl = F.coalesce(pk.number("ip.ttl"), pk.number("ipv6.hlim"))
-    one, zero = F.lit(1), F.lit(0)
-    sent = not_arp.select(F.col("src_ip").alias("ip"), "ts_us", one.alias("sent"), F.col("length").alias("sent_b"), zero.alias("recv"), zero.alias("recv_b"),
-                          F.when(is_syn & (pk.number("tcp.flags.ack") == 0) & ttl.isNotNull(),
-                                 F.struct("event_id", ttl.alias("ttl"), pk.number("tcp.window_size").alias("win"))).alias("syn"))
-    recv = not_arp.where(F.col("dst_ip") != "").select(F.col("dst_ip").alias("ip"), "ts_us", zero.alias("sent"), zero.alias("sent_b"), one.alias("recv"),
-                                                       F.col("length").alias("recv_b"))
-    seen = arp.select(pk.field("arp.src.proto_ipv4").alias("ip"), "ts_us", zero.alias("sent"), zero.alias("sent_b"), zero.alias("recv"), zero.alias("recv_b"))
-    rows, leased = _leases(p)
-    claimed = rows.where(pk.field("dhcp.option.hostname") != "").groupBy(pk.field("dhcp.hw.mac_addr").alias("mac")).agg(
-        F.max_by(pk.field("dhcp.option.hostname"), "event_id").alias("name")).join(leased, "mac")
-    named_lease = claimed.select(F.col("leased").alias("ip"))
-    base = sent.unionByName(recv, allowMissingColumns=True).unionByName(seen, allowMissingColumns=True).unionByName(named_lease, allowMissingColumns=True)
-    owned = p.select(pk.nbns_owner().alias("ip")).where(F.col("ip").isNotNull())
-    base = base.unionByName(owned, allowMissingColumns=True)
-    out = base.groupBy("ip").agg(F.coalesce(F.sum("sent"), zero).alias("packets_sent"), F.coalesce(F.sum("sent_b"), zero).alias("bytes_sent"),
-                                 F.coalesce(F.sum("recv"), zero).alias("packets_recv"), F.coalesce(F.sum("recv_b"), zero).alias("bytes_recv"), *bounds(), F.min("syn").alias("syn"))
+    facts = staged(host_facts(p))
+
+    def latest(kind, out):
+        return facts.where(F.col("kind") == kind).groupBy("key").agg(F.max_by("value", "last_event").alias(out))
+    # A name that a client gave belongs to the address that it was leased.
+    named = latest("claim", "name").join(latest("lease", "leased"), "key")
+    given = F.array(F.struct(F.lit("owner").alias("kind"), F.lit(None).cast("string").alias("value")), F.struct(F.lit("mac").alias("kind"), F.col("key").alias("value")),
+                    F.struct(F.lit("name").alias("kind"), F.col("name").alias("value")))
+    more = named.select(F.col("leased").alias("key"), F.explode(given).alias("x")).select("key", "x.*")
+    rows = facts.where(~F.col("kind").isin("lease", "claim")).unionByName(more, allowMissingColumns=True)
+
+    def total(kind, what):
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(what))), F.lit(0))
+
+    def values(kind):
+        return F.when(F.max(F.col("kind").isin("mac", "name", "port")), F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("value")))))
+    out = rows.groupBy(F.col("key").alias("ip")).agg(
+        total("sent", "n").alias("packets_sent"), total("sent", "bytes").alias("bytes_sent"), total("recv", "n").alias("packets_recv"), total("recv", "bytes").alias("bytes_recv"),
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.min("syn").alias("syn"),
+        values("mac").alias("macs"), values("name").alias("hostnames"), F.transform(values("port"), lambda x: x.cast("int")).alias("open_ports"))
     hint = pk.window_hint(F.col("syn.win"))
-    out = out.withColumn("os_guess", F.when(F.col("syn").isNotNull(), F.concat(pk.ttl_bucket(F.col("syn.ttl")), F.coalesce(
+    return out.withColumn("os_guess", F.when(F.col("syn").isNotNull(), F.concat(pk.ttl_bucket(F.col("syn.ttl")), F.coalesce(
         F.concat(F.lit(" -- consistent with "), hint), F.lit(""))))).withColumn(
         "os_confidence", F.when(F.col("syn").isNotNull(), F.when(hint.isNotNull(), "medium").otherwise("low"))).drop("syn")
 
-    def fact(df, ip, value, kind):
-        return df.select(ip.alias("ip"), value.alias("v")).where(F.col("v").isNotNull() & (F.col("v") != "") & F.col("ip").isNotNull()).withColumn("kind", F.lit(kind))
-    src, dst = F.col("src_ip"), F.col("dst_ip")
-    host = fact(not_arp, src, pk.field("dhcp.option.hostname"), "name")
-    facts = [fact(arp, pk.field("arp.src.proto_ipv4"), pk.field("arp.src.hw_mac"), "mac"),
-             fact(not_arp.where(pk.unicast_mac(F.col("src_mac"))), src, F.col("src_mac"), "mac"),
-             fact(not_arp.where(pk.unicast_mac(F.col("dst_mac")) & (dst != "")), dst, F.col("dst_mac"), "mac"),
-             fact(claimed, F.col("leased"), F.col("mac"), "mac"), fact(claimed, F.col("leased"), F.col("name"), "name"),
-             fact(not_arp.where(pk.nbns_owner().isNotNull()), pk.nbns_owner(), pk.field("nbns.name"), "name"),
-             fact(not_arp.where(dst != ""), dst, pk.field("http.host"), "name"),
-             fact(not_arp, src, F.regexp_replace(pk.field("kerberos.hostname"), r"\$+$", ""), "name"),
-             fact(not_arp.where(is_syn & (pk.number("tcp.flags.ack") == 1)), src, F.lpad(F.col("src_port").cast("string"), 5, "0"), "port")]
-    for f in facts:
-        host = host.unionByName(f)
-    sets = host.distinct().groupBy("ip").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("v")))).alias(n) for k, n in
-                                               (("mac", "macs"), ("name", "hostnames"), ("port", "open_ports"))])
-    sets = sets.withColumn("open_ports", F.transform("open_ports", lambda x: x.cast("int")))
-    return out.join(sets, "ip", "left")
+
+def top_hosts(found: DataFrame, n: int = 25) -> DataFrame:
+    """The hosts with most traffic, sent and received: a report's ranking of the whole table."""
+    return largest(found.withColumn("bytes", F.col("bytes_sent") + F.col("bytes_recv")), "bytes", n, "ip")
+
+
+def top_conversations(found: DataFrame, n: int = 15) -> DataFrame:
+    """The conversations with most bytes, the longer first if equal."""
+    ordered = found.withColumn("duration_us", F.col("last_us") - F.col("first_us"))
+    return ordered.orderBy(F.desc("bytes"), F.desc("duration_us"), "proto", "a_addr", "a_port", "b_addr", "b_port").limit(n)
 
 
 def identity(p: DataFrame) -> DataFrame:

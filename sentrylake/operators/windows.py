@@ -188,6 +188,18 @@ def exact_median(values: DataFrame, keys: list[str], value: str, width: int,
     return ranked.groupBy(*keys).agg((lower + upper).alias(out))
 
 
+def exact_percentile(values: DataFrame, keys: list[str], value: str, share: float, width: int, out: str = "percentile") -> DataFrame:
+    """The exact percentile (share of 0 to 1) of an integer column per key, between two neighbours in proportion to
+    their distance. Values are counted first, so a key with most of the rows is one row per distinct value."""
+    freq = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    totals = freq.groupBy(*keys).agg(((F.sum("_c") - 1) * share).alias("_k"))
+    ranked = running_total(freq, keys, value, "_c", width, "_cum").join(totals, keys)
+    lower = F.min(F.when(F.col("_cum") > F.floor("_k"), F.col(value)))
+    upper = F.min(F.when(F.col("_cum") > F.ceil("_k"), F.col(value)))
+    part = F.max(F.col("_k") - F.floor("_k"))
+    return ranked.groupBy(*keys).agg((lower + (upper - lower) * part).cast("double").alias(out))
+
+
 # --- consecutive batches -------------------------------------------------------------
 
 def _chain_ends(keys: list[str], wide: int, chunk_us: int):

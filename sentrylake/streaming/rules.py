@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sentrylake.session import staged
 from sentrylake.sources.netlogs import PARSERS
 from sentrylake.functions.text import compute_once
 
@@ -87,18 +88,36 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "10 minutes") ->
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def append_findings(path: str):
-    """foreachBatch sink that stores a finding once: a batch replaces its own folder, so a repeated batch adds
-    nothing twice, and leaves out what earlier batches have stored."""
+def append_findings(path: str, buckets: int = 256, keep: int | None = None):
+    """foreachBatch sink that stores a finding once: a batch replaces its own folders, so a repeated batch adds
+    nothing twice, and leaves out what earlier batches have stored.
+
+    Beside the findings (path/epoch=n) the ids are stored by bucket (path/_ids/epoch=n/bucket=b), and a batch reads only the
+    buckets that its own ids fall into, one narrow column of them. With keep, only the ids of so many batches
+    back are looked at, so the store may be cleared of older ones; a finding that comes again later is then new."""
+    bucket = F.pmod(F.xxhash64("finding_id"), F.lit(buckets)).cast("int").alias("bucket")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(["finding_id"])
+        spark = batch.sparkSession
+        new = staged(batch.dropDuplicates(["finding_id"]))
+        ids = new.select("finding_id", bucket)
         if epoch > 0:
-            stored = batch.sparkSession.read.schema("finding_id string, epoch bigint").parquet(path).where(F.col("epoch") < epoch)
-            new = new.join(stored.select("finding_id"), "finding_id", "left_anti").select(*batch.columns)
+            own = [r.bucket for r in ids.select("bucket").distinct().collect()]  # at most `buckets` numbers
+            told = stored_ids(spark, path, own, epoch, keep).select("finding_id", "bucket")
+            ids = staged(ids.join(told, ["bucket", "finding_id"], "left_anti").select("finding_id", "bucket"))
+            new = new.join(ids.select("finding_id"), "finding_id", "left_semi").select(*batch.columns)
         new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        ids.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_ids/epoch={epoch}")
     return write
 
 
+def stored_ids(spark: SparkSession, path: str, buckets: list[int], epoch: int, keep: int | None = None) -> DataFrame:
+    """The ids that batches before this one have stored in these buckets, by partition pruning."""
+    told = spark.read.schema("finding_id string, epoch bigint, bucket int").parquet(f"{path}/_ids")
+    told = told.where((F.col("epoch") < epoch) & F.col("bucket").isin(buckets))
+    return told if keep is None else told.where(F.col("epoch") >= epoch - keep)
+
+
 def drain(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()

@@ -140,6 +140,7 @@ k AS (SELECT '1src:' || src_ip AS key, 'alert ip ' || src_ip || ' any -> $HOME_N
     || '"; flags:S; threshold:type limit, track by_src, count 1, seconds 300; classtype:attempted-admin; priority:1;' FROM fi WHERE rule_id = 'NSM-PERIM-001'
   UNION ALL SELECT unnest({[f'9{i}' for i in range(5)]}), unnest({ex.COMPANIONS})), o AS (SELECT key, min(body) AS body FROM k GROUP BY key), n AS (SELECT 1000000 + row_number() OVER (ORDER BY key) AS sid, body FROM o)
 SELECT sid, body || ' sid:' || sid || '; rev:1;)' AS rule FROM n"""),
+    Case("ids_notes", lambda s, sf: ex.ids_notes(findings(s, sf)), "rule_id:s line:s", FI + " SELECT DISTINCT rule_id, '# ' || rule_id || ': ' || title || ' -- not a matter for sensor rules; compare ARP replies with the authoritative list of hosts and MACs' AS line FROM fi WHERE rule_id LIKE 'NSM-MITM%'"),
     Case("case_verdict", lambda s, sf: co.case_verdicts(ev.win_results(s, sf).findings), "case_key:s findings:i level:s worst_count:i info:i low:i medium:i high:i critical:i", ev.windows_sql() + """,
 g AS (SELECT case_key, count(*) AS findings, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'medium') AS medium,
   count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'critical') AS critical FROM wf GROUP BY 1)

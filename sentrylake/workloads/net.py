@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sentrylake.config import NetConfig
 from sentrylake.operators import net_access as na
 from sentrylake.operators import net_channels as nc
+from sentrylake.operators.windows import exact_percentile
 from sentrylake.workloads.base import DUCK, Case
 from sentrylake.workloads.netviews import VIEWS, events
 
@@ -152,6 +153,8 @@ met AS (SELECT a.event_id AS login_id, h.dst_ip, h.dst_port, h.ts_us FROM au a J
   WHERE a.action = 'success' AND a.assigned_ip IS NOT NULL)
 SELECT login_id, 'target' AS kind, dst_ip AS value, count(*) AS n, {TIMES} FROM met GROUP BY 1, 3
 UNION ALL SELECT login_id, 'port', CAST(dst_port AS VARCHAR), count(*), min(ts_us), max(ts_us) FROM met WHERE dst_port IS NOT NULL GROUP BY 1, 3"""),
+    Case("flow_percentiles", lambda spark, sf: exact_percentile(events(spark, sf, "flow"), ["src_ip"], "bytes_out", 0.95, 1 << 14), "src_ip:s percentile:d",
+         w("flow") + " SELECT src_ip, quantile_cont(bytes_out, 0.95) AS percentile FROM ev GROUP BY src_ip"),
     Case("c2_beacon", q("beat", nc.c2_beacon),
          "src_ip:s dst_ip:s dst_port:i connections:i period_seconds:d jitter_ratio:d mad_ratio:d size_cv:d ids_confirmed:b score:i severity:s confidence:s first_us:i last_us:i",
          w("beat") + f""",

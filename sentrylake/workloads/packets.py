@@ -151,6 +151,12 @@ UNION ALL SELECT * FROM (SELECT 'user_agent', f_ua, count(*) FROM ev WHERE f_ua
     Case("pkt_summary", st(ps.capture_summary), "packet_count:i total_bytes:i duration_seconds:d", W + " SELECT count(*) AS packet_count, sum(length) AS total_bytes, round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_seconds FROM ev"),
     Case("pkt_conversations", st(ps.conversations), "proto:s a_addr:s a_port:i b_addr:s b_port:i packets:i bytes:i first_us:i last_us:i",
          W + f" SELECT proto, src_ip AS a_addr, src_port AS a_port, dst_ip AS b_addr, dst_port AS b_port, count(*) AS packets, sum(length) AS bytes, {TIMES} FROM ev WHERE proto IN ('tcp', 'udp') GROUP BY 1, 2, 3, 4, 5"),
+    Case("pkt_top_conversations", lambda s, d: ps.top_conversations(ps.conversations(events(s, d))), "proto:s a_addr:s a_port:i b_addr:s b_port:i packets:i bytes:i first_us:i last_us:i",
+         W + f""" SELECT proto, src_ip AS a_addr, src_port AS a_port, dst_ip AS b_addr, dst_port AS b_port, count(*) AS packets, sum(length) AS bytes, {TIMES} FROM ev WHERE proto IN ('tcp', 'udp') GROUP BY 1, 2, 3, 4, 5
+ORDER BY bytes DESC, last_us - first_us DESC, 1, 2, 3, 4, 5 LIMIT 15"""),
+    Case("pkt_top_hosts", lambda s, d: ps.top_hosts(ps.hosts(events(s, d))), "ip:s packets_sent:i bytes_sent:i packets_recv:i bytes_recv:i bytes:i", W + """,
+b AS (SELECT src_ip AS ip, 1 AS s, length AS sb, 0 AS r, 0 AS rb FROM ev WHERE src_ip IS NOT NULL UNION ALL SELECT dst_ip, 0, 0, 1, length FROM ev WHERE dst_ip IS NOT NULL)
+SELECT ip, sum(s) AS packets_sent, sum(sb) AS bytes_sent, sum(r) AS packets_recv, sum(rb) AS bytes_recv, sum(sb) + sum(rb) AS bytes FROM b GROUP BY ip ORDER BY bytes DESC, ip LIMIT 25"""),
     Case("pkt_resolved", st(ps.resolved), "address:s names:l", W + " SELECT address, list_sort(list(DISTINCT f_q)) AS names FROM (SELECT f_q, unnest(string_split(f_a, ',')) AS address FROM ev WHERE f_q IS NOT NULL AND f_qt = '1') GROUP BY 1"),
     Case("pkt_hosts", st(ps.hosts), "ip:s packets_sent:i bytes_sent:i packets_recv:i bytes_recv:i os_guess:s os_confidence:s macs:l hostnames:l open_ports:l first_us:i last_us:i", W + """,
 le AS (SELECT f_dm AS mac, arg_max(f_yi, event_id) AS ip FROM ev WHERE f_dh = '5' GROUP BY 1), cl AS (SELECT f_dm AS mac, arg_max(f_hn, event_id) AS name FROM ev WHERE f_hn IS NOT NULL GROUP BY 1), lc AS (SELECT * FROM le JOIN cl USING (mac)),

@@ -38,7 +38,16 @@ def in_batches(spark, sf, files=6):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def stored_once(spark, sf):
+    """Failures as findings, one per user and day, in several batches that repeat each other; what the sink has stored."""
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = in_batches(spark, sf, 3).select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("finding_id"), "user_id")
+    rows.writeStream.foreachBatch(sr.append_findings(f"{work}/rows", 16)).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("finding_id string, user_id bigint").parquet(f"{work}/rows")
+
+
 CASES = [
+    Case("stream_sink", stored_once, "finding_id:s user_id:i", """SELECT DISTINCT user_id || ':' || strftime(ts, '%Y-%m-%d') AS finding_id, user_id FROM events WHERE event_type = 'error'"""),
     Case("stream_bruteforce", lambda s, d: drained(s, sr.sliding_counts(fails(s, d), ["user_id"], "2 days", "1 day", 3, "1 day")).select(
         "user_id", F.unix_micros("start").alias("start_us"), "n"), "user_id:i start_us:i n:i"),
     Case("stream_exact_window", lambda s, d: sr.settled(drained(s, sr.exact_windows(in_batches(s, d), "user_id", 2 * DAY * 1_000_000, 3, "60 days"))), "key:s run_end:i run_n:i", f"""

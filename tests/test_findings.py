@@ -18,6 +18,12 @@ from sentrylake.workloads import net as netq
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def direct(spark):
+    """All network rules, each over all events."""
+    return rb.run_all("net", everything.net_rows(spark, SF), netq.CFG)
+
+
 def sweep(src, hosts, start):
     return [flow(src, f"10.1.0.{h}", 445, start + i, "allow") for i, h in enumerate(hosts)]
 
@@ -54,9 +60,8 @@ def test_a_failure_at_run_time_costs_one_rule(spark):
     assert {r.rule_id for r in got.items.collect()} == {"NSM-CRED-001"}
 
 
-def test_routes_change_no_result(spark):
-    ev = everything.net_rows(spark, SF)
-    direct, routed = rb.run_all("net", ev, netq.CFG), everything.net_results(spark, SF)
+def test_routes_change_no_result(spark, direct):
+    routed = everything.net_results(spark, SF)
     assert not direct.failed and not routed.failed
     key = ["rule_id", "finding_id"]
     assert sorted(direct.findings.select(*key).collect()) == sorted(routed.findings.select(*key).collect())
@@ -76,10 +81,9 @@ def test_events_are_read_once(spark):
     assert "PartitionFilters: [isnotnull(route" in plan and "signature" not in plan
 
 
-def test_every_rule_tells_its_events(spark):
+def test_every_rule_tells_its_events(spark, direct):
     """An event that a finding refers to exists, and every finding with events in its rule refers to one."""
-    ev = everything.net_rows(spark, SF)
-    got = rb.run_all("net", ev, netq.CFG)
+    ev, got = everything.net_rows(spark, SF), direct
     refs = got.items.where("kind = 'event'")
     assert refs.join(ev.select("event_id"), "event_id", "left_anti").isEmpty()
     assert got.findings.join(refs.select("finding_id"), "finding_id", "left_anti").isEmpty()
