@@ -109,9 +109,9 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
 
 
 def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
-    """(a, b, ca, cb, score): for nodes b of a group, nodes a before it, of other components, that the tables allow
-    to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best,
-    otherwise the first `most`. rows: key, i, j, block, node, n, table, c, no."""
+    """(a, b, ca, cb, score, more): for nodes b of a group, nodes a before it, of other components, that the tables allow
+    to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best, otherwise
+    the first `most`; more says that b may have others. rows: key, i, j, block, node, n, table, c, no."""
     def ask(key, block, node, n, tables, c, no):
         """One or several whole groups, sorted by group and node."""
         size = len(n)
@@ -142,7 +142,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
                             found[b] += 1
             d += 1
             alive = alive[(before[alive] >= d) & (found[alive] < most)]
-        return list(out.values())
+        return [(a, b, x, bool(found[b] >= most or most == 1)) for a, b, x in out.values()]
 
     def run(batches):
         kept, held = [], 0
@@ -160,8 +160,8 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
                 numbers = {x: i for i, x in enumerate(dict.fromkeys(c))}
                 pairs = ask(key[:cut], now.column("block").to_numpy(), node, now.column("n").to_numpy(), now.column("table").to_pylist(), np.array([numbers[x] for x in c]), [x or () for x in now.column("no").to_pylist()])
                 if pairs:
-                    a, b, score = zip(*pairs)
-                    answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score)], ["a", "b", "ca", "cb", "score"])
+                    a, b, score, more = zip(*pairs)
+                    answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score), pa.array(more)], ["a", "b", "ca", "cb", "score", "more"])
             return answer, merged.slice(cut).to_batches()
 
         for batch in batches:
@@ -178,7 +178,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
                 yield answer
 
     grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double")
+    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -254,9 +254,9 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
     pair is in one component or was compared.
 
     lists: key, early, node; early marks the lists of the first round. nodes: node, n, table, digest. In a round each node
-    asks the one other of its lists that may be closest (later 4, 16, ...), whole sets are compared for what was
-    asked, and components join. Lists within one component are left out from then on. Pairs that fail are
-    remembered at their nodes and not asked again, so rounds end; the last one has nobody left to ask."""
+    asks the one other of its lists that may be closest (from the third round on 64 a list, then 4,096 ...), whole sets
+    are compared for what was asked, and components join. Lists within one component are left out from then on. Pairs
+    that fail are remembered at their nodes and not asked again, so rounds end: with one in which all that is left was asked."""
     nodes = staged(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "table", "digest"))
     sets = _sets(df, text, width, nodes.select("digest"))
     labels = nodes.select("node", F.col("node").alias("component"))
@@ -279,15 +279,14 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
             facts = facts.join(_few(staged(failed.groupBy("node").agg(F.collect_set("other").alias("no")))), "node", "left")
         asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole)
         if most == 1:
-            asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb")
+            asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb", F.lit(True).alias("more"))
         else:
-            asked = asked.drop("score").dropDuplicates(["a", "b"])
+            asked = asked.groupBy("a", "b", "ca", "cb").agg(F.max("more").alias("more"))
         pairs = staged(asked)
-        if pairs.isEmpty():
-            if turn:
-                break
-        else:
-            result = staged(_compared(pairs, sets, part, whole))
+        # Nobody asks, or everybody asks all there are: no other pair is left to compare.
+        last = turn > 0 and pairs.where("more").isEmpty()
+        if not pairs.isEmpty():
+            result = staged(_compared(pairs.drop("more"), sets, part, whole))
             good = result.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             if not good.isEmpty():
                 joined = _merged(good).select(F.col("node").alias("component"), F.col("component").alias("to"))
@@ -295,6 +294,7 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
             refused = result.where("NOT good").select(F.col("b").alias("node"), F.col("a").alias("other"))
             if not refused.isEmpty():
                 failed = refused if failed is None else failed.unionByName(refused)
+        if last:
+            return labels
         turn += 1
-        most = 1 if turn < 3 else most * 4
-    return labels
+        most = 1 if turn < 2 else most * 64
