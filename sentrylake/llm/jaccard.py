@@ -108,7 +108,7 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
     return found.join(again, "node", "left_anti").unionByName(found.join(again, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
+def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> DataFrame:
     """(a, b, ca, cb, score, more): for nodes b of a group, nodes a before it, of other components, that the tables allow
     to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best, otherwise
     the first `most`; more says that b may have others. rows: key, i, j, block, node, n, table, c, no."""
@@ -177,7 +177,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int) -> DataFrame:
             if answer:
                 yield answer
 
-    grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    grouped = rows.repartition("key", "i", "j").coalesce(tasks).sortWithinPartitions("key", "i", "j", "node")
     return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean")
 
 
@@ -186,7 +186,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int, tasks: int) -> DataFrame:
     """pairs (a, b, ca, cb) and `good`: whether their sets are as similar as part / whole."""
     def run(batches):
         for batch in batches:
@@ -199,7 +199,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataF
 
     own = sets.join(_few(pairs.select(F.col("a").alias("node"))), "node", "left_semi").select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     asking = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).join(_few(pairs), "b")
-    return asking.join(own, "a").select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a binary, b binary, ca binary, cb binary, good boolean")
+    return asking.join(own, "a").select("a", "b", "ca", "cb", "x", "y").coalesce(tasks).mapInArrow(run, "a binary, b binary, ca binary, cb binary, good boolean")
 
 
 def _merged(links: DataFrame) -> DataFrame:
@@ -263,6 +263,9 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
     crowded = staged(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD))
     crowded = None if crowded.isEmpty() else crowded
     left, failed = lists.select("key", "early", "node"), None
+    # Rounds handle fewer rows than there are shuffle partitions for; a task of Python has some thousands of rows at least.
+    size = lists.count()
+    few, tasks = max(8, size // 50_000), max(8, size // 10_000)
     turn, most = 0, 1
     while True:
         named = left.join(_few(labels.select("node", F.col("component").alias("c"))), "node")
@@ -270,27 +273,27 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
             rows = named.where("early")
         else:
             several = named.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("key")
-            left = rows = staged(named.join(several, "key", "left_semi"))
+            left = rows = staged(named.join(several, "key", "left_semi").coalesce(few))
             left = left.drop("c")
         facts = nodes.select("node", "n", "table")
         if failed is None:
             facts = facts.withColumn("no", F.lit(None).cast("array<binary>"))
         else:  # as many as a node was refused
             facts = facts.join(_few(staged(failed.groupBy("node").agg(F.collect_set("other").alias("no")))), "node", "left")
-        asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole)
+        asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole, tasks)
         if most == 1:
             asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb", F.lit(True).alias("more"))
         else:
             asked = asked.groupBy("a", "b", "ca", "cb").agg(F.max("more").alias("more"))
-        pairs = staged(asked)
+        pairs = staged(asked.coalesce(few))
         # Nobody asks, or everybody asks all there are: no other pair is left to compare.
         last = turn > 0 and pairs.where("more").isEmpty()
         if not pairs.isEmpty():
-            result = staged(_compared(pairs.drop("more"), sets, part, whole))
+            result = staged(_compared(pairs.drop("more"), sets, part, whole, tasks))
             good = result.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             if not good.isEmpty():
                 joined = _merged(good).select(F.col("node").alias("component"), F.col("component").alias("to"))
-                labels = staged(labels.join(_few(joined), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+                labels = staged(labels.join(_few(joined), "component", "left").select("node", F.coalesce("to", "component").alias("component")).coalesce(few))
             refused = result.where("NOT good").select(F.col("b").alias("node"), F.col("a").alias("other"))
             if not refused.isEmpty():
                 failed = refused if failed is None else failed.unionByName(refused)
