@@ -1,7 +1,7 @@
 """Tunable thresholds and site lists.
 
 The key names and defaults are the public settings of a site profile, so an
-existing profile file loads unchanged; unknown keys are ignored.
+existing profile file loads unchanged; keys that no rule reads are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ def _lst(*values):
 @dataclass
 class NetConfig(_Profile):
     home_nets: list = _lst("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7", "fe80::/10")
-    dmz_nets: list = _lst()
     vpn_pool_nets: list = _lst("10.8.0.0/16")
     known_resolvers: list = _lst("8.8.8.8", "8.8.4.4", "1.1.1.1")
     gateway_ips: list = _lst()
@@ -59,7 +58,6 @@ class NetConfig(_Profile):
     spray_window_s: int = 3600
     success_after_failures: int = 5
     success_after_window_s: int = 900
-    impossible_travel_min_countries: int = 2
     beacon_min_events: int = 8
     beacon_max_jitter: float = 0.35
     beacon_max_mad_ratio: float = 0.25
@@ -75,7 +73,6 @@ class NetConfig(_Profile):
     dns_suspicious_qtypes: list = _lst("TXT", "NULL", "CNAME", "MX", "ANY")
     dns_min_hosts_for_campaign: int = 2
     exfil_min_total_bytes: int = 50 * 1024 * 1024
-    exfil_window_s: int = 3600
     exfil_out_in_ratio: float = 5.0
     http_post_large_bytes: int = 600
     http_min_posts_to_new_domain: int = 5
@@ -111,9 +108,6 @@ class WinConfig(_Profile):
     run_key_markers: list = _lst("\\software\\microsoft\\windows\\currentversion\\run",
                                  "\\software\\microsoft\\windows\\currentversion\\runonce")
     download_dir_markers: list = _lst("\\downloads\\")
-    archive_extensions: list = _lst(".zip", ".rar", ".7z", ".cab")
-    executable_extensions: list = _lst(".exe", ".com", ".scr", ".cpl", ".bat", ".cmd", ".vbs", ".vbe",
-                                       ".js", ".jse", ".wsf", ".ps1", ".hta", ".msi")
     lnk_extension: str = ".lnk"
     lnk_to_execution_window_s: float = 120.0
     archive_to_execution_window_s: float = 600.0
@@ -137,7 +131,6 @@ class WinConfig(_Profile):
     stealer_window_s: float = 60.0
     tool_transfer_patterns: list = _lst("certutil.exe", "-urlcache", "curl.exe ", "invoke-webrequest", " iwr ",
                                         "downloadfile(", "downloadstring(", "bitsadmin")
-    known_browser_images: list = _lst("\\msedge.exe", "\\chrome.exe", "\\firefox.exe", "\\iexplore.exe")
     known_benign_network_images: list = _lst(
         "\\svchost.exe", "\\msedge.exe", "\\chrome.exe", "\\firefox.exe", "\\onedrive.exe", "\\searchapp.exe",
         "\\backgroundtaskhost.exe")
@@ -186,7 +179,4 @@ class PacketConfig(_Profile):
     bruteforce_min_failures: int = 5
     bruteforce_window_seconds: int = 120
     spray_min_targets: int = 5
-    spray_max_per_target: int = 3
-    spray_window_seconds: int = 300
     scanner_user_agents: list = _lst("sqlmap", "nmap", "wfuzz", "nikto", "nessus", "acunetix", "havij", "gobuster", "dirbuster")
-    acl_default_action: str = "deny"

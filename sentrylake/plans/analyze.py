@@ -14,7 +14,7 @@ from sentrylake.operators import correlate as co
 from sentrylake.operators import mail_rules as mr
 from sentrylake.operators import net_access, net_channels, pkt_rules, pkt_stats, win_rules  # noqa: F401 - registers rules
 from sentrylake.operators.routes import dealt
-from sentrylake.operators.rulebook import Results, chosen, run_all
+from sentrylake.operators.rulebook import Results, chosen, evidence, run_all, severity_floor
 from sentrylake.session import staged
 from sentrylake.sources.packets import to_events
 
@@ -24,15 +24,19 @@ CAPTURE_RULES = ["scan_ping_sweep", "exfil_dns", "exfil_direct_dns", "exfil_http
 
 
 def network(events: DataFrame, cfg: NetConfig | None = None, only=None, with_incidents: bool = True) -> dict[str, DataFrame]:
-    """findings and their items, pivots and theirs, summary tables and, unless switched off, incidents and their
-    members. All rules together scan the events once."""
+    """findings from cfg.min_severity on, their items and first lines, pivots and their items, summary tables and, unless
+    switched off, incidents and their members. All rules together scan the events once."""
     cfg = cfg or NetConfig()
     found = network_rules(events, cfg, only)
-    out = {"findings": found.findings, "items": found.items}
+    kept, items = found.findings, found.items
+    if cfg.min_severity != "info":
+        kept = severity_floor(kept, cfg.min_severity)
+        items = items.join(kept.select("finding_id"), "finding_id", "left_semi")
+    out = {"findings": kept, "items": items, "evidence": evidence(items, events, cfg.max_evidence_lines)}
     out["pivots"], out["pivot_items"] = net_access.vpn_pivots(events, cfg)
     out.update({f"summary_{k}": v for k, v in co.net_summary(events, cfg.home_nets).items()})
     if with_incidents:
-        out["incidents"], out["members"] = co.incidents(found.findings, found.items, [*cfg.known_resolvers, *cfg.gateway_ips])
+        out["incidents"], out["members"] = co.incidents(kept, items, [*cfg.known_resolvers, *cfg.gateway_ips])
     return out
 
 
@@ -53,9 +57,11 @@ def joined(*results: Results) -> Results:
 def windows(events: DataFrame, cfg: WinConfig | None = None, only=None) -> dict[str, DataFrame]:
     # Parsed once, as all rules read the same columns.
     ev = staged(features(events))
-    found = run_all("win", ev, cfg or WinConfig(), only)
+    cfg = cfg or WinConfig()
+    found = run_all("win", ev, cfg, only)
     cases = co.case_verdicts(found.findings, ev.groupBy("case_key").agg(F.count(F.lit(1)).alias("events")))
-    return {"findings": found.findings, "items": found.items, "overview": win_rules.overview(ev), "timeline": win_rules.timeline(found.findings, found.items), "cases": cases}
+    return {"findings": found.findings, "items": found.items, "overview": win_rules.overview(ev), "timeline": win_rules.timeline(found.findings, found.items), "cases": cases,
+            "evidence": evidence(found.items, ev, cfg.max_evidence_events)}
 
 
 def capture(packets: DataFrame, cfg: PacketConfig | None = None, net: NetConfig | None = None) -> dict[str, DataFrame]:

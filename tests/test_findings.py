@@ -123,6 +123,7 @@ def test_plans(spark):
     out = analyze.network(everything.net_rows(spark, SF), netq.CFG)
     assert out["findings"].count() > 100 and out["incidents"].count() > 0 and out["members"].count() == out["findings"].count()
     assert out["pivots"].count() == 0 and out["pivot_items"].count() == 0 and out["summary_counts"].count() > 0
+    assert out["evidence"].where("size(evidence) > 10 OR size(evidence) = 0").isEmpty() and not out["evidence"].isEmpty()
     win = analyze.windows(winviews.raw_events(spark, SF), everything.win.CFG)
     assert win["findings"].count() == win["timeline"].count() > 100 and win["overview"].count() > 10
     assert {r.level for r in win["cases"].collect()} <= {"clean", "info", "low", "medium", "high", "critical"}
