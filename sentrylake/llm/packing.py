@@ -23,20 +23,19 @@ from pyspark.sql import types as T
 
 from sentrylake.llm.common import bounded, utf8
 
-#: Tokens of a text whose ids a worker remembers, the bytes they may have, and bytes of text that it takes at a time.
-REMEMBERED, REMEMBERED_BYTES, BLOCK = 400_000, 1 << 24, 1 << 20
-#: A chunk of a token: a word before ASCII punctuation (but no apostrophe) is one of its own, because no piece of the
-#: tokenizer crosses from an ASCII letter to such a mark.
-_CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~])|.+", re.DOTALL)
+#: Chunks that a worker remembers the ids of, the bytes they may have, and bytes of text that it takes at a time.
+REMEMBERED, REMEMBERED_BYTES, BLOCK = 1_000_000, 1 << 25, 1 << 20
+#: A chunk is what stands between spaces and line ends; a word before ASCII punctuation (but no apostrophe) is one of its
+#: own, because no piece of the tokenizer crosses from an ASCII letter to such a mark.
+_CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~ \n])|[^ \n]+")
 
 
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by a tokenizer that lower-cases and whose
     pieces never cross a space or a line end.
 
-    Ids are remembered for what stands between spaces and line ends. The memory has two halves: when the young
-    one is full it becomes the old one, and what is met again moves to the young, so only what is rarely
-    met is forgotten."""
+    The ids of a chunk are remembered, in two halves: when the young half is full it becomes the old one, and what is met
+    again moves to the young, so only what is rarely met is forgotten."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
@@ -45,36 +44,36 @@ class Encoder:
         self.tokenizer, self.half = Tokenizer.from_file(path), max(1, remembered // 2)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.learned = 0  # bytes of the tokens learned since the young half was empty
+        self.learned = 0  # bytes of the chunks learned since the young half was empty
 
     def _block(self, text: bytes) -> bytes:
         # Special tokens are recognised before lower-casing, so a text that may hold one keeps its case.
-        tokens = (text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" ")
-        young = self.young
-        try:
-            return b"".join(map(young.__getitem__, tokens))
-        except KeyError:
-            pass
-        new = set(tokens).difference(young)
-        if len(young) + len(new) > self.half or self.learned > REMEMBERED_BYTES // 2:
-            self.old, self.young, self.learned = young, {}, 0
-            young = self.young
-            new = set(tokens)
-        old = self.old
-        for t in new & old.keys():
-            young[t] = old[t]
-        new -= young.keys()
+        chunks = _CHUNK.findall(text if b"<|" in text else text.lower())
+        young, old = self.young, self.old
+        new = {c for c in chunks if c not in young}
         if new:
-            self._learn(new)
-        return b"".join(map(young.__getitem__, tokens))
-
-    def _learn(self, tokens: set[bytes]) -> None:
-        cut = {t: _CHUNK.findall(t) for t in tokens}
-        chunks = list({c for cs in cut.values() for c in cs})
-        ids = {c: array("I", e.ids).tobytes() for e, c in zip(self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False), chunks)}
-        self.learned += sum(map(len, tokens))
-        for t, cs in cut.items():
-            self.young[t] = b"".join(map(ids.__getitem__, cs))
+            if len(young) + len(new) > self.half or self.learned > REMEMBERED_BYTES // 2:
+                self.old, self.young, self.learned = young, {}, 0
+                young, old, new = self.young, self.old, set(chunks)
+            unseen = []
+            for c in new:
+                if c in old:
+                    young[c] = old[c]
+                else:
+                    unseen.append(c)
+            if unseen:
+                self._learn(unseen)
+        return b"".join(map(young.__getitem__, chunks))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """One text of all new chunks, as a call for each costs more than its work; where a piece starts tells its chunk."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = array("I", found.ids).tobytes()
+        ends = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64), np.cumsum([0, *[len(x) + 1 for x in texts]])) * 4
+        self.learned += sum(map(len, chunks))
+        for c, a, b in zip(chunks, ends.tolist(), ends[1:].tolist()):
+            self.young[c] = ids[a:b]
 
     def encode(self, text: bytes) -> bytes:
         if len(text) <= BLOCK:
