@@ -6,7 +6,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline  # noqa: E402
-from sentrylake.llm import queries  # noqa: E402
+from sentrylake.llm import pipeline, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -16,7 +16,7 @@ def test_ids_do_not_tell_rows_apart(spark):
     rows = [(d, f"{'w ' * n}{chr(97 + n)}{d}", "en", "src0", None) for n in range(2, 8) for d in (None, None, 1, 1, 2)] + [(None, None, None, None, None), (3, "", "de", "src1", 0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     chosen = queries.mixed(df).collect()
-    got = corpus_pipeline.mix(spark, df, SF).collect()
+    got = pipeline.mix(spark, df, SF).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in chosen)
     assert Counter((r.doc_id, len((r.text or "").split())) for r in got) == Counter((r.doc_id, r.take_tokens) for r in chosen)
 
