@@ -9,6 +9,7 @@ from sentrylake.workloads import all_cases
 
 WHOLE = {
     "scan_vertical": ["ports"],
+    "scan_horizontal": ["hosts"],
     # next
 }
 
