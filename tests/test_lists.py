@@ -10,6 +10,7 @@ from sentrylake.workloads import all_cases
 WHOLE = {
     "scan_vertical": ["ports"],
     "scan_horizontal": ["hosts"],
+    "scan_ping_sweep": ["hosts"],
     # next
 }
 
