@@ -11,6 +11,7 @@ WHOLE = {
     "scan_vertical": ["ports"],
     "scan_horizontal": ["hosts"],
     "scan_ping_sweep": ["hosts"],
+    "exposed_service": ["sources"],
     # next
 }
 
