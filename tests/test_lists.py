@@ -12,6 +12,7 @@ WHOLE = {
     "scan_horizontal": ["hosts"],
     "scan_ping_sweep": ["hosts"],
     "exposed_service": ["sources"],
+    "cred_spray": ["users"],
     # next
 }
 
