@@ -13,6 +13,7 @@ WHOLE = {
     "scan_ping_sweep": ["hosts"],
     "exposed_service": ["sources"],
     "cred_spray": ["users"],
+    "cred_odd_sessions": ["sources"],
     # next
 }
 
