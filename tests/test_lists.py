@@ -14,6 +14,7 @@ WHOLE = {
     "exposed_service": ["sources"],
     "cred_spray": ["users"],
     "cred_odd_sessions": ["sources"],
+    "lateral_move": ["targets"],
     # next
 }
 
