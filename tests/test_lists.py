@@ -15,6 +15,7 @@ WHOLE = {
     "cred_spray": ["users"],
     "cred_odd_sessions": ["sources"],
     "lateral_move": ["targets"],
+    "internal_exploit": ["signatures"],
     # next
 }
 
