@@ -16,6 +16,7 @@ WHOLE = {
     "cred_odd_sessions": ["sources"],
     "lateral_move": ["targets"],
     "internal_exploit": ["signatures"],
+    "vpn_pivot": ["internal_targets", "ports_touched"],
     # next
 }
 
