@@ -17,6 +17,7 @@ WHOLE = {
     "lateral_move": ["targets"],
     "internal_exploit": ["signatures"],
     "vpn_pivot": ["internal_targets", "ports_touched"],
+    "exfil_dns": ["internal_hosts"],
     # next
 }
 
