@@ -18,6 +18,7 @@ WHOLE = {
     "internal_exploit": ["signatures"],
     "vpn_pivot": ["internal_targets", "ports_touched"],
     "exfil_dns": ["internal_hosts"],
+    "exfil_ftp": ["sensitive_files"],
     # next
 }
 
