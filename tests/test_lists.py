@@ -19,6 +19,7 @@ WHOLE = {
     "vpn_pivot": ["internal_targets", "ports_touched"],
     "exfil_dns": ["internal_hosts"],
     "exfil_ftp": ["sensitive_files"],
+    "web_attack": ["attack_types"],
     # next
 }
 
