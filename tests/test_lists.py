@@ -20,6 +20,7 @@ WHOLE = {
     "exfil_dns": ["internal_hosts"],
     "exfil_ftp": ["sensitive_files"],
     "web_attack": ["attack_types"],
+    "arp_conflict": ["suspect_macs"],
     # next
 }
 
