@@ -21,6 +21,7 @@ WHOLE = {
     "exfil_ftp": ["sensitive_files"],
     "web_attack": ["attack_types"],
     "arp_conflict": ["suspect_macs"],
+    "arp_burst": ["claimed_ips"],
     # next
 }
 
