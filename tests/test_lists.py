@@ -22,6 +22,7 @@ WHOLE = {
     "web_attack": ["attack_types"],
     "arp_conflict": ["suspect_macs"],
     "arp_burst": ["claimed_ips"],
+    "dns_rogue": ["answers", "ttls"],
     # next
 }
 
