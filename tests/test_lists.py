@@ -23,6 +23,7 @@ WHOLE = {
     "arp_conflict": ["suspect_macs"],
     "arp_burst": ["claimed_ips"],
     "dns_rogue": ["answers", "ttls"],
+    "dns_race": ["distinct_answers"],
     # next
 }
 
