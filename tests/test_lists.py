@@ -24,6 +24,7 @@ WHOLE = {
     "arp_burst": ["claimed_ips"],
     "dns_rogue": ["answers", "ttls"],
     "dns_race": ["distinct_answers"],
+    "tls_downgrade": ["clients"],
     # next
 }
 
