@@ -25,6 +25,7 @@ WHOLE = {
     "dns_rogue": ["answers", "ttls"],
     "dns_race": ["distinct_answers"],
     "tls_downgrade": ["clients"],
+    "logon_brute": ["usernames_tried"],
     # next
 }
 
