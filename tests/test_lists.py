@@ -26,6 +26,7 @@ WHOLE = {
     "dns_race": ["distinct_answers"],
     "tls_downgrade": ["clients"],
     "logon_brute": ["usernames_tried"],
+    "pkt_scan_vertical": ["ports_probed"],
     # next
 }
 
