@@ -27,6 +27,7 @@ WHOLE = {
     "tls_downgrade": ["clients"],
     "logon_brute": ["usernames_tried"],
     "pkt_scan_vertical": ["ports_probed"],
+    "pkt_scan_horizontal": ["hosts_probed"],
     # next
 }
 
