@@ -28,6 +28,7 @@ WHOLE = {
     "logon_brute": ["usernames_tried"],
     "pkt_scan_vertical": ["ports_probed"],
     "pkt_scan_horizontal": ["hosts_probed"],
+    "pkt_scan_udp": ["closed_ports"],
     # next
 }
 
