@@ -29,6 +29,7 @@ WHOLE = {
     "pkt_scan_vertical": ["ports_probed"],
     "pkt_scan_horizontal": ["hosts_probed"],
     "pkt_scan_udp": ["closed_ports"],
+    "pkt_arp_spoof": ["claiming_macs"],
     # next
 }
 
