@@ -30,6 +30,7 @@ WHOLE = {
     "pkt_scan_horizontal": ["hosts_probed"],
     "pkt_scan_udp": ["closed_ports"],
     "pkt_arp_spoof": ["claiming_macs"],
+    "pkt_arp_relay": ["victims"],
     # next
 }
 
