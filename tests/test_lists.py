@@ -31,6 +31,7 @@ WHOLE = {
     "pkt_scan_udp": ["closed_ports"],
     "pkt_arp_spoof": ["claiming_macs"],
     "pkt_arp_relay": ["victims"],
+    "pkt_arp_flood": ["targets_probed"],
     # next
 }
 
