@@ -32,6 +32,7 @@ WHOLE = {
     "pkt_arp_spoof": ["claiming_macs"],
     "pkt_arp_relay": ["victims"],
     "pkt_arp_flood": ["targets_probed"],
+    "pkt_ftp_spray": ["usernames_tried"],
     # next
 }
 
