@@ -33,6 +33,7 @@ WHOLE = {
     "pkt_arp_relay": ["victims"],
     "pkt_arp_flood": ["targets_probed"],
     "pkt_ftp_spray": ["usernames_tried"],
+    "pkt_dhcp_nak": ["reasons"],
     # next
 }
 
