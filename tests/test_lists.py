@@ -34,6 +34,7 @@ WHOLE = {
     "pkt_arp_flood": ["targets_probed"],
     "pkt_ftp_spray": ["usernames_tried"],
     "pkt_dhcp_nak": ["reasons"],
+    "pkt_scanner_agent": ["paths"],
     # next
 }
 
