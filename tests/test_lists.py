@@ -35,6 +35,7 @@ WHOLE = {
     "pkt_ftp_spray": ["usernames_tried"],
     "pkt_dhcp_nak": ["reasons"],
     "pkt_scanner_agent": ["paths"],
+    "pkt_agent_rotation": ["user_agents"],
     # next
 }
 
