@@ -56,7 +56,7 @@ def test_a_list_is_not_cut(spark):
 
 def test_null_keys_order_and_missing_lists(spark):
     rows = spark.createDataFrame([(1,), (None,), (3,)], "k int")
-    seen = spark.createDataFrame([(1, 9, "a"), (1, 5, "b"), (1, 5, "b"), (1, 7, None), (None, 1, "z")], "k int, t int, v string")
+    seen = spark.createDataFrame([(1, 9, "a"), (1, 5, "b"), (1, 5, "b"), (1, 11, "b"), (1, 7, None), (None, 1, "z")], "k int, t int, v string")
     out = found(rows, listed("vs", seen, ["k"], "v"))
     assert {r.k: r.vs for r in with_lists(out, "vs").collect()} == {1: ["a", "b"], None: ["z"], 3: None}
     assert {r.k: r.vs for r in with_lists(out, "vs", order="t").collect()} == {1: ["b", "a"], None: ["z"], 3: None}
