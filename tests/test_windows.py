@@ -99,3 +99,35 @@ def test_running_total(frame):
         c = Counter(x[0] for x in items)
         for t in c:
             assert got[(g, t)] == sum(n for u, n in c.items() if u <= t)
+
+
+def test_most_distinct_moves_rows_twice(frame, capsys):
+    """Buckets of a value, then spans of a key; the third shuffle has a row per key and span."""
+    best = w.most_distinct_run(frame, ["g"], "v", 5)
+    capsys.readouterr()
+    best.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 3
+
+
+def test_rows_without_time(spark):
+    """A value seen in a window and also without a time counts once more; rows without a time are in no window."""
+    rows = [("a", 0, "x", 1), ("a", 3, "y", 2), ("a", None, "x", 3), ("a", None, "z", 4), ("b", None, "x", 5), ("c", 7, "x", 6), ("c", 7, "y", None)]
+    frame = spark.createDataFrame(rows, "g string, ts_us bigint, v string, event_id bigint")
+    best = w.most_distinct_run(frame, ["g"], "v", 5)
+    assert {tuple(r) for r in best.collect()} == {("a", 3, 3), ("c", 2, 7)}
+    got = sorted(((r.g, r.event_id) for r in w.distinct_run_rows(frame, best, ["g"], "v", 5).collect()), key=str)
+    assert got == [("a", 1), ("a", 2), ("c", 6), ("c", None)]
+
+
+def test_large_files_are_read_in_place(spark, tmp_path):
+    """A table of one file that Spark reads in parts is not shuffled to spread it; a small one is."""
+    from sentrylake.workloads.base import table
+    spark.range(40_000).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert table(spark, str(tmp_path), "orders")._jdf.queryExecution().toString().count("RoundRobin") > 0
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        df = table(spark, str(tmp_path), "orders")
+        assert "RoundRobin" not in df._jdf.queryExecution().toString() and df.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
