@@ -21,8 +21,9 @@ from sentrylake.llm.exactdedup import flagged, repeat_filter
 from sentrylake.llm.graph import components
 from sentrylake.session import staged
 
-#: Counters of a set's table; lists of more than CROWD nodes are met in blocks of half as many.
-COUNTERS, CROWD = 256, 1024
+#: Counters of a set's table; lists of more than CROWD nodes are met in blocks of half as many, and a pair that shares
+#: several lists of more than SHARED nodes is asked in one of them.
+COUNTERS, CROWD, SHARED = 256, 1024, 128
 #: Tables of ids up to this number of rows (some 64 bytes each) are broadcast, larger ones are joined by a shuffle.
 FEW = 1 << 14
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,8 +112,9 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
 def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> DataFrame:
     """(a, b, ca, cb, score, more): for nodes b of a group, nodes a before it, of other components, that the tables allow
     to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best, otherwise
-    the first `most`; more says that b may have others. rows: key, i, j, block, node, n, table, c, no."""
-    def ask(key, block, node, n, tables, c, no):
+    the first `most`; more says that b may have others. big: the large lists of a node; nodes that share several ask in
+    the one with the smallest key only. rows: key, i, j, block, node, n, table, c, no, big."""
+    def ask(key, block, node, n, tables, c, no, big):
         """One or several whole groups, sorted by group and node."""
         size = len(n)
         starts = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
@@ -134,7 +136,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> Dat
                 if most == 1:
                     passed &= score > best[at]
                 for b, x in zip(at[passed].tolist(), score[passed].tolist()):
-                    if node[b - d] not in no[b] and node[b] not in no[b - d]:
+                    if node[b - d] not in no[b] and node[b] not in no[b - d] and not any(k < key[b, 0] for k in big[b] & big[b - d]):
                         if most == 1:
                             best[b], out[b] = x, (b - d, b, x)
                         else:
@@ -158,7 +160,8 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> Dat
             if cut:
                 node, c = now.column("node").to_pylist(), now.column("c").to_pylist()
                 numbers = {x: i for i, x in enumerate(dict.fromkeys(c))}
-                pairs = ask(key[:cut], now.column("block").to_numpy(), node, now.column("n").to_numpy(), now.column("table").to_pylist(), np.array([numbers[x] for x in c]), [x or () for x in now.column("no").to_pylist()])
+                pairs = ask(key[:cut], now.column("block").to_numpy(), node, now.column("n").to_numpy(), now.column("table").to_pylist(), np.array([numbers[x] for x in c]), [x or () for x in now.column("no").to_pylist()],
+                            [frozenset(x or ()) for x in now.column("big").to_pylist()])
                 if pairs:
                     a, b, score, more = zip(*pairs)
                     answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score), pa.array(more)], ["a", "b", "ca", "cb", "score", "more"])
@@ -178,7 +181,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> Dat
                 yield answer
 
     grouped = rows.repartition("key", "i", "j").coalesce(tasks).sortWithinPartitions("key", "i", "j", "node")
-    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean")
+    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no", "big").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -256,11 +259,15 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
     lists: key, early, node; early marks the lists of the first round. nodes: node, n, table, digest. In a round each node
     asks the one other of its lists that may be closest (from the third round on 64 a list, then 4,096 ...), whole sets
     are compared for what was asked, and components join. Lists within one component are left out from then on. Pairs
-    that fail are remembered at their nodes and not asked again, so rounds end: with one in which all that is left was asked."""
+    that fail are remembered at their nodes and not asked again, so rounds end: with one in which all that is left was asked.
+    From the second round on a pair that shares several large lists is asked in one of them, so that near copies, which
+    share most of their lists, don't make a row for each list and pair."""
     nodes = staged(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "table", "digest"))
     sets = _sets(df, text, width, nodes.select("digest"))
     labels = nodes.select("node", F.col("node").alias("component"))
-    crowded = staged(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD))
+    large = staged(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SHARED))
+    big = staged(lists.join(_few(large.select("key")), "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("big")))
+    crowded = large.where(F.col("size") > CROWD)
     crowded = None if crowded.isEmpty() else crowded
     left, failed = lists.select("key", "early", "node"), None
     # Rounds handle fewer rows than there are shuffle partitions for; a task of Python has some thousands of rows at least.
@@ -280,6 +287,8 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
             facts = facts.withColumn("no", F.lit(None).cast("array<binary>"))
         else:  # as many as a node was refused
             facts = facts.join(_few(staged(failed.groupBy("node").agg(F.collect_set("other").alias("no")))), "node", "left")
+        # The first round sees some lists only, so a pair's smallest list may not be among them.
+        facts = facts.withColumn("big", F.lit(None).cast("array<bigint>")) if turn == 0 else facts.join(_few(big), "node", "left")
         asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole, tasks)
         if most == 1:
             asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb", F.lit(True).alias("more"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylake.llm import jaccard
@@ -37,14 +37,16 @@ def halves(hashes: np.ndarray) -> bytes:
 
 def lists(nodes: DataFrame) -> DataFrame:
     """(key, early, node) of the tables' entries with more than one node; early marks those of the first repetition.
-    nodes: node, marks (see halves). Keys are counted first, so only entries that have company move with their nodes."""
+    nodes: node, marks (see halves). The last bit of a key says early, so an entry is a key and a node. Entries move
+    once: they are counted where they meet, and what a task holds of a key beyond some thousand entries goes to disk."""
     def half(t: int, side: int, i: int):
         return F.substring("marks", 1 + 4 * ((2 * t + side) * SIDE + i), 4)
 
     keys = [F.xxhash64(F.lit((t * SIDE + i) * SIDE + j), half(t, 0, i), half(t, 1, j)) for t in range(TIMES) for i in range(SIDE) for j in range(SIDE)]
-    entries = nodes.where("length(marks) > 0").select("node", F.posexplode(F.array(*keys)).alias("_at", "key"))
-    common = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    return staged(entries.join(common, "key", "left_semi").select("key", (F.col("_at") < SIDE * SIDE).alias("early"), "node"))
+    keys = [k.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(at < SIDE * SIDE))) for at, k in enumerate(keys)]
+    entries = nodes.where("length(marks) > 0").select("node", F.explode(F.array(*keys)).alias("key"))
+    counted = entries.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
+    return staged(counted.select("key", (F.col("key").bitwiseAND(F.lit(1)) == 1).alias("early"), "node"))
 
 
 def grouped(nodes: DataFrame, df: DataFrame, text: str, width: int, part: int, whole: int) -> DataFrame:

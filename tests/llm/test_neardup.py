@@ -6,7 +6,8 @@ import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-from sentrylake.llm import jaccard, pipeline  # noqa: E402
+import numpy as np  # noqa: E402
+from sentrylake.llm import jaccard, pipeline, tensorhash  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,3 +63,23 @@ def test_crowded_and_edge_texts(spark, monkeypatch):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in texts.items()], schema).repartition(3)
     assert stage(spark, df) == want
+
+
+def test_a_pair_of_two_large_lists_is_asked_in_one(spark):
+    """Three like nodes in two lists: each pair is one row; a node that is in one large list only asks there."""
+    hashes = np.arange(1, 50, dtype=np.uint64) << np.uint64(56)
+    rows = [(key, 0, 0, 0, node, len(hashes), jaccard.table(hashes), node, None, big)
+            for node, big in ((b"a", [5, 7]), (b"b", [5, 7]), (b"c", [7])) for key in big]
+    frame = spark.createDataFrame(rows, "key bigint, i int, j int, block int, node binary, n bigint, table binary, c binary, no array<binary>, big array<bigint>")
+    asked = jaccard._asked(frame, 64, 80, 100, 8)
+    assert sorted((bytes(r.a), bytes(r.b)) for r in asked.collect()) == [(b"a", b"b"), (b"a", b"c"), (b"b", b"c")]
+
+
+def test_lists_of_one_shuffle_say_early(spark):
+    """A key's last bit says that its table is of the first repetition; nodes without company and without marks have no list."""
+    marks = {b"a": tensorhash.halves(np.arange(50, dtype=np.uint64)), b"b": tensorhash.halves(np.arange(50, dtype=np.uint64)),
+             b"c": tensorhash.halves(np.arange(500, 550, dtype=np.uint64)), b"d": b""}
+    found = tensorhash.lists(spark.createDataFrame([*marks.items()], "node binary, marks binary")).collect()
+    tables = tensorhash.SIDE ** 2 * tensorhash.TIMES
+    assert all(r.early == (r.key % 2 == 1) for r in found) and {bytes(r.node) for r in found} == {b"a", b"b"}
+    assert len(found) == 2 * tables and sum(r.early for r in found) == 2 * tensorhash.SIDE ** 2
