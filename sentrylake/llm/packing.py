@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from sentrylake.llm.common import bounded, utf8
 
-#: Chunks that a worker remembers the ids of, the bytes they may have, and bytes of text that it takes at a time.
-REMEMBERED, REMEMBERED_BYTES, BLOCK = 1_000_000, 1 << 25, 1 << 20
+#: Chunks that a worker remembers the ids of (some 300 bytes each), the bytes they may have, and bytes of text that it takes at a time.
+REMEMBERED, REMEMBERED_BYTES, BLOCK = 250_000, 1 << 23, 1 << 18
 #: A chunk is what stands between spaces and line ends; a word before ASCII punctuation (but no apostrophe) is one of its
 #: own, because no piece of the tokenizer crosses from an ASCII letter to such a mark.
 _CHUNK = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-&(-/:-@\[-`{-~ \n])|[^ \n]+")
@@ -173,6 +173,12 @@ class Packer:
                 self.waiting.pop()
 
 
+def release(example: list, waiting: list[list]) -> None:
+    """Keep only those ids of an example (id, ids, number of the first, loss, tokens) that wait for a place."""
+    first = min((start for payload, start, *_ in waiting if payload is example), default=example[4])
+    example[1], example[2] = example[1][4 * (first - example[2]):], first
+
+
 def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[[bytes], bytes]], end_id: int,
            max_tokens: int = 4096, max_segments: int = 256, max_loss: int = 4096, loss_from: str | None = None, window: int = 512) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit
@@ -199,8 +205,8 @@ def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[
         out: list[tuple] = []
 
         def note(pieces):
-            for (doc, ids, free), start, n, sequence, offset in pieces:
-                out.append((doc, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), len(ids) // 4, max(0, start + n - max(start, free)), base + sequence, offset))
+            for (doc, ids, at, free, tokens), start, n, sequence, offset in pieces:
+                out.append((doc, start, n, zlib.crc32(ids[4 * (start - at):4 * (start - at + n)]), tokens, max(0, start + n - max(start, free)), base + sequence, offset))
 
         def flush():
             columns = list(zip(*out))
@@ -211,8 +217,12 @@ def packed(df: DataFrame, id_col: str, text: str, encode: Callable[[], Callable[
             id_type = batch.schema.field(0).type
             for doc, free, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), utf8(batch, "text")):
                 ids = to_ids(text) + end
-                free = min(max(free or 0, 0), len(ids) // 4)
-                note(packer.add((doc, ids, free), len(ids) // 4, len(ids) // 4 - free))
+                tokens = len(ids) // 4
+                free = min(max(free or 0, 0), tokens)
+                example = [doc, ids, 0, free, tokens]
+                note(packer.add(example, tokens, tokens - free))
+                if tokens > max_tokens:
+                    release(example, packer.waiting)
                 if len(out) >= 8192:
                     yield flush()
         note(packer.finish())

@@ -32,3 +32,20 @@ def test_a_worker_keeps_its_encoder():
     path = queries.tokenizer_path()
     first = packing.encoder(path)()
     assert packing.encoder(path)().__self__ is first.__self__
+
+
+def test_what_is_remembered_stays_small():
+    """Several workers of an executor hold an encoder each."""
+    encoder = packing.Encoder(queries.tokenizer_path())
+    for block in range(40):
+        encoder.encode(" ".join(f"{block}q{i}" for i in range(10_000)).encode())
+    assert len(encoder.young) + len(encoder.old) <= 300_000
+
+
+def test_a_waiting_rest_does_not_hold_its_whole_document():
+    packer, ids = packing.Packer((8, 4, 8), 16), bytes(range(4 * 21))
+    example = ["doc", ids, 0, 0, 21]
+    whole = list(packer.add(example, 21, 21))
+    packing.release(example, packer.waiting)
+    assert [p[1:3] for p in whole] == [(0, 8), (8, 8)] and example[1:3] == [ids[64:], 16]
+    assert [p[1:3] for p in packer.finish()] == [(16, 4), (20, 1)]
