@@ -50,13 +50,33 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 
 
 def table(hashes: np.ndarray) -> bytes:
-    """How many of the hashes fall to each counter, halved and rounded up until a byte holds them; the first byte says how often."""
+    """How many of the hashes fall to each counter. Counts below 16 take half a byte each; others are halved and rounded up
+    until a byte holds them, and the first byte says how often."""
     counts, shift = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=COUNTERS), 0
+    if counts.max(initial=0) < 16:
+        low, high = counts.astype(np.uint8).reshape(2, -1)
+        return (low | high << 4).tobytes()
     while counts.max(initial=0) > 255:
         counts, shift = (counts + 1) >> 1, shift + 1
     return bytes([shift]) + counts.astype(np.uint8).tobytes()
 
 
+def _counts(tables: list[bytes]) -> np.ndarray:
+    """The counts of tables, a row each."""
+    short = np.array([len(x) == COUNTERS // 2 for x in tables])
+    counts = np.zeros((len(tables), COUNTERS), np.uint8)
+    halves = np.frombuffer(b"".join(x for x in tables if len(x) == COUNTERS // 2), np.uint8).reshape(-1, COUNTERS // 2)
+    counts[short] = np.hstack([halves & 15, halves >> 4])
+    if not short.all():
+        raw = np.frombuffer(b"".join(x for x in tables if len(x) != COUNTERS // 2), np.uint8).reshape(-1, COUNTERS + 1)
+        counts[~short] = raw[:, 1:]
+        if raw[:, 0].any():
+            shifts = np.zeros((len(tables), 1), np.int64)
+            shifts[~short] = raw[:, :1]
+            counts = counts.astype(np.int64) << shifts
+    return counts
+
+
 def nodes_of(df: DataFrame, id_col: str, text: str, width: int, marks: Callable[[np.ndarray], bytes]) -> DataFrame:
     """(id, node, n, table, marks, digest) of every row: the digest of its shingle set, its size, table and marks
     (min-hashes or the like; empty without shingles) and the digest of its text."""
@@ -105,24 +125,23 @@ def _sets(df: DataFrame, text: str, width: int, digests: DataFrame) -> DataFrame
     again = staged(found.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node"))
     if again.isEmpty():
         return found
-    again = _few(again)
-    return found.join(again, "node", "left_anti").unionByName(found.join(again, "node", "left_semi").dropDuplicates(["node"]))
+    several = again.count() > FEW
+    again = again if several else F.broadcast(again)
+    once = found.join(again, "node", "left_anti").unionByName(staged(found.join(again, "node", "left_semi").dropDuplicates(["node"])))
+    return staged(once) if several else once
 
 
 def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> DataFrame:
-    """(a, b, ca, cb, score, more): for nodes b of a group, nodes a before it, of other components, that the tables allow
+    """(a, b, ca, cb, score, more, key): for nodes b of a group, nodes a before it, of other components, that the tables allow
     to be as similar as part / whole and that `no` doesn't name. With most = 1 the one whose tables agree best, otherwise
-    the first `most`; more says that b may have others. big: the large lists of a node; nodes that share several ask in
-    the one with the smallest key only. rows: key, i, j, block, node, n, table, c, no, big."""
+    the first `most`; more says that b may have others in this list. big: the large lists of a node; nodes that share
+    several ask in the one with the smallest key only. rows: key, i, j, block, node, n, table, c, no, big."""
     def ask(key, block, node, n, tables, c, no, big):
         """One or several whole groups, sorted by group and node."""
         size = len(n)
         starts = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
         before = np.arange(size) - np.repeat(starts, np.diff(np.concatenate([starts, [size]])))
-        raw = np.frombuffer(b"".join(tables), np.uint8).reshape(size, COUNTERS + 1)
-        counts = raw[:, 1:]
-        if raw[:, 0].any():
-            counts = counts.astype(np.int64) << raw[:, :1].astype(np.int64)
+        counts = _counts(tables)
         inside = key[:, 1] == key[:, 2]
         found, best, out = np.zeros(size, np.int64), np.zeros(size), {}
         alive, d = np.flatnonzero(before > 0), 1
@@ -164,7 +183,8 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> Dat
                             [frozenset(x or ()) for x in now.column("big").to_pylist()])
                 if pairs:
                     a, b, score, more = zip(*pairs)
-                    answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score), pa.array(more)], ["a", "b", "ca", "cb", "score", "more"])
+                    answer = pa.RecordBatch.from_arrays([*[pa.array([x[i] for i in at], pa.binary()) for x in (node, c) for at in (a, b)], pa.array(score), pa.array(more), pa.array(key[list(b), 0])],
+                                                        ["a", "b", "ca", "cb", "score", "more", "key"])
             return answer, merged.slice(cut).to_batches()
 
         for batch in batches:
@@ -181,7 +201,7 @@ def _asked(rows: DataFrame, most: int, part: int, whole: int, tasks: int) -> Dat
                 yield answer
 
     grouped = rows.repartition("key", "i", "j").coalesce(tasks).sortWithinPartitions("key", "i", "j", "node")
-    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no", "big").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean")
+    return grouped.select("key", "i", "j", "block", "node", "n", "table", "c", "no", "big").mapInArrow(run, "a binary, b binary, ca binary, cb binary, score double, more boolean, key bigint")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -256,10 +276,11 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
     """(node, component) of the nodes that lists hold, by the pairs of one list as similar as part / whole: each such
     pair is in one component or was compared.
 
-    lists: key, early, node; early marks the lists of the first round. nodes: node, n, table, digest. In a round each node
-    asks the one other of its lists that may be closest (from the third round on 64 a list, then 4,096 ...), whole sets
-    are compared for what was asked, and components join. Lists within one component are left out from then on. Pairs
-    that fail are remembered at their nodes and not asked again, so rounds end: with one in which all that is left was asked.
+    lists: key, early, node; early marks the lists of the first round, with all their nodes. nodes: node, n, table, digest.
+    In a round each node asks the one other of its lists that may be closest (from the third round on 64 a list, then
+    4,096 ...), whole sets are compared for what was asked, and components join. Lists within one component are left out
+    from then on, and so are those that were met whole and in which nobody may have others to ask. Pairs that
+    fail are remembered at their nodes and not asked again, so rounds end: with one in which all that is left was asked.
     From the second round on a pair that shares several large lists is asked in one of them, so that near copies, which
     share most of their lists, don't make a row for each list and pair."""
     nodes = staged(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "table", "digest"))
@@ -275,10 +296,10 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
     few, tasks = max(8, size // 50_000), max(8, size // 10_000)
     turn, most = 0, 1
     while True:
-        named = left.join(_few(labels.select("node", F.col("component").alias("c"))), "node")
-        if turn == 0:
-            rows = named.where("early")
+        if turn == 0:  # each node is its own component
+            rows = left.where("early").withColumn("c", F.col("node"))
         else:
+            named = staged(left.join(_few(labels.select("node", F.col("component").alias("c"))), "node").coalesce(few))
             several = named.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("key")
             left = rows = staged(named.join(several, "key", "left_semi").coalesce(few))
             left = left.drop("c")
@@ -291,14 +312,21 @@ def linked(lists: DataFrame, nodes: DataFrame, df: DataFrame, text: str, width:
         facts = facts.withColumn("big", F.lit(None).cast("array<bigint>")) if turn == 0 else facts.join(_few(big), "node", "left")
         asked = _asked(_met(rows.select("key", "node", "c"), crowded, turn == 0).join(facts, "node"), most, part, whole, tasks)
         if most == 1:
-            asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m")).select("m.a", "b", "m.ca", "m.cb", F.lit(True).alias("more"))
+            asked = asked.groupBy("b").agg(F.max(F.struct("score", "a", "ca", "cb")).alias("m"), F.collect_set("key").alias("open")).select("m.a", "b", "m.ca", "m.cb", "open")
         else:
-            asked = asked.groupBy("a", "b", "ca", "cb").agg(F.max("more").alias("more"))
+            asked = asked.groupBy("a", "b", "ca", "cb").agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open"))
         pairs = staged(asked.coalesce(few))
-        # Nobody asks, or everybody asks all there are: no other pair is left to compare.
-        last = turn > 0 and pairs.where("more").isEmpty()
+        # The lists in which a node may have others to ask; elsewhere no pair is left to compare.
+        again = staged(pairs.select(F.explode("open").alias("key")).distinct().coalesce(few))
+        last = turn > 0 and again.isEmpty()
+        if turn == 0:  # early lists that were cut into blocks were not met whole
+            again = again if crowded is None else again.unionByName(crowded.select("key")).distinct()
+            early = left.where("early").join(_few(again), "key", "left_semi")
+            left = left.where("NOT early").unionByName(early.select(*left.columns))
+        else:
+            left = left.join(_few(again), "key", "left_semi")
         if not pairs.isEmpty():
-            result = staged(_compared(pairs.drop("more"), sets, part, whole, tasks))
+            result = staged(_compared(pairs.drop("open"), sets, part, whole, tasks))
             good = result.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             if not good.isEmpty():
                 joined = _merged(good).select(F.col("node").alias("component"), F.col("component").alias("to"))

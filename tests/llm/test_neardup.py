@@ -83,3 +83,38 @@ def test_lists_of_one_shuffle_say_early(spark):
     tables = tensorhash.SIDE ** 2 * tensorhash.TIMES
     assert all(r.early == (r.key % 2 == 1) for r in found) and {bytes(r.node) for r in found} == {b"a", b"b"}
     assert len(found) == 2 * tables and sum(r.early for r in found) == 2 * tensorhash.SIDE ** 2
+
+
+def test_tables_of_half_bytes_and_bytes():
+    r = np.random.default_rng(1)
+    few, many = r.integers(0, 1 << 63, 300, dtype=np.uint64) << np.uint64(1), np.arange(100_000, dtype=np.uint64) << np.uint64(55)
+    same = np.arange(40, dtype=np.uint64)
+    tables = [jaccard.table(x) for x in (few, same, many, np.empty(0, np.uint64))]
+    assert [len(t) for t in tables] == [128, 257, 257, 128]
+    counts = jaccard._counts(tables)
+    for row, x in zip(counts, (few, same, many)):
+        exact = np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256)
+        assert (row >= exact).all() and (exact.max() > 255 or (row == exact).all())
+    assert not counts[3].any()
+
+
+def test_a_list_with_nobody_left_to_ask_is_not_met_again(spark, monkeypatch):
+    """Two texts that the tables rule out, and two that are asked once and fail: the latter's list alone is met in a third round."""
+    def near(seed):
+        r = random.Random(seed)
+        ws = [f"w{r.random()}" for _ in range(100)]
+        return " ".join(ws), " ".join("x" if i in (9, 19, 29, 39, 49, 59) else w for i, w in enumerate(ws))
+
+    def allowed(x, y):
+        counts, n = jaccard._counts([jaccard.table(x), jaccard.table(y)]).astype(int), len(x) + len(y)
+        return 9 * np.minimum(*counts).sum() >= 4 * n > 9 * len(np.intersect1d(x, y))
+    close = next(t for t in map(near, range(1000)) if allowed(*[jaccard.shingles(x.encode(), 2) for x in t]))
+    texts = [*close, " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))]
+    df = spark.createDataFrame([*enumerate(texts)], "id bigint, text string")
+    rows = jaccard.nodes_of(df, "id", "text", 2, lambda _: b"")
+    node = {r.id: r.node for r in rows.collect()}
+    lists = spark.createDataFrame([(1, False, node[0]), (1, False, node[1]), (2, False, node[2]), (2, False, node[3])], "key bigint, early boolean, node binary")
+    met, asked = [], jaccard._asked
+    monkeypatch.setattr(jaccard, "_asked", lambda rows, *a: met.append(rows.count()) or asked(rows, *a))
+    found = jaccard.linked(lists, rows, df, "text", 2, 80, 100).collect()
+    assert met == [0, 4, 2] and all(r.node == r.component for r in found) and len(found) == 4
