@@ -50,19 +50,24 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 
 
 def table(hashes: np.ndarray) -> bytes:
-    """How many of the hashes fall to each counter. Counts below 16 take half a byte each; others are halved and rounded up
-    until a byte holds them, and the first byte says how often."""
+    """How many of the hashes fall to each counter, halved and rounded up until a byte holds them; the first byte says how often."""
     counts, shift = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=COUNTERS), 0
-    if counts.max(initial=0) < 16:
-        low, high = counts.astype(np.uint8).reshape(2, -1)
-        return (low | high << 4).tobytes()
     while counts.max(initial=0) > 255:
         counts, shift = (counts + 1) >> 1, shift + 1
     return bytes([shift]) + counts.astype(np.uint8).tobytes()
 
 
+def _short(table: bytes) -> bytes:
+    """A table whose counts are all below 16 in half a byte each; any other as it is."""
+    counts = np.frombuffer(table, np.uint8)
+    if counts[0] or counts.max() > 15:
+        return table
+    low, high = counts[1:].reshape(2, -1)
+    return (low | high << 4).tobytes()
+
+
 def _counts(tables: list[bytes]) -> np.ndarray:
-    """The counts of tables, a row each."""
+    """The counts of tables, short ones or not, a row each."""
     short = np.array([len(x) == COUNTERS // 2 for x in tables])
     counts = np.zeros((len(tables), COUNTERS), np.uint8)
     halves = np.frombuffer(b"".join(x for x in tables if len(x) == COUNTERS // 2), np.uint8).reshape(-1, COUNTERS // 2)
@@ -88,7 +93,7 @@ def nodes_of(df: DataFrame, id_col: str, text: str, width: int, marks: Callable[
             sets = [shingles(x, width) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([table(s) for s in sets], pa.binary()), pa.array([marks(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([_digest(x) for x in texts], pa.binary())],
+                 pa.array([_short(table(s)) for s in sets], pa.binary()), pa.array([marks(s) if len(s) else b"" for s in sets], pa.binary()), pa.array([_digest(x) for x in texts], pa.binary())],
                 ["id", "node", "n", "table", "marks", "digest"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, node binary, n bigint, table binary, marks binary, digest binary")
