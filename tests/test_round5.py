@@ -14,6 +14,7 @@ from sentrylake.operators import windows as wn
 from sentrylake.operators.routes import dealt
 from sentrylake.plans import analyze
 from sentrylake.session import FREED, held, shared_folder
+from sentrylake.sources import netlogs as nl
 from sentrylake.workloads import cases, everything
 
 QUERIES = {c.name: c for c in cases.CASES}
@@ -95,3 +96,17 @@ def test_written_runs_are_the_best_runs(spark, undated):
         assert {tuple(x) for x in wn.written_distinct_run(ev, ["g"], "v", 5, k).collect()} == want
     # Nine calls keep what they return and the rows without a time; value buckets are gone.
     assert len(set(glob.glob(f"{shared_folder(spark)}/stage-*")) - before) == 9 + 4
+
+
+def test_lines_are_cut_only_where_a_grammar_may_read_them(spark, monkeypatch):
+    """Guards before the cut into words change no reading."""
+    lines = ["2024-01-02 03:04:05 aLLow tcp 10.0.0.1:5 -> 10.0.0.2:80", "2024-01-02 03:04:05.5Z deny UDP 1.1.1.1:5->2.2.2.2:53 bytes=9", "2024-01-02T03:04:05. PASS IP a -> b", "2024-01-02 03:04:05 ALLOW TCP a b c",
+             "2024-01-02 03:04:05x ALLOW TCP a -> b", "2024-01-02 03:04:05 10.0.0.1 bob Success", "2024-01-02 03:04:05 failed_auth TCP 1.1.1.1:1 -> 2.2.2.2:2 (user 'x')", "2024-01-02 03:04:05 10.0.0.1 bob login", "a [**] b"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    cut = []
+    plain = nl.words
+    monkeypatch.setattr(nl, "words", lambda c: cut.append(1) or plain(c))
+    read = {g: [r.i for r in rows.where(nl._reads(nl.PARSERS[g], F.col("line")).isNotNull()).orderBy("i").collect()] for g in ("firewall", "vpn", "ids")}
+    assert read == {"firewall": [0, 1, 2], "vpn": [5, 6], "ids": []} and cut
+    for g in ("firewall", "vpn"):
+        assert "RLIKE" in str(nl._reads(nl.PARSERS[g], F.col("line"))).upper().split("TRANSFORM")[0]
